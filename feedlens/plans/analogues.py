@@ -64,13 +64,17 @@ def _case(col: str, mapping: dict, default=None):
 def order_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, categories_mentioned): part names of an order's lines in line order.
 
-    A TPC-H order has 1 to 7 lines, so each list is bounded by the schema.
+    Line order is (l_linenumber, l_partkey, l_suppkey): line numbers repeat
+    within an order in the test data. Each list holds one order's lines (at
+    most 13 in the test data), the size of one model reply's category list.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+                                                 "l_linenumber")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     lines = li.join(part, li.l_partkey == part.p_partkey, "inner")
     return (lines.groupBy("l_orderkey")
-            .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("_l"))
+            .agg(F.sort_array(F.collect_list(
+                F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("_l"))
             .select(F.col("l_orderkey").alias("o_orderkey"),
                     F.col("_l.p_name").alias("categories_mentioned")))
 
@@ -163,3 +167,7 @@ def human_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("quality") == 1, F.lit("service_noise"))
            .otherwise(F.lit("Trust_Quality ")))
     return lab.select(F.col("doc_id").cast("string").alias("reviewId"), tag.alias("your_tag"))
+
+
+# Fixed value: TPC-H market segments, lower-cased, play the review sources.
+MARKET_SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]

@@ -61,7 +61,10 @@ tagged AS (
 # One row per mention, straight from the line items.
 MENTIONS = """
 mentions AS (
-  SELECT t.reviewId, t.primary_tag, t.source, l.l_linenumber, p.p_name AS category_raw
+  SELECT t.reviewId, t.primary_tag, t.source, l.l_linenumber, p.p_name AS category_raw,
+         CAST(row_number() OVER (PARTITION BY t.reviewId
+                                   ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) - 1 AS BIGINT)
+           AS pos
   FROM tagged t JOIN lineitem l ON l.l_orderkey = t.o_orderkey
                 JOIN part p ON l.l_partkey = p.p_partkey
 )"""
@@ -91,3 +94,212 @@ ORACLE["category_top_k"] = (
     + "\nUNION ALL\n"
     + _panel_sql("authenticity", "TRUST_AUTHENTICITY", "nonperishable")
 )
+
+PERISHABLE_MEMBER = f"category IN (SELECT category FROM {PERISHABLE_VALUES})"
+
+# The tagged analogue with its content text (only the queries that show text need it).
+TAGGED_CONTENT = f"""
+line_names AS (
+  SELECT l.l_orderkey, string_agg(p.p_name, ', ' ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS names
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey
+),
+tagged_text AS (
+  SELECT t.*, concat_ws(' ', 'order', t.reviewId, 'by', t.c_name, 'mentions',
+                        coalesce(n.names, '')) AS content
+  FROM tagged t LEFT JOIN line_names n ON n.l_orderkey = t.o_orderkey
+)"""
+
+FEED = f"""
+feed AS (
+  SELECT e.event_id, e.ts, e.user_id, e.event_type,
+         CAST({_case('e.event_type', {k: v for k, v in an.EVENT_SCORE.items()}).replace("THEN '", "THEN ").replace("' WHEN", " WHEN").replace("' END", " END")} AS INTEGER) AS score,
+         d.text AS content
+  FROM events e JOIN documents d ON e.user_id = d.doc_id
+)"""
+
+SUBSTANTIVE = "({c} IS NOT NULL AND length({c}) > 20)"
+
+
+def subst(c: str) -> str:
+    return SUBSTANTIVE.format(c=c)
+
+
+ORACLE["category_counts_raw"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}
+SELECT primary_tag, category_raw AS category, CAST(count(*) AS BIGINT) AS mentions
+FROM mentions
+WHERE primary_tag IN ('TRUST_QUALITY', 'TRUST_AUTHENTICITY') AND category_raw IS NOT NULL
+GROUP BY primary_tag, category_raw"""
+
+ORACLE["shown_mentions"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}, {NORMALIZED},
+panel_counts AS (
+  SELECT 'freshness' AS panel, category, count(*) AS mentions FROM normalized
+  WHERE primary_tag = 'TRUST_QUALITY' AND category IS NOT NULL AND {PERISHABLE_MEMBER}
+  GROUP BY category
+  UNION ALL
+  SELECT 'authenticity' AS panel, category, count(*) AS mentions FROM normalized
+  WHERE primary_tag = 'TRUST_AUTHENTICITY' AND category IS NOT NULL AND NOT ({PERISHABLE_MEMBER})
+  GROUP BY category
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY panel ORDER BY mentions DESC, category ASC) AS rk
+  FROM panel_counts
+)
+SELECT p.panel,
+       CAST(coalesce(sum(CASE WHEN r.rk <= 8 THEN r.mentions END), 0) AS BIGINT) AS shown_mentions,
+       CAST(coalesce(sum(r.mentions), 0) AS BIGINT) AS all_mentions
+FROM (VALUES ('freshness'), ('authenticity')) AS p(panel)
+LEFT JOIN ranked r ON r.panel = p.panel
+GROUP BY p.panel"""
+
+ORACLE["category_mentions"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}
+SELECT reviewId, primary_tag, pos, category_raw FROM mentions"""
+
+ORACLE["category_normalize"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}, {NORMALIZED}
+SELECT reviewId, pos, category_raw, category FROM normalized"""
+
+ORACLE["cats_perishable"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}, {NORMALIZED}
+SELECT reviewId, primary_tag, pos, category FROM normalized WHERE {PERISHABLE_MEMBER}"""
+
+ORACLE["cats_nonperishable"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS}, {NORMALIZED}
+SELECT reviewId, primary_tag, pos, category FROM normalized
+WHERE category IS NULL OR NOT ({PERISHABLE_MEMBER})"""
+
+ORACLE["tag_counts"] = f"""
+WITH {TAGGED_ROWS}
+SELECT primary_tag, CAST(count(*) AS BIGINT) AS reviews FROM tagged
+WHERE primary_tag IS NOT NULL GROUP BY primary_tag"""
+
+ORACLE["signal_tag_counts"] = f"""
+WITH {TAGGED_ROWS}
+SELECT primary_tag, CAST(count(*) AS BIGINT) AS reviews FROM tagged
+WHERE primary_tag IS NOT NULL AND primary_tag IS DISTINCT FROM 'SERVICE_NOISE'
+GROUP BY primary_tag"""
+
+ORACLE["tag_by_source"] = f"""
+WITH {TAGGED_ROWS}
+SELECT primary_tag,
+""" + ",\n".join(
+    f"  CAST(count(*) FILTER (WHERE source = '{s}') AS BIGINT) AS {s}" for s in an.MARKET_SEGMENTS
+) + """
+FROM tagged WHERE primary_tag IS NOT NULL AND source IS NOT NULL GROUP BY primary_tag"""
+
+ORACLE["noise_split"] = f"""
+WITH {TAGGED_ROWS}
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE primary_tag IS NOT DISTINCT FROM 'SERVICE_NOISE') AS BIGINT) AS noise,
+       CAST(count(*) FILTER (WHERE primary_tag IS DISTINCT FROM 'SERVICE_NOISE') AS BIGINT) AS signal
+FROM tagged"""
+
+ORACLE["signal_share"] = f"""
+WITH {TAGGED_ROWS},
+c AS (SELECT primary_tag, CAST(count(*) AS BIGINT) AS reviews FROM tagged
+      WHERE primary_tag IS NOT NULL AND primary_tag IS DISTINCT FROM 'SERVICE_NOISE'
+      GROUP BY primary_tag)
+SELECT primary_tag, reviews,
+       CAST(reviews AS DOUBLE) / CAST(sum(reviews) OVER () AS DOUBLE) AS share
+FROM c"""
+
+ORACLE["source_share_of_tag"] = f"""
+WITH {TAGGED_ROWS},
+c AS (SELECT primary_tag, source, CAST(count(*) AS BIGINT) AS reviews FROM tagged
+      WHERE primary_tag IS NOT NULL AND source IS NOT NULL GROUP BY primary_tag, source)
+SELECT primary_tag, source, reviews,
+       CAST(reviews AS DOUBLE) / CAST(sum(reviews) OVER (PARTITION BY primary_tag) AS DOUBLE)
+         AS share_of_tag,
+       CAST(sum(reviews) OVER (PARTITION BY source) AS DOUBLE)
+         / CAST(sum(reviews) OVER () AS DOUBLE) AS share_of_corpus
+FROM c"""
+
+ORACLE["corpus_size"] = f"""
+WITH {TAGGED_ROWS}
+SELECT source, CAST(count(*) AS BIGINT) AS reviews FROM tagged GROUP BY source"""
+
+ORACLE["signal_rows"] = f"""
+WITH {TAGGED_ROWS}
+SELECT reviewId, primary_tag, source FROM tagged
+WHERE primary_tag IS DISTINCT FROM 'SERVICE_NOISE'"""
+
+ORACLE["gold_rows"] = f"""
+WITH {TAGGED_ROWS}, {TAGGED_CONTENT}
+SELECT reviewId, source, primary_tag, substr(content, 1, 200) AS content_preview
+FROM tagged_text WHERE explored_new"""
+
+ORACLE["substantive"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS reviewId, source FROM documents WHERE {subst('text')}"""
+
+ORACLE["substantive_yield"] = f"""
+SELECT source AS app, CAST(count(*) AS BIGINT) AS pulled,
+       CAST(count(*) FILTER (WHERE {subst('text')}) AS BIGINT) AS substantive
+FROM documents GROUP BY source"""
+
+ORACLE["land_play"] = f"""
+WITH {FEED}
+SELECT CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
+       CAST(user_id AS DOUBLE) AS thumbsUpCount, 'play_store' AS source,
+       CAST(length(content) AS BIGINT) AS content_chars
+FROM feed WHERE {subst('content')}"""
+
+ORACLE["land_appstore"] = f"""
+WITH {FEED}
+SELECT 'ios_' || CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
+       CAST(NULL AS DOUBLE) AS thumbsUpCount, 'app_store' AS source,
+       CAST(length(content) AS BIGINT) AS content_chars
+FROM feed WHERE {subst('content')}"""
+
+ORACLE["score_distribution"] = f"""
+WITH {FEED}
+SELECT CAST(score AS DOUBLE) AS score, CAST(count(*) AS BIGINT) AS reviews
+FROM feed WHERE {subst('content')} AND score IS NOT NULL GROUP BY score"""
+
+ORACLE["newest_reviews"] = f"""
+WITH {FEED},
+top AS (SELECT * FROM feed ORDER BY ts DESC NULLS LAST, CAST(event_id AS VARCHAR) ASC LIMIT 60)
+SELECT CAST(event_id AS VARCHAR) AS reviewId, score,
+       CAST(length(content) AS BIGINT) AS content_chars
+FROM top WHERE {subst('content')}"""
+
+ORACLE["ingest_column"] = f"""
+WITH idx AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx,
+                    coalesce(text, 'nan') AS content FROM documents)
+SELECT 'up_' || CAST(idx AS VARCHAR) AS reviewId, idx,
+       CAST(length(content) AS BIGINT) AS content_chars
+FROM idx WHERE {subst('content')}"""
+
+ORACLE["ingest_lines"] = f"""
+WITH kept AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim_u('x')}),
+                             lambda x: length(x) > 20) AS lines
+  FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS content, unnest(generate_series(0, len(lines) - 1)) AS line_no
+  FROM kept
+)
+SELECT doc_id, 'own_' || CAST(line_no AS VARCHAR) AS reviewId, CAST(line_no AS BIGINT) AS line_no,
+       content
+FROM lines"""
+
+ORACLE["union_sources"] = f"""
+WITH {FEED}
+SELECT CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
+       CAST(user_id AS DOUBLE) AS thumbsUpCount, 'play_store' AS source,
+       CAST(NULL AS VARCHAR) AS thread, CAST(length(content) AS BIGINT) AS content_chars
+FROM feed WHERE {subst('content')}
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), source,
+       CAST(NULL AS VARCHAR), CAST(length(text) AS BIGINT)
+FROM documents WHERE {subst('text')}"""
+
+ORACLE["first_n"] = """
+SELECT CAST(doc_id AS VARCHAR) AS reviewId, source FROM documents ORDER BY doc_id LIMIT 100"""
+
+ORACLE["dedup_content"] = """
+SELECT reviewId, source FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS reviewId, source,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+  FROM documents) WHERE rn = 1"""

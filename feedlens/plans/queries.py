@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators import categories as cat
+from feedlens.operators import filters as flt
+from feedlens.operators import metrics as met
+from feedlens.operators import ordering as ordr
+from feedlens.sources import landing as land
 from feedlens.plans import analogues as an
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +51,192 @@ def q_category_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("category_counts_raw")
+def q_category_counts_raw(spark, sf_dir):
+    """Mentions per category as written, for the two tags the reports print (A5)."""
+    tagged = an.tagged(spark, sf_dir)
+    out = None
+    for tag in ("TRUST_QUALITY", "TRUST_AUTHENTICITY"):
+        part = cat.category_counts_raw(tagged, tag).select(
+            F.lit(tag).alias("primary_tag"), "category", "mentions")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("shown_mentions")
+def q_shown_mentions(spark, sf_dir):
+    """Mentions behind each panel's top 8 (A7) next to all mentions of the panel."""
+    tagged = an.tagged(spark, sf_dir)
+    out = None
+    for panel, tag, mode in PANELS:
+        counts = cat.category_counts(tagged, tag, mode, an.ANALOG_ALIASES, an.ANALOG_PERISHABLE)
+        top = cat.top_k(counts.select("category", "mentions"))
+        shown = cat.shown_mentions(top)
+        total = counts.agg(F.coalesce(F.sum("mentions"), F.lit(0)).cast("long")
+                           .alias("all_mentions"))
+        part = shown.join(total, how="inner")  # two one-row frames
+        part = part.select(F.lit(panel).alias("panel"), "shown_mentions", "all_mentions")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("category_mentions")
+def q_category_mentions(spark, sf_dir):
+    """One row per mention."""
+    m = cat.explode_categories(an.tagged(spark, sf_dir))
+    return m.select("reviewId", "primary_tag", F.col("pos").cast("long").alias("pos"),
+                    "category_raw")
+
+
+@register("category_normalize")
+def q_category_normalize(spark, sf_dir):
+    """Mentions with their normalised category."""
+    m = cat.explode_categories(an.tagged(spark, sf_dir), keep=("reviewId",))
+    n = cat.normalize_categories(m, an.ANALOG_ALIASES)
+    return n.select("reviewId", F.col("pos").cast("long").alias("pos"), "category_raw", "category")
+
+
+def _class_query(mode):
+    def q(spark, sf_dir):
+        m = cat.explode_categories(an.tagged(spark, sf_dir), keep=("reviewId", "primary_tag"))
+        n = cat.normalize_categories(m, an.ANALOG_ALIASES)
+        f = cat.filter_class(n, mode, an.ANALOG_PERISHABLE)
+        return f.select("reviewId", "primary_tag", F.col("pos").cast("long").alias("pos"),
+                        "category")
+    q.__doc__ = f"Mentions kept by the {mode} filter (F8, J4)."
+    return q
+
+
+register("cats_perishable")(_class_query("perishable"))
+register("cats_nonperishable")(_class_query("nonperishable"))
+
+
+# --- aggregates over the tagged corpus ----------------------------------------
+
+@register("tag_counts")
+def q_tag_counts(spark, sf_dir):
+    return met.tag_counts(an.tagged(spark, sf_dir))
+
+
+@register("signal_tag_counts")
+def q_signal_tag_counts(spark, sf_dir):
+    return met.signal_tag_counts(an.tagged(spark, sf_dir))
+
+
+@register("tag_by_source")
+def q_tag_by_source(spark, sf_dir):
+    return met.tag_by_source(an.tagged(spark, sf_dir), an.MARKET_SEGMENTS)
+
+
+@register("noise_split")
+def q_noise_split(spark, sf_dir):
+    return met.noise_split(an.tagged(spark, sf_dir))
+
+
+@register("signal_share")
+def q_signal_share(spark, sf_dir):
+    return met.signal_share(an.tagged(spark, sf_dir))
+
+
+@register("source_share_of_tag")
+def q_source_share_of_tag(spark, sf_dir):
+    return met.source_share_of_tag(an.tagged(spark, sf_dir))
+
+
+@register("corpus_size")
+def q_corpus_size(spark, sf_dir):
+    return met.corpus_size(an.tagged(spark, sf_dir))
+
+
+@register("signal_rows")
+def q_signal_rows(spark, sf_dir):
+    return flt.signal(an.tagged(spark, sf_dir)).select("reviewId", "primary_tag", "source")
+
+
+@register("gold_rows")
+def q_gold_rows(spark, sf_dir):
+    return flt.gold_rows(an.tagged(spark, sf_dir))
+
+
+# --- sources over documents and the store feed ---------------------------------
+
+@register("substantive")
+def q_substantive(spark, sf_dir):
+    r = flt.substantive(an.reviews(spark, sf_dir))
+    return r.select("reviewId", "source")
+
+
+@register("substantive_yield")
+def q_substantive_yield(spark, sf_dir):
+    """Rows pulled and substantive rows per app; the document sources play the apps."""
+    d = an.table(spark, sf_dir, "documents").select(F.col("source").alias("app"),
+                                                    F.col("text").alias("content"))
+    return met.substantive_yield(d, "app")
+
+
+@register("land_play")
+def q_land_play(spark, sf_dir):
+    out = land.land_play(an.play_export(spark, sf_dir))
+    return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
+                      F.length("content").cast("long").alias("content_chars"))
+
+
+@register("land_appstore")
+def q_land_appstore(spark, sf_dir):
+    out = land.land_appstore(an.appstore_export(spark, sf_dir))
+    return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
+                      F.length("content").cast("long").alias("content_chars"))
+
+
+@register("score_distribution")
+def q_score_distribution(spark, sf_dir):
+    return met.score_distribution(land.land_play(an.play_export(spark, sf_dir)))
+
+
+@register("newest_reviews")
+def q_newest_reviews(spark, sf_dir):
+    """The 60 newest store reviews (the live-fetch default), then the text floor."""
+    out = land.newest_reviews(an.play_export(spark, sf_dir), 60)
+    return out.select("reviewId", "score", F.length("content").cast("long").alias("content_chars"))
+
+
+@register("ingest_column")
+def q_ingest_column(spark, sf_dir):
+    """Upload path over the whole documents table, ids before the filter."""
+    d = an.table(spark, sf_dir, "documents")
+    out = land.ingest_text_column(d, "text", order_col="doc_id")
+    return out.select("reviewId", "idx", F.length("content").cast("long").alias("content_chars"))
+
+
+@register("ingest_lines")
+def q_ingest_lines(spark, sf_dir):
+    """Paste path: every document is one pasted text, every line a review."""
+    d = an.table(spark, sf_dir, "documents")
+    out = land.ingest_lines(d, "text", "doc_id")
+    return out.select("doc_id", "reviewId", "line_no", "content")
+
+
+@register("union_sources")
+def q_union_sources(spark, sf_dir):
+    """Store reviews stacked on document reviews, missing columns null."""
+    play = land.land_play(an.play_export(spark, sf_dir)).drop("seq")
+    docs = flt.substantive(an.reviews(spark, sf_dir)).drop("seq", "score", "at",
+                                                            "thumbsUpCount", "thread")
+    u = land.union_sources([play, docs])
+    return u.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source", "thread",
+                    F.length("content").cast("long").alias("content_chars"))
+
+
+@register("first_n")
+def q_first_n(spark, sf_dir):
+    """Sample mode: the first 100 reviews in input order."""
+    return flt.first_n(an.reviews(spark, sf_dir), 100).select("reviewId", "source")
+
+
+@register("dedup_content")
+def q_dedup_content(spark, sf_dir):
+    """Keep the first review of every exact text, in input order."""
+    out = ordr.dedup_keep_first(an.reviews(spark, sf_dir), "content", ("seq",))
+    return out.select("reviewId", "source")
