@@ -171,3 +171,81 @@ def human_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fixed value: TPC-H market segments, lower-cased, play the review sources.
 MARKET_SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+
+
+# --- forum threads and page dumps from conversations ---------------------------
+# Fixed analogue rules: a conversation is a thread; its turn 0 is the post
+# (title "thread <conv_id>", text as self text, likes = conv_id), every later
+# turn replies to the turn before it (likes = turn, none for system turns);
+# times are 2024-01-01 UTC + conv_id hours + turn minutes.
+THREAD_EPOCH = 1704067200
+THREAD_URL = "https://forum.example.com/r/feedback/comments/"
+
+
+def _thread_url(conv_id):
+    return F.concat(F.lit(THREAD_URL), conv_id.cast("string"), F.lit("/conversation_"),
+                    conv_id.cast("string"), F.lit("/"))
+
+
+def thread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 analogue: one thread document (thread URL, JSON text) per conversation.
+
+    The nested reply chain of a conversation is folded into one JSON text; a
+    thread document is one record of the source format, like a fetched page.
+    """
+    cv = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id")
+    created = (F.lit(THREAD_EPOCH) + conv * 3600 + F.col("turn") * 60).cast("long")
+    post_json = F.to_json(F.struct(
+        F.concat(F.lit("p"), conv.cast("string")).alias("id"),
+        F.concat(F.lit("thread "), conv.cast("string")).alias("title"),
+        F.col("text").alias("selftext"),
+        conv.alias("ups"),
+        created.alias("created_utc")))
+    node_json = F.to_json(F.struct(
+        F.concat(F.lit("c"), conv.cast("string"), F.lit("_"), F.col("turn").cast("string"))
+        .alias("id"),
+        F.col("text").alias("body"),
+        F.when(F.col("role") != F.lit("system"), F.col("turn")).alias("ups"),
+        created.alias("created_utc")))
+    rows = cv.select("conv_id", "turn",
+                     F.when(F.col("turn") == 0, post_json).alias("post"),
+                     F.when(F.col("turn") > 0, F.struct("turn", node_json.alias("dj")))
+                     .alias("node"))
+    per_conv = rows.groupBy("conv_id").agg(
+        F.max("post").alias("post"),
+        F.array_sort(F.collect_list("node")).alias("nodes"))
+
+    def fold(acc, x):
+        replies = F.when(acc == F.lit(""), F.lit('""')).otherwise(
+            F.concat(F.lit('{"kind":"Listing","data":{"children":['), acc, F.lit("]}}")))
+        # The node's data object, reopened to append its replies.
+        data_open = F.substring(x["dj"], F.lit(1), F.length(x["dj"]) - 1)
+        return F.concat(F.lit('{"kind":"t1","data":'), data_open,
+                        F.lit(',"replies":'), replies, F.lit("}}"))
+
+    chain = F.aggregate(F.reverse(F.col("nodes")), F.lit(""), fold)
+    post_children = F.coalesce(F.concat(F.lit('{"kind":"t3","data":'), F.col("post"), F.lit("}")),
+                               F.lit(""))
+    doc = F.concat(F.lit('[{"kind":"Listing","data":{"children":['), post_children,
+                   F.lit(']}},{"kind":"Listing","data":{"children":['), chain, F.lit("]}}]"))
+    return per_conv.select(_thread_url(conv).alias("thread"), doc.alias("json"))
+
+
+def write_conversation_dumps(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Page-dump analogue: one text file per conversation, ``thread<conv_id>.txt``,
+    holding its turns in order, each followed by a blank line.
+
+    Rows are streamed to the file one turn at a time (each row is written as
+    text + newline, and the text carries one more newline), so no conversation
+    is ever assembled in memory.
+    """
+    cv = table(spark, sf_dir, "conversations")
+    lines = cv.select(
+        F.concat(F.lit("thread"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("thread"),
+        F.col("turn"),
+        F.concat(F.col("text"), F.lit("\n")).alias("value"))
+    (lines.repartition("thread").sortWithinPartitions("thread", "turn")
+     .select("thread", "value")
+     .write.mode("overwrite").partitionBy("thread").text(path))
+    return path

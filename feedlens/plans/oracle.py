@@ -303,3 +303,87 @@ SELECT reviewId, source FROM (
   SELECT CAST(doc_id AS VARCHAR) AS reviewId, source,
          row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
   FROM documents) WHERE rn = 1"""
+
+# --- page dumps and threads -----------------------------------------------------
+DUMPS = """
+dumps AS (
+  SELECT 'thread' || CAST(conv_id AS VARCHAR) || '.txt' AS file,
+         string_agg(text || chr(10) || chr(10), '' ORDER BY turn) AS value
+  FROM conversations GROUP BY conv_id
+)"""
+
+CHUNKS = f"""
+parts AS (SELECT file, string_split(value, chr(10) || chr(10)) AS p FROM dumps),
+chunks AS (
+  SELECT file, CAST(i - 1 AS BIGINT) AS idx, file || '_' || CAST(i - 1 AS VARCHAR) AS reviewId,
+         {trim_u('p[i]')} AS content
+  FROM parts, range(1, len(p) + 1) AS r(i)
+)"""
+
+DEBRIS_WORDS = ["reply", "share", "report", "upvote", "downvote",
+                "· ", "ago", "points", "sort by", "view more"]
+DEBRIS = "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in DEBRIS_WORDS) + \
+    ") AND length(content) < 60"
+CLEAN = f"""
+clean AS (SELECT * FROM chunks WHERE length(content) >= 25 AND NOT ({DEBRIS}))"""
+
+ORACLE["src_dumps"] = f"""
+WITH {DUMPS}
+SELECT file, CAST(length(value) AS BIGINT) AS value_chars FROM dumps"""
+
+ORACLE["chunk_text"] = f"""
+WITH {DUMPS}, {CHUNKS}
+SELECT file, idx, reviewId, content FROM chunks"""
+
+ORACLE["chunk_clean"] = f"""
+WITH {DUMPS}, {CHUNKS}, {CLEAN}
+SELECT file, idx, reviewId FROM clean"""
+
+ORACLE["dump_reviews"] = f"""
+WITH {DUMPS}, {CHUNKS}, {CLEAN},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY file, idx) AS rn FROM clean)
+SELECT reviewId, file AS thread, idx, 'reddit_manual' AS source FROM ranked WHERE rn = 1"""
+
+THREAD_URL = (f"'{an.THREAD_URL}' || CAST(conv_id AS VARCHAR) || '/conversation_' "
+              f"|| CAST(conv_id AS VARCHAR) || '/'")
+EPOCH_TS = (f"(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST({an.THREAD_EPOCH} "
+            "+ conv_id * 3600 + turn * 60 AS DOUBLE)))")
+
+ORACLE["thread_posts"] = f"""
+SELECT 'p' || CAST(conv_id AS VARCHAR) AS reviewId,
+       {trim_u("'thread ' || CAST(conv_id AS VARCHAR) || '. ' || coalesce(text, '')")} AS content,
+       CAST(conv_id AS BIGINT) AS thumbsUpCount, {EPOCH_TS} AS at, {THREAD_URL} AS thread
+FROM conversations
+WHERE turn = 0
+  AND length({trim_u("'thread ' || CAST(conv_id AS VARCHAR) || '. ' || coalesce(text, '')")}) > 20"""
+
+COMMENTS = """
+comments AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS depth
+  FROM conversations WHERE turn > 0
+)"""
+
+ORACLE["thread_comments"] = f"""
+WITH {COMMENTS}
+SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS reviewId,
+       CAST(CASE WHEN role <> 'system' THEN turn ELSE 0 END AS BIGINT) AS thumbsUpCount,
+       {EPOCH_TS} AS at, {THREAD_URL} AS thread, depth,
+       CAST(length(text) AS BIGINT) AS content_chars
+FROM comments
+WHERE {subst('text')} AND text NOT IN ('[deleted]', '[removed]')"""
+
+ORACLE["thread_report"] = f"""
+SELECT {THREAD_URL} AS thread, TRUE AS ok,
+       CAST(count(*) FILTER (WHERE turn = 0) AS BIGINT) AS posts_kept,
+       CAST(count(*) FILTER (WHERE turn > 0 AND {subst('text')}
+                                  AND text NOT IN ('[deleted]', '[removed]')) AS BIGINT)
+         AS comments_kept,
+       CAST(count(*) FILTER (WHERE turn = 0) + count(*) FILTER (
+            WHERE turn > 0 AND {subst('text')} AND text NOT IN ('[deleted]', '[removed]'))
+            AS BIGINT) AS rows_kept
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["thread_slug"] = f"""
+SELECT {THREAD_URL} AS thread,
+       substr(split_part({THREAD_URL}, '/comments/', 2), 1, 45) AS slug
+FROM (SELECT DISTINCT conv_id FROM conversations)"""

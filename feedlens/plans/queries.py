@@ -15,7 +15,11 @@ from feedlens.operators import categories as cat
 from feedlens.operators import filters as flt
 from feedlens.operators import metrics as met
 from feedlens.operators import ordering as ordr
+from feedlens.functions.text import thread_slug
+from feedlens.session import scratch_path
+from feedlens.sources import files
 from feedlens.sources import landing as land
+from feedlens.sources import threads as thr
 from feedlens.plans import analogues as an
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +244,67 @@ def q_dedup_content(spark, sf_dir):
     """Keep the first review of every exact text, in input order."""
     out = ordr.dedup_keep_first(an.reviews(spark, sf_dir), "content", ("seq",))
     return out.select("reviewId", "source")
+
+
+# --- page dumps and forum threads ----------------------------------------------
+
+def _dumps(spark, sf_dir):
+    path = an.write_conversation_dumps(spark, sf_dir, scratch_path(spark, "dumps"))
+    return files.read_text_dumps(spark, path)
+
+
+@register("src_dumps")
+def q_src_dumps(spark, sf_dir):
+    """Text files read whole, one row per file."""
+    return _dumps(spark, sf_dir).select(
+        "file", F.length("value").cast("long").alias("value_chars"))
+
+
+@register("chunk_text")
+def q_chunk_text(spark, sf_dir):
+    """Blank-line chunks of every dump, stripped, indexed before filtering."""
+    return files.chunk_text(_dumps(spark, sf_dir)).select("file", "idx", "reviewId", "content")
+
+
+@register("chunk_clean")
+def q_chunk_clean(spark, sf_dir):
+    """Chunks kept by the length floor and the UI-debris rule."""
+    return files.clean_chunks(files.chunk_text(_dumps(spark, sf_dir))).select(
+        "file", "idx", "reviewId")
+
+
+@register("dump_reviews")
+def q_dump_reviews(spark, sf_dir):
+    """Dumps to reviews: chunk, clean, keep the first copy of each text."""
+    return files.land_dumps(_dumps(spark, sf_dir)).select("reviewId", "thread", "idx", "source")
+
+
+def _threads(spark, sf_dir):
+    return thr.parse_threads(an.thread_docs(spark, sf_dir))
+
+
+@register("thread_posts")
+def q_thread_posts(spark, sf_dir):
+    """Thread posts: title + '. ' + self text, likes default 0, epoch to time."""
+    return thr.thread_posts(_threads(spark, sf_dir)).select(
+        "reviewId", "content", "thumbsUpCount", "at", "thread")
+
+
+@register("thread_comments")
+def q_thread_comments(spark, sf_dir):
+    """Every comment at every depth of every thread."""
+    return thr.thread_comments(_threads(spark, sf_dir)).select(
+        "reviewId", "thumbsUpCount", "at", "thread", "depth",
+        F.length("content").cast("long").alias("content_chars"))
+
+
+@register("thread_report")
+def q_thread_report(spark, sf_dir):
+    """Per thread: parsed, posts, comments and rows kept."""
+    return thr.thread_report(_threads(spark, sf_dir))
+
+
+@register("thread_slug")
+def q_thread_slug(spark, sf_dir):
+    """Short thread names from URLs."""
+    return an.thread_docs(spark, sf_dir).select("thread", thread_slug("thread").alias("slug"))
