@@ -120,6 +120,19 @@ def shown_mentions(top: DataFrame) -> DataFrame:
     return top.agg(F.coalesce(F.sum("mentions"), F.lit(0)).cast("long").alias("shown_mentions"))
 
 
+def shown_and_all_mentions(counts: DataFrame, k: int = cb.TOP_K_CATEGORIES) -> DataFrame:
+    """One row: mentions over the top ``k`` categories and over all of them.
+
+    The ranking window runs over one row per category, never over mentions.
+    """
+    w = Window.orderBy(F.col("mentions").desc(), F.col("category").asc())
+    ranked = counts.withColumn("_rk", F.row_number().over(w))
+    return ranked.agg(
+        F.coalesce(F.sum(F.when(F.col("_rk") <= k, F.col("mentions"))), F.lit(0))
+        .cast("long").alias("shown_mentions"),
+        F.coalesce(F.sum("mentions"), F.lit(0)).cast("long").alias("all_mentions"))
+
+
 def category_top_k_by_tag(tagged: DataFrame, k: int = cb.TOP_K_CATEGORIES,
                           aliases=None, perishable=None, mode: str | None = None) -> DataFrame:
     """Top ``k`` categories of every tag in one pass (tag, category, mentions, rank)."""

@@ -76,12 +76,8 @@ def q_shown_mentions(spark, sf_dir):
     out = None
     for panel, tag, mode in PANELS:
         counts = cat.category_counts(tagged, tag, mode, an.ANALOG_ALIASES, an.ANALOG_PERISHABLE)
-        top = cat.top_k(counts.select("category", "mentions"))
-        shown = cat.shown_mentions(top)
-        total = counts.agg(F.coalesce(F.sum("mentions"), F.lit(0)).cast("long")
-                           .alias("all_mentions"))
-        part = shown.join(total, how="inner")  # two one-row frames
-        part = part.select(F.lit(panel).alias("panel"), "shown_mentions", "all_mentions")
+        part = cat.shown_and_all_mentions(counts).select(
+            F.lit(panel).alias("panel"), "shown_mentions", "all_mentions")
         out = part if out is None else out.unionByName(part)
     return out
 
