@@ -44,8 +44,7 @@ def read_reviews_csv(spark: SparkSession, path: str,
         if isinstance(f.dataType, T.StringType):
             c = _null_tokens(c)
         if f.name == "thumbsUpCount":
-            c = F.try_cast(c, "long") if not isinstance(f.dataType, T.StringType) else \
-                F.try_cast(F.try_cast(c, "double"), "long")
+            c = c.try_cast("double").try_cast("long")
         elif f.name == "at" and isinstance(f.dataType, T.StringType):
             c = F.try_to_timestamp(c)
         elif f.name == "categories_mentioned" and isinstance(f.dataType, T.StringType):
