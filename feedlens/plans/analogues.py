@@ -245,7 +245,11 @@ def write_conversation_dumps(spark: SparkSession, sf_dir: str, path: str) -> str
         F.concat(F.lit("thread"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("thread"),
         F.col("turn"),
         F.concat(F.col("text"), F.lit("\n")).alias("value"))
-    (lines.repartition("thread").sortWithinPartitions("thread", "turn")
+    # An explicit partition count: AQE would otherwise fold this small shuffle
+    # into one task that writes every file alone.
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (lines.repartition(n, "thread").sortWithinPartitions("thread", "turn")
      .select("thread", "value")
      .write.mode("overwrite").partitionBy("thread").text(path))
     return path
