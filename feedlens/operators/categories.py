@@ -82,6 +82,16 @@ def category_counts_raw(tagged: DataFrame, tag: str,
             .agg(F.count(F.lit(1)).alias("mentions")))
 
 
+def category_counts_raw_by_tag(tagged: DataFrame, tags: list[str],
+                               col: str = "categories_mentioned") -> DataFrame:
+    """A5 for several tags in one scan: (primary_tag, category, mentions)."""
+    m = explode_categories(tagged.filter(F.col("primary_tag").isin(tags)), col,
+                           keep=("primary_tag",))
+    return (m.filter(F.col("category_raw").isNotNull())
+            .groupBy("primary_tag", F.col("category_raw").alias("category"))
+            .agg(F.count(F.lit(1)).alias("mentions")))
+
+
 def category_counts(tagged: DataFrame, tag: str, mode: str | None = None,
                     aliases=None, perishable=None,
                     col: str = "categories_mentioned") -> DataFrame:
@@ -133,6 +143,63 @@ def shown_and_all_mentions(counts: DataFrame, k: int = cb.TOP_K_CATEGORIES) -> D
         F.coalesce(F.sum("mentions"), F.lit(0)).cast("long").alias("all_mentions"))
 
 
+def panel_counts(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
+                 aliases=None, perishable=None) -> DataFrame:
+    """Normalised mentions per (panel, category) for several dashboard panels
+    in one pass: (panel, primary_tag, category, mentions).
+
+    ``panels`` holds (panel name, tag, mode) with mode ``perishable``,
+    ``nonperishable`` or None. The corpus is scanned and exploded once for all
+    panels; mentions are aggregated per (tag, category) before the small
+    broadcast join that assigns them to panels.
+    """
+    spark = tagged.sparkSession
+    tags = sorted({t for _, t, _ in panels})
+    m = explode_categories(tagged.filter(F.col("primary_tag").isin(tags)),
+                           keep=("reviewId", "primary_tag"))
+    m = normalize_categories(m, aliases).filter(F.col("category").isNotNull())
+    cls = _class_table(spark, perishable).select(F.col("category").alias("_cls"))
+    m = (m.join(cls, m["category"] == cls["_cls"], "left")
+         .withColumn("_perishable", F.col("_cls").isNotNull()).drop("_cls"))
+    counts = m.groupBy("primary_tag", "category", "_perishable").agg(
+        F.count(F.lit(1)).alias("mentions"))
+    spec = bounded_broadcast(
+        spark.createDataFrame(panels, "panel string, _tag string, _mode string"), len(panels))
+    keep = (spec["_mode"].isNull()
+            | ((spec["_mode"] == F.lit("perishable")) & counts["_perishable"])
+            | ((spec["_mode"] == F.lit("nonperishable")) & ~counts["_perishable"]))
+    j = counts.join(spec, (counts["primary_tag"] == spec["_tag"]) & keep, "inner")
+    return j.select("panel", "primary_tag", "category", "mentions")
+
+
+def category_panels(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
+                    k: int = cb.TOP_K_CATEGORIES, aliases=None, perishable=None) -> DataFrame:
+    """Top ``k`` categories of each panel (A6 for several panels at once):
+    (panel, primary_tag, category, mentions, rank). The rank window runs over
+    one row per (panel, category)."""
+    c = panel_counts(tagged, panels, aliases, perishable)
+    w = Window.partitionBy("panel").orderBy(F.col("mentions").desc(), F.col("category").asc())
+    return c.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def panel_mentions(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
+                   k: int = cb.TOP_K_CATEGORIES, aliases=None, perishable=None) -> DataFrame:
+    """Per panel: mentions behind the shown top ``k`` and all mentions."""
+    c = panel_counts(tagged, panels, aliases, perishable)
+    w = Window.partitionBy("panel").orderBy(F.col("mentions").desc(), F.col("category").asc())
+    ranked = c.withColumn("_rk", F.row_number().over(w))
+    sums = ranked.groupBy("panel").agg(
+        F.sum(F.when(F.col("_rk") <= k, F.col("mentions"))).alias("_shown"),
+        F.sum("mentions").alias("_all"))
+    names = bounded_broadcast(tagged.sparkSession.createDataFrame(
+        [(p,) for p, _, _ in panels], "panel string"), len(panels))
+    # A panel without mentions still reports zero, as the dashboard does.
+    return names.join(sums, "panel", "left").select(
+        "panel",
+        F.coalesce("_shown", F.lit(0)).cast("long").alias("shown_mentions"),
+        F.coalesce("_all", F.lit(0)).cast("long").alias("all_mentions"))
+
+
 def category_top_k_by_tag(tagged: DataFrame, k: int = cb.TOP_K_CATEGORIES,
                           aliases=None, perishable=None, mode: str | None = None) -> DataFrame:
     """Top ``k`` categories of every tag in one pass (tag, category, mentions, rank)."""

@@ -91,18 +91,28 @@ def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = N
         src = src.repartition(parallelism, "batch_id")
     out = src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
     if materialize:
+        # Parse before materialising, so readers of the checkpoint never
+        # re-parse the reply text.
+        out = parse_reply_column(out)
         checkpoint_root(out.sparkSession)
         out = out.checkpoint(eager=True)
     return out
 
 
+def parse_reply_column(replies: DataFrame) -> DataFrame:
+    """Add ``_parsed`` (array of R2 structs, null when the reply does not parse)."""
+    if "_parsed" in replies.columns:
+        return replies
+    return replies.withColumn(
+        "_parsed", F.from_json(strip_fence(F.col("reply")), schemas.TAG_REPLY))
+
+
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(status, tags) from raw replies.
 
     status: (batch_id, n_rows, ok, error, n_tags); tags: (batch_id, R2 columns).
     """
-    parsed = replies.withColumn(
-        "_parsed", F.from_json(strip_fence(F.col("reply")), schemas.TAG_REPLY))
+    parsed = parse_reply_column(replies)
     status = parsed.select(
         "batch_id", "n_rows",
         (F.col("error").isNull() & F.col("_parsed").isNotNull()).alias("ok"),

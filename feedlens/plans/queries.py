@@ -43,43 +43,24 @@ PANELS = [
 @register("category_top_k")
 def q_category_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which categories does each fear sit in: the two dashboard panels."""
-    tagged = an.tagged(spark, sf_dir)
-    parts = []
-    for panel, tag, mode in PANELS:
-        top = cat.category_top_k(tagged, tag, mode, aliases=an.ANALOG_ALIASES,
-                                 perishable=an.ANALOG_PERISHABLE)
-        parts.append(top.select(F.lit(panel).alias("panel"), F.lit(tag).alias("primary_tag"),
-                                "category", F.col("mentions").cast("long").alias("mentions"),
-                                "rank"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    top = cat.category_panels(an.tagged(spark, sf_dir), PANELS, aliases=an.ANALOG_ALIASES,
+                              perishable=an.ANALOG_PERISHABLE)
+    return top.select("panel", "primary_tag", "category",
+                      F.col("mentions").cast("long").alias("mentions"), "rank")
 
 
 @register("category_counts_raw")
 def q_category_counts_raw(spark, sf_dir):
     """Mentions per category as written, for the two tags the reports print (A5)."""
-    tagged = an.tagged(spark, sf_dir)
-    out = None
-    for tag in ("TRUST_QUALITY", "TRUST_AUTHENTICITY"):
-        part = cat.category_counts_raw(tagged, tag).select(
-            F.lit(tag).alias("primary_tag"), "category", "mentions")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cat.category_counts_raw_by_tag(an.tagged(spark, sf_dir),
+                                          ["TRUST_QUALITY", "TRUST_AUTHENTICITY"])
 
 
 @register("shown_mentions")
 def q_shown_mentions(spark, sf_dir):
     """Mentions behind each panel's top 8 (A7) next to all mentions of the panel."""
-    tagged = an.tagged(spark, sf_dir)
-    out = None
-    for panel, tag, mode in PANELS:
-        counts = cat.category_counts(tagged, tag, mode, an.ANALOG_ALIASES, an.ANALOG_PERISHABLE)
-        part = cat.shown_and_all_mentions(counts).select(
-            F.lit(panel).alias("panel"), "shown_mentions", "all_mentions")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return cat.panel_mentions(an.tagged(spark, sf_dir), PANELS, aliases=an.ANALOG_ALIASES,
+                              perishable=an.ANALOG_PERISHABLE)
 
 
 @register("category_mentions")
