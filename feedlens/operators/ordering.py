@@ -41,6 +41,8 @@ def row_index(df: DataFrame, order_col: str, idx_col: str = "idx",
                            handleInvalid="keep").transform(keyed)
     else:
         keyed = keyed.withColumn("_b", F.lit(0.0))
+    # Bucket sizes: a partial hash aggregate that reads only the key (and what
+    # the input's own filters need), one row per bucket and task.
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket: the running sum runs over at most `buckets` rows.
     offsets = counts.select(

@@ -63,18 +63,36 @@ def _any_contains(low: Column, words: list[str]) -> Column:
 def rule_tag(text: Column | str, book: RuleBook = REVIEW_BOOK) -> Column:
     """Struct(primary_tag, secondary_tag, categories_mentioned, explored_new, sentiment)."""
     text = F.col(text) if isinstance(text, str) else text
+    # Plain CASE chains and array concatenation, no lambdas: the whole struct
+    # stays in generated code, where the lower-cased text is computed once per
+    # row and shared by every substring test.
     low = F.lower(F.coalesce(text, F.lit("")))
-    fired = F.filter(
-        F.array(*[F.when(_any_contains(low, words), F.lit(tag)) for tag, words in book.rules]),
-        lambda x: x.isNotNull())
-    cats = F.filter(F.array(*[F.lit(w) for w in book.categories]), lambda w: F.contains(low, w))
+    hits = [(tag, _any_contains(low, words)) for tag, words in book.rules]
+
+    def first_of(cands, default=None):
+        expr = None
+        for tag, hit in cands:
+            expr = F.when(hit, F.lit(tag)) if expr is None else expr.when(hit, F.lit(tag))
+        if expr is None:
+            return F.lit(default).cast("string")
+        return expr.otherwise(F.lit(default).cast("string"))
+
+    primary = first_of(hits, book.default_tag)
+    secondary = None
+    for i, (_, hit) in enumerate(hits):
+        nxt = first_of(hits[i + 1:])
+        secondary = F.when(hit, nxt) if secondary is None else secondary.when(hit, nxt)
+    secondary = F.lit(None).cast("string") if secondary is None else secondary
+    empty = F.array().cast("array<string>")
+    cats = F.concat(*[F.when(low.contains(w), F.array(F.lit(w))).otherwise(empty)
+                      for w in book.categories]) if book.categories else empty
     pos = _any_contains(low, book.positive)
     neg = _any_contains(low, book.negative)
     sentiment = (F.when(pos & neg, F.lit("mixed")).when(pos, F.lit("positive"))
                  .when(neg, F.lit("negative")).otherwise(F.lit(book.default_sentiment)))
     return F.struct(
-        F.coalesce(F.try_element_at(fired, F.lit(1)), F.lit(book.default_tag)).alias("primary_tag"),
-        F.try_element_at(fired, F.lit(2)).alias("secondary_tag"),
+        primary.alias("primary_tag"),
+        secondary.alias("secondary_tag"),
         cats.alias("categories_mentioned"),
         _any_contains(low, book.explored).alias("explored_new"),
         sentiment.alias("sentiment"),
