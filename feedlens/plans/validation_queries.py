@@ -129,8 +129,9 @@ def q_write_table(spark, sf_dir):
 @register("live_run")
 def q_live_run(spark, sf_dir):
     """New store reviews tagged as a stream, kept apart from the corpus."""
-    texts = an.table(spark, sf_dir, "documents").select("doc_id", "text")
-    stream = live.feed_stream(spark, sf_dir, texts, glob="events.parquet")
+    feed = an.play_export(spark, sf_dir).select("reviewId", "content", "at", "seq")
+    landing = live.land_feed(feed, scratch_path(spark, "landing"), files=8)
+    stream = live.feed_stream(spark, landing, max_files=4)   # two micro-batches
     out = scratch_path(spark, "live_tagged")
     q = live.start_live_run(stream, TAGGER, out, scratch_path(spark, "live_ckpt"),
                             run_id=uuid.uuid4().hex[:8])

@@ -78,6 +78,9 @@ def comment_nodes(parsed: DataFrame) -> DataFrame:
     """
     spark = parsed.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", str(RECURSION_ROW_LIMIT))
+    # Every round goes one level deeper into a finite document, so the walk
+    # always ends; deep reply chains must not hit the default of 100 levels.
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     walk = spark.sql(_WALK, threads=parsed.select("thread", "v"))
     return walk.select(
         "thread",

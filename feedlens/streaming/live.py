@@ -1,12 +1,15 @@
 """Live runs as a stream.
 
-New store reviews land as files; a file stream picks them up, drops repeats
-of a review id within the watermark, keeps substantive text and tags each
-micro-batch with the same batch job as the frozen corpus (``tag_reviews``).
-Results go to a separate ``live_tagged`` table, stamped with a ``run_id``,
-and never touch the corpus. Each micro-batch is written to its own
-``epoch=<id>`` folder with overwrite, so a retried epoch replaces its own
-output instead of appending twice.
+New store reviews land as Parquet files (reviewId, content, at, seq); a file
+stream picks them up, drops repeats of a review id within the watermark,
+keeps substantive text and tags each micro-batch with the same batch job as
+the frozen corpus (``tag_reviews``). Results go to a separate ``live_tagged``
+table, stamped with a ``run_id``, and never touch the corpus. Each
+micro-batch is written to its own ``epoch=<id>`` folder with overwrite, so a
+retried epoch replaces its own output instead of appending twice.
+
+The stream carries its own text: no micro-batch joins back to a large static
+table.
 """
 
 from __future__ import annotations
@@ -19,34 +22,34 @@ from pyspark.sql.streaming import StreamingQuery
 from feedlens.functions.text import substantive
 from feedlens.operators import tagging as tg
 
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("props", T.StringType()),
+LANDED = T.StructType([
+    T.StructField("reviewId", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("at", T.TimestampNTZType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 
-def feed_stream(spark: SparkSession, landing_dir: str, texts: DataFrame,
-                glob: str = "*.parquet", watermark: str = "1 hour",
-                max_files: int | None = None) -> DataFrame:
-    """Streaming reviews (reviewId, content, at, seq) from landed feed files.
+def land_feed(feed: DataFrame, landing_dir: str, files: int) -> str:
+    """Write feed rows (reviewId, content, at, seq) as ``files`` Parquet files,
+    the way a collector drops new reviews into the landing folder."""
+    (feed.select(*[f.name for f in LANDED.fields]).repartitionByRange(files, "seq")
+     .write.mode("overwrite").parquet(landing_dir))
+    return landing_dir
 
-    ``texts`` (doc_id, text) is the static side of a stream-static join.
-    """
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob)
+
+def feed_stream(spark: SparkSession, landing_dir: str, watermark: str = "1 hour",
+                max_files: int | None = None) -> DataFrame:
+    """Streaming reviews from landed files: deduplicated on ``reviewId`` within
+    the watermark, substantive text only."""
+    reader = spark.readStream.schema(LANDED)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    ev = reader.parquet(landing_dir)
-    ev = (ev.withColumn("at", F.col("ts").cast("timestamp"))
-          .withWatermark("at", watermark)
-          .dropDuplicatesWithinWatermark(["event_id"]))
-    j = ev.join(texts, ev["user_id"] == texts["doc_id"], "inner")
-    return j.select(F.col("event_id").cast("string").alias("reviewId"),
-                    F.col("text").alias("content"), "at",
-                    F.col("event_id").alias("seq")).filter(substantive("content"))
+    s = reader.parquet(landing_dir)
+    s = (s.withColumn("_event_time", F.col("at").cast("timestamp"))
+         .withWatermark("_event_time", watermark)
+         .dropDuplicatesWithinWatermark(["reviewId"]))
+    return s.filter(substantive("content")).drop("_event_time")
 
 
 def tag_view(tags: DataFrame) -> DataFrame:
