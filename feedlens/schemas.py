@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# One row per review, post, comment or text chunk.
+# One row per review, post, comment or text chunk. Times are wall-clock
+# (TIMESTAMP_NTZ), so results never depend on the session time zone.
 REVIEWS = T.StructType([
     T.StructField("reviewId", T.StringType(), False),
     T.StructField("content", T.StringType(), True),
     T.StructField("score", T.DoubleType(), True),
     T.StructField("thumbsUpCount", T.LongType(), True),
-    T.StructField("at", T.TimestampType(), True),
+    T.StructField("at", T.TimestampNTZType(), True),
     T.StructField("source", T.StringType(), True),
     T.StructField("thread", T.StringType(), True),
 ])
@@ -30,6 +31,18 @@ TAG_REPLY = T.ArrayType(TAG)
 # Reviews joined to tags (13 columns, in the reference's CSV order).
 TAGGED = T.StructType(list(REVIEWS.fields) + list(TAG.fields))
 
+# R1 as stored in CSV exports: the like count was written as a float, and `at`
+# holds either a date-time or epoch seconds (forum rows).
+REVIEWS_CSV = T.StructType([
+    T.StructField("reviewId", T.StringType(), True),
+    T.StructField("content", T.StringType(), True),
+    T.StructField("score", T.DoubleType(), True),
+    T.StructField("thumbsUpCount", T.DoubleType(), True),
+    T.StructField("at", T.StringType(), True),
+    T.StructField("source", T.StringType(), True),
+    T.StructField("thread", T.StringType(), True),
+])
+
 # R3 as stored in CSV exports: the category list is a Python-literal string and
 # thumbsUpCount was written as a float.
 TAGGED_CSV = T.StructType([
@@ -65,13 +78,13 @@ PLAY_EXPORT = T.StructType([
     T.StructField("content", T.StringType(), True),
     T.StructField("score", T.IntegerType(), True),
     T.StructField("thumbsUpCount", T.LongType(), True),
-    T.StructField("at", T.TimestampType(), True),
+    T.StructField("at", T.TimestampNTZType(), True),
 ])
 APPSTORE_EXPORT = T.StructType([
     T.StructField("id", T.StringType(), True),
     T.StructField("content", T.StringType(), True),
     T.StructField("rating", T.IntegerType(), True),
-    T.StructField("date", T.TimestampType(), True),
+    T.StructField("date", T.TimestampNTZType(), True),
 ])
 
 # One thread document per row (raw JSON text; parsed to VARIANT).

@@ -15,6 +15,7 @@ from feedlens.functions.lists import parse_list
 from feedlens.functions.text import trim_u
 from feedlens.operators.filters import drop_ui_debris, min_chunk
 from feedlens.operators.ordering import dedup_keep_first
+from feedlens.sources.threads import epoch_to_ts
 
 # Fixed value: the tokens pandas' CSV reader reads as missing.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -46,7 +47,9 @@ def read_reviews_csv(spark: SparkSession, path: str,
         if f.name == "thumbsUpCount":
             c = c.try_cast("double").try_cast("long")
         elif f.name == "at" and isinstance(f.dataType, T.StringType):
-            c = F.try_to_timestamp(c)
+            # A date-time (store rows) or epoch seconds (forum rows), as wall-clock time.
+            c = F.coalesce(F.try_to_timestamp(c).cast("timestamp_ntz"),
+                           epoch_to_ts(c.try_cast("double")))
         elif f.name == "categories_mentioned" and isinstance(f.dataType, T.StringType):
             c = parse_list(c)
         elif f.name == "explored_new" and isinstance(f.dataType, T.StringType):
@@ -119,7 +122,7 @@ def land_dumps(dumps: DataFrame, source: str = "reddit_manual") -> DataFrame:
         "reviewId", "content",
         F.lit(None).cast("double").alias("score"),
         F.lit(None).cast("long").alias("thumbsUpCount"),
-        F.lit(None).cast("timestamp").alias("at"),
+        F.lit(None).cast("timestamp_ntz").alias("at"),
         F.lit(source).alias("source"),
         F.col("file").alias("thread"),
         "idx",

@@ -99,6 +99,18 @@ def test_csv_roundtrip_multiline_tokens_and_literals(spark, tmp_dir):
     assert rows["u1"].at == dt.datetime(2024, 7, 1, 10, 0)
 
 
+def test_reviews_csv_epoch_and_float_likes(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "reddit.csv")
+    with open(p, "w") as f:
+        f.write("reviewId,content,score,thumbsUpCount,at,source,thread\n"
+                "abc,a comment that is long enough,,12.0,1700000000.0,reddit,https://x/comments/1/\n"
+                "def,a store review that is long,4.0,0.0,2024-07-01 10:00:00,play_store,\n")
+    rows = {r.reviewId: r for r in files.read_reviews_csv(spark, p, schemas.REVIEWS_CSV).collect()}
+    assert rows["abc"].at == dt.datetime(2023, 11, 14, 22, 13, 20)
+    assert rows["abc"].thumbsUpCount == 12 and rows["abc"].score is None
+    assert rows["def"].at == dt.datetime(2024, 7, 1, 10, 0) and rows["def"].thread is None
+
+
 def test_parse_list_literal_cases(spark):
     values = ["['a', 'b']", "[\"baby's food\"]", "[]", "['a',]", "('a', 'b')", "['x', None]",
               "None", "5", "oops", None, "'abc'", '["ice cream", "Veg "]']
