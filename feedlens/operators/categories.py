@@ -34,9 +34,14 @@ def explode_categories(tagged: DataFrame, col: str = "categories_mentioned",
                        keep: tuple[str, ...] = ("reviewId", "primary_tag", "source")) -> DataFrame:
     """One row per mention (P8): keep columns + ``pos`` + ``category_raw``.
 
-    Null or empty lists give no rows, as the reference's loop does.
+    Null or empty lists give no rows, as the reference's loop does. The outer
+    form plus a null-position filter is used on purpose: a plain ``posexplode``
+    makes Catalyst infer a ``size(list) > 0`` filter below it, which copies the
+    list expression - and, for lists parsed by the Python tier, runs the parser
+    twice.
     """
-    return tagged.select(*keep, F.posexplode(col).alias("pos", "category_raw"))
+    return (tagged.select(*keep, F.posexplode_outer(col).alias("pos", "category_raw"))
+            .filter(F.col("pos").isNotNull()))
 
 
 def normalize_categories(mentions: DataFrame, aliases=None,

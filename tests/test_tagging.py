@@ -106,6 +106,15 @@ def test_join_coverage_and_codebook(spark):
     assert bad == [("b", "unknown sentiment"), ("zz", "unknown primary_tag")]
 
 
+def test_empty_input_gives_empty_outputs(spark):
+    df = reviews(spark).filter("false")
+    job = tg.tag_reviews(df, rules.RuleTagger())
+    assert job["status"].count() == 0 and job["tagged"].count() == 0
+    rep = {r.metric: r.value for r in
+           tg.run_report(df, job["status"], job["tags"], job["tagged"]).collect()}
+    assert rep["rows_loaded"] == 0 and rep["batches"] == 0
+
+
 def test_run_report(spark):
     df = reviews(spark, 30)
     job = tg.tag_reviews(df, FailingTagger({"r15"}), budget=None)
