@@ -79,6 +79,22 @@ def _call_tagger(tagger: Tagger):
     return run
 
 
+# One Arrow record here is a whole batch of texts, so the default of 10,000
+# records per Arrow batch could hand a Python worker gigabytes at once.
+MAX_ARROW_BATCH_BYTES = 64 * 1024 * 1024
+
+
+def _bound_arrow_batches(spark) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    current = spark.conf.get(key, None)
+    try:
+        too_big = current is None or int(str(current).rstrip("bB")) > MAX_ARROW_BATCH_BYTES
+    except ValueError:
+        too_big = False  # a size string such as "32m": the user chose it
+    if too_big:
+        spark.conf.set(key, str(MAX_ARROW_BATCH_BYTES))
+
+
 def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = None,
                 materialize: bool = True) -> DataFrame:
     """Run ``tagger`` once per batch (T3, T4): (batch_id, n_rows, reply, error).
@@ -89,6 +105,7 @@ def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = N
     src = batch_df.select("batch_id", "n_rows", "rows")
     if parallelism is not None:
         src = src.repartition(parallelism, "batch_id")
+    _bound_arrow_batches(src.sparkSession)
     out = src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
     if materialize:
         # Parse before materialising, so readers of the checkpoint never
