@@ -215,11 +215,16 @@ def run_report(loaded: DataFrame, status: DataFrame, kept_tags: DataFrame,
 
 def tag_reviews(reviews: DataFrame, tagger: Tagger, order_col: str = "seq",
                 size: int = cb.BATCH_SIZE, budget: int | None = cb.FAILURE_BUDGET,
-                parallelism: int | None = None) -> dict[str, DataFrame]:
+                parallelism: int | None = None, materialize: bool = True) -> dict[str, DataFrame]:
     """The whole job: returns ``batched``, ``replies``, ``status``, ``tags`` and
-    ``tagged`` (reviews joined to the kept tags)."""
+    ``tagged`` (reviews joined to the kept tags).
+
+    ``materialize=False`` skips the checkpoint; only for callers that read the
+    tags exactly once (a budget needs a second read, so it forces one).
+    """
     batched = batch_rows(reviews, order_col, size)
-    replies = call_tagger(batches(batched), tagger, parallelism)
+    replies = call_tagger(batches(batched), tagger, parallelism,
+                          materialize=materialize or budget is not None)
     status, tags = parse_replies(replies)
     if budget is not None:
         tags = failure_budget(status, tags, budget)
