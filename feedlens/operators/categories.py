@@ -151,12 +151,15 @@ def shown_and_all_mentions(counts: DataFrame, k: int = cb.TOP_K_CATEGORIES) -> D
 def panel_counts(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
                  aliases=None, perishable=None) -> DataFrame:
     """Normalised mentions per (panel, category) for several dashboard panels
-    in one pass: (panel, primary_tag, category, mentions).
+    in one pass: (panel, primary_tag, category, mentions, reviews).
 
     ``panels`` holds (panel name, tag, mode) with mode ``perishable``,
     ``nonperishable`` or None. The corpus is scanned and exploded once for all
     panels; mentions are aggregated per (tag, category) before the small
-    broadcast join that assigns them to panels.
+    broadcast join that assigns them to panels. ``mentions`` counts every
+    mention (two aliases in one review count twice, as in the reference);
+    ``reviews`` counts distinct reviews, which is what the dashboard's caption
+    says it shows.
     """
     spark = tagged.sparkSession
     tags = sorted({t for _, t, _ in panels})
@@ -167,14 +170,14 @@ def panel_counts(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
     m = (m.join(cls, m["category"] == cls["_cls"], "left")
          .withColumn("_perishable", F.col("_cls").isNotNull()).drop("_cls"))
     counts = m.groupBy("primary_tag", "category", "_perishable").agg(
-        F.count(F.lit(1)).alias("mentions"))
+        F.count(F.lit(1)).alias("mentions"), F.count_distinct("reviewId").alias("reviews"))
     spec = bounded_broadcast(
         spark.createDataFrame(panels, "panel string, _tag string, _mode string"), len(panels))
     keep = (spec["_mode"].isNull()
             | ((spec["_mode"] == F.lit("perishable")) & counts["_perishable"])
             | ((spec["_mode"] == F.lit("nonperishable")) & ~counts["_perishable"]))
     j = counts.join(spec, (counts["primary_tag"] == spec["_tag"]) & keep, "inner")
-    return j.select("panel", "primary_tag", "category", "mentions")
+    return j.select("panel", "primary_tag", "category", "mentions", "reviews")
 
 
 def category_panels(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
@@ -203,15 +206,3 @@ def panel_mentions(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
         "panel",
         F.coalesce("_shown", F.lit(0)).cast("long").alias("shown_mentions"),
         F.coalesce("_all", F.lit(0)).cast("long").alias("all_mentions"))
-
-
-def category_top_k_by_tag(tagged: DataFrame, k: int = cb.TOP_K_CATEGORIES,
-                          aliases=None, perishable=None, mode: str | None = None) -> DataFrame:
-    """Top ``k`` categories of every tag in one pass (tag, category, mentions, rank)."""
-    m = explode_categories(tagged, keep=("reviewId", "primary_tag"))
-    m = normalize_categories(m, aliases).filter(F.col("category").isNotNull())
-    m = filter_class(m, mode, perishable)
-    counts = m.groupBy("primary_tag", "category").agg(F.count(F.lit(1)).alias("mentions"))
-    w = Window.partitionBy("primary_tag").orderBy(F.col("mentions").desc(), F.col("category"))
-    return (counts.withColumn("rank", F.row_number().over(w).cast("long"))
-            .filter(F.col("rank") <= k))

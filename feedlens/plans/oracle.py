@@ -80,9 +80,10 @@ def _panel_sql(panel: str, tag: str, mode: str) -> str:
     member = f"category IN (SELECT category FROM {PERISHABLE_VALUES})"
     cond = member if mode == "perishable" else f"NOT ({member})"
     return f"""
-  SELECT '{panel}' AS panel, '{tag}' AS primary_tag, category, mentions,
+  SELECT '{panel}' AS panel, '{tag}' AS primary_tag, category, mentions, reviews,
          CAST(row_number() OVER (ORDER BY mentions DESC, category ASC) AS BIGINT) AS rank
-  FROM (SELECT category, CAST(count(*) AS BIGINT) AS mentions
+  FROM (SELECT category, CAST(count(*) AS BIGINT) AS mentions,
+               CAST(count(DISTINCT reviewId) AS BIGINT) AS reviews
         FROM normalized WHERE primary_tag = '{tag}' AND category IS NOT NULL AND {cond}
         GROUP BY category
         ORDER BY mentions DESC, category ASC LIMIT 8)"""

@@ -46,7 +46,8 @@ def q_category_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = cat.category_panels(an.tagged(spark, sf_dir), PANELS, aliases=an.ANALOG_ALIASES,
                               perishable=an.ANALOG_PERISHABLE)
     return top.select("panel", "primary_tag", "category",
-                      F.col("mentions").cast("long").alias("mentions"), "rank")
+                      F.col("mentions").cast("long").alias("mentions"),
+                      F.col("reviews").cast("long").alias("reviews"), "rank")
 
 
 @register("category_counts_raw")
