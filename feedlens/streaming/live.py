@@ -61,11 +61,21 @@ def start_live_run(stream: DataFrame, tagger, out_dir: str, checkpoint_dir: str,
                    run_id: str, available_now: bool = True) -> StreamingQuery:
     """Tag every micro-batch with ``tag_reviews`` and write it under ``out_dir``."""
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        # The tags of a micro-batch are read once, by the write below, so the
-        # tagger runs once per batch without a checkpoint.
-        job = tg.tag_reviews(batch, tagger, order_col="seq", budget=None, materialize=False)
-        out = tag_view(job["tags"]).withColumn("run_id", F.lit(run_id))
-        out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+        # The batch job runs several actions (row index bounds, the tagging
+        # write); persisting the micro-batch keeps the stateful dedup from
+        # running once per action. Empty batches (watermark-only) are skipped.
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            # The tags are read once, by the write below, so the tagger runs
+            # once per batch without a checkpoint.
+            job = tg.tag_reviews(batch, tagger, order_col="seq", budget=None,
+                                 materialize=False)
+            out = tag_view(job["tags"]).withColumn("run_id", F.lit(run_id))
+            out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
