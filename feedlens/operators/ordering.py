@@ -37,8 +37,11 @@ def row_index(df: DataFrame, order_col: str, idx_col: str = "idx",
     splits = [float("-inf")] + [b for b in bounds if b not in (float("-inf"), float("inf"))] \
         + [float("inf")]
     if len(splits) > 2:
+        # NaN keys get an extra last bucket ("keep"); null keys a first one, as
+        # both sort in Spark's ascending order.
         keyed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b",
                            handleInvalid="keep").transform(keyed)
+        keyed = keyed.withColumn("_b", F.coalesce(F.col("_b"), F.lit(-1.0)))
     else:
         keyed = keyed.withColumn("_b", F.lit(0.0))
     # Bucket sizes: a partial hash aggregate that reads only the key (and what

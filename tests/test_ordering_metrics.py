@@ -19,6 +19,14 @@ def test_row_index_dense_and_partition_independent(spark, parts):
     assert all(r.idx == (r.k - 3) // 7 for r in rows)
 
 
+def test_row_index_keeps_null_keys_first(spark):
+    df = spark.createDataFrame([(None,), (5,), (1,), (None,), (3,)] * 1, "k long").repartition(3)
+    rows = ordr.row_index(df, "k", buckets=3).collect()
+    assert sorted(r.idx for r in rows) == [0, 1, 2, 3, 4]
+    assert sorted(r.idx for r in rows if r.k is None) == [0, 1]
+    assert [r.k for r in sorted(rows, key=lambda r: r.idx)][2:] == [1, 3, 5]
+
+
 @pytest.mark.parametrize("parts", [1, 4, 16])
 def test_dedup_keeps_first_copy_even_for_a_hot_text(spark, parts):
     # one text holds a third of all rows, spread over every partition
