@@ -20,6 +20,7 @@ Plan of ``tag_reviews``:
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -72,8 +73,10 @@ def _call_tagger(tagger: Tagger):
                 payload = [{"id": r["id"], "text": r["text"]} for r in rows]
                 try:
                     reply, error = tagger(payload), None
+                    if reply is not None and not isinstance(reply, str):
+                        reply = json.dumps(reply)  # a tagger may return parsed tags
                 except Exception as e:  # noqa: BLE001 - a failed call is data (T4)
-                    reply, error = None, f"{type(e).__name__}: {e}"
+                    reply, error = None, f"{type(e).__name__}: {e}"[:1000]
                 out.append((int(batch_id), int(n_rows), reply, error))
             yield pd.DataFrame(out, columns=["batch_id", "n_rows", "reply", "error"])
     return run

@@ -388,3 +388,16 @@ ORACLE["thread_slug"] = f"""
 SELECT {THREAD_URL} AS thread,
        substr(split_part({THREAD_URL}, '/comments/', 2), 1, 45) AS slug
 FROM (SELECT DISTINCT conv_id FROM conversations)"""
+
+ORACLE["thread_reviews"] = f"""
+WITH rows AS (
+  SELECT 'p' || CAST(conv_id AS VARCHAR) AS reviewId, {THREAD_URL} AS thread, turn,
+         {trim_u("'thread ' || CAST(conv_id AS VARCHAR) || '. ' || coalesce(text, '')")} AS content
+  FROM conversations WHERE turn = 0
+  UNION ALL
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), {THREAD_URL}, turn, text
+  FROM conversations WHERE turn > 0
+),
+kept AS (SELECT * FROM rows WHERE {subst('content')} AND content NOT IN ('[deleted]', '[removed]')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY thread, turn) AS rn FROM kept)
+SELECT reviewId, thread, CAST(length(content) AS BIGINT) AS content_chars FROM ranked WHERE rn = 1"""

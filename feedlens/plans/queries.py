@@ -286,3 +286,10 @@ def q_thread_report(spark, sf_dir):
 def q_thread_slug(spark, sf_dir):
     """Short thread names from URLs."""
     return an.thread_docs(spark, sf_dir).select("thread", thread_slug("thread").alias("slug"))
+
+
+@register("thread_reviews")
+def q_thread_reviews(spark, sf_dir):
+    """Thread posts and comments, each text kept once in thread order."""
+    return thr.land_threads(_threads(spark, sf_dir)).select(
+        "reviewId", "thread", F.length("content").cast("long").alias("content_chars"))

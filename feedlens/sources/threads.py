@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
 from feedlens.functions.text import substantive, trim_u
+from feedlens.operators.ordering import dedup_keep_first
 
 # Rows a recursive walk may produce before Spark stops it; raised from the
 # default (1,000,000) because a forum export easily holds more comments.
@@ -116,6 +117,21 @@ def thread_comments(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> D
                        & ~F.col("content").isin("[deleted]", "[removed]"))
 
 
+def land_threads(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
+    """Posts and comments of all threads as R1 rows, each text kept once.
+
+    Input order is thread, then the post, then comments depth-first; the first
+    copy of a text in that order is kept, as the reference's forum job does.
+    """
+    empty_path = F.array().cast("array<int>")
+    posts = thread_posts(parsed, min_len).withColumn("_rank", F.lit(0)) \
+        .withColumn("path", empty_path)
+    comments = thread_comments(parsed, min_len).drop("depth").withColumn("_rank", F.lit(1))
+    rows = posts.unionByName(comments)
+    first = dedup_keep_first(rows, "content", ("thread", "_rank", "path"))
+    return first.drop("_rank")
+
+
 def thread_report(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
     """Per thread: did it parse, posts kept, comments kept, rows kept.
 

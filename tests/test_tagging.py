@@ -106,6 +106,13 @@ def test_join_coverage_and_codebook(spark):
     assert bad == [("b", "unknown sentiment"), ("zz", "unknown primary_tag")]
 
 
+def test_tagger_may_return_parsed_tags(spark):
+    inner = rules.RuleTagger()
+    job = tg.tag_reviews(reviews(spark, 20), lambda rows: [inner.tag_one(r["id"], r["text"])
+                                                           for r in rows])
+    assert job["tagged"].count() == 20
+
+
 def test_empty_input_gives_empty_outputs(spark):
     df = reviews(spark).filter("false")
     job = tg.tag_reviews(df, rules.RuleTagger())
