@@ -27,10 +27,12 @@ def _literal_items(s):
         value = ast.literal_eval(s)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
-    if isinstance(value, (dict, set)) or not hasattr(value, "__iter__"):
+    if not hasattr(value, "__iter__"):
         return None
     try:
-        return [str(item) for item in value]
+        if isinstance(value, (set, frozenset)):  # Python's own order is arbitrary
+            return sorted(str(item) for item in value)
+        return [str(item) for item in value]  # a dict gives its keys, as in Python
     except TypeError:
         return None
 

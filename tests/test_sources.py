@@ -113,12 +113,14 @@ def test_reviews_csv_epoch_and_float_likes(spark, tmp_dir):
 
 def test_parse_list_literal_cases(spark):
     values = ["['a', 'b']", "[\"baby's food\"]", "[]", "['a',]", "('a', 'b')", "['x', None]",
-              "None", "5", "oops", None, "'abc'", '["ice cream", "Veg "]']
+              "None", "5", "oops", None, "'abc'", '["ice cream", "Veg "]', "{'k': 1}",
+              "{'b', 'a'}", "[1, 2.5]"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
     got = [r.l for r in df.select(parse_list("s").alias("l")).orderBy(F.lit(1)).collect()]
     got = [r.l for r in df.orderBy("i").select(parse_list("s").alias("l")).collect()]
     assert got == [["a", "b"], ["baby's food"], [], ["a"], ["a", "b"], ["x", "None"],
-                   None, None, None, None, ["a", "b", "c"], ["ice cream", "Veg "]]
+                   None, None, None, None, ["a", "b", "c"], ["ice cream", "Veg "], ["k"],
+                   ["a", "b"], ["1", "2.5"]]
 
 
 def _write_dumps(d):
