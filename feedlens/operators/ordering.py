@@ -26,7 +26,13 @@ from feedlens.operators.common import bounded_broadcast
 
 def row_index(df: DataFrame, order_col: str, idx_col: str = "idx",
               buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
-    """Add a dense 0-based position in ``order_col`` order (unique keys assumed)."""
+    """Add a dense 0-based position in ``order_col`` order (unique keys assumed).
+
+    ``order_col`` must be numeric (an id, a sequence number, epoch time).
+    """
+    if not isinstance(df.schema[order_col].dataType, T.NumericType):
+        raise ValueError(f"row_index needs a numeric order column, got "
+                         f"{df.schema[order_col].dataType.simpleString()} for {order_col!r}")
     spark = df.sparkSession
     if buckets is None:
         buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -70,6 +70,17 @@ def test_union_sources_fills_missing_columns(spark):
     assert out[0].thread is None and out[1].score is None
 
 
+def test_written_table_prunes_by_source(spark, tmp_dir):
+    df = spark.createDataFrame([("1", "reddit", T21), ("2", "play_store", T21)],
+                               "reviewId string, source string, content string")
+    path = os.path.join(tmp_dir, "t")
+    files.write_table(df, path)
+    q = spark.read.parquet(path).filter(F.col("source") == "reddit")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan
+    assert [r.reviewId for r in q.collect()] == ["1"]
+
+
 def test_empty_csv_gives_zero_rows(spark, tmp_dir):
     p = os.path.join(tmp_dir, "empty.csv")
     with open(p, "w") as f:
