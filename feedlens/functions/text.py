@@ -25,9 +25,9 @@ def trim_u(c: Column | str) -> Column:
     return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
-def preview(c: Column | str, n: int) -> Column:
-    """First ``n`` code points (Python ``s[:n]``)."""
-    return F.substring(_c(c), 1, n)
+def preview(c: Column | str, n: int | None) -> Column:
+    """First ``n`` code points (Python ``s[:n]``); the whole text when ``n`` is None."""
+    return _c(c) if n is None else F.substring(_c(c), 1, n)
 
 
 def substantive(c: Column | str, min_len: int = cb.MIN_CONTENT_CHARS) -> Column:

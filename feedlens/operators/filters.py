@@ -43,10 +43,11 @@ def by_tag(df: DataFrame, tag: str, tag_col: str = "primary_tag") -> DataFrame:
     return df.filter(F.col(tag_col) == F.lit(tag))
 
 
-def gold_rows(df: DataFrame, n: int = cb.GOLD_PREVIEW_CHARS) -> DataFrame:
-    """Reviews that describe trying something new, with a content preview."""
+def gold_rows(df: DataFrame, n: int | None = cb.GOLD_PREVIEW_CHARS) -> DataFrame:
+    """Reviews that describe trying something new (F7), with the text cut to the
+    reference's display preview of ``n`` characters (F11), or whole when None."""
     return df.filter(F.col("explored_new")).select(
-        "reviewId", "source", "primary_tag", preview("content", n).alias("content_preview"))
+        "reviewId", "source", "primary_tag", preview("content", n).alias("content"))
 
 
 def first_n(df: DataFrame, n: int, order_cols=("seq",)) -> DataFrame:

@@ -53,9 +53,10 @@ def batches(batched: DataFrame, id_col: str = "reviewId", text_col: str = "conte
 
 
 def render_prompt(batched: DataFrame, id_col: str = "reviewId", text_col: str = "content",
-                  preview_chars: int = cb.PROMPT_PREVIEW_CHARS) -> DataFrame:
-    """The prompt block of each batch (T2): ``ID: <id>\\nREVIEW: <text preview>``
-    lines joined by a blank line, in input order."""
+                  preview_chars: int | None = cb.PROMPT_PREVIEW_CHARS) -> DataFrame:
+    """The prompt block of each batch (T2): ``ID: <id>\\nREVIEW: <text>`` lines
+    joined by a blank line, in input order. The reference cuts each text to
+    600 characters for the model; ``preview_chars=None`` keeps it whole."""
     line = F.concat(F.lit("ID: "), F.col(id_col), F.lit("\nREVIEW: "),
                     preview(F.coalesce(F.col(text_col), F.lit("nan")), preview_chars))
     g = batched.groupBy("batch_id").agg(

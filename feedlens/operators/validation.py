@@ -58,10 +58,12 @@ def agreement(coded_rows: DataFrame) -> DataFrame:
                                            F.col("scored").cast("double")))
 
 
-def disagreements(coded_rows: DataFrame, n: int = cb.DISAGREEMENT_PREVIEW_CHARS) -> DataFrame:
-    """Scored rows where human and machine differ, with a text preview (V4)."""
+def disagreements(coded_rows: DataFrame,
+                  n: int | None = cb.DISAGREEMENT_PREVIEW_CHARS) -> DataFrame:
+    """Scored rows where human and machine differ (V4), the text cut to the
+    reference's display preview of ``n`` characters, or whole when None."""
     return coded_rows.filter(~F.col("is_junk") & ~F.col("agrees")).select(
-        "reviewId", "your_tag", "primary_tag", preview("content", n).alias("content_preview"))
+        "reviewId", "your_tag", "primary_tag", preview("content", n).alias("content"))
 
 
 def confusion(coded_rows: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ WHERE primary_tag IS DISTINCT FROM 'SERVICE_NOISE'"""
 
 ORACLE["gold_rows"] = f"""
 WITH {TAGGED_ROWS}, {TAGGED_CONTENT}
-SELECT reviewId, source, primary_tag, substr(content, 1, 200) AS content_preview
+SELECT reviewId, source, primary_tag, content
 FROM tagged_text WHERE explored_new"""
 
 ORACLE["substantive"] = f"""

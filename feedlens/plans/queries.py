@@ -139,7 +139,8 @@ def q_signal_rows(spark, sf_dir):
 
 @register("gold_rows")
 def q_gold_rows(spark, sf_dir):
-    return flt.gold_rows(an.tagged(spark, sf_dir))
+    """Reviews that describe trying something new, whole text."""
+    return flt.gold_rows(an.tagged(spark, sf_dir), None)
 
 
 # --- sources over documents and the store feed ---------------------------------

@@ -49,8 +49,8 @@ def q_batch_rows(spark, sf_dir):
 
 @register("render_prompt")
 def q_render_prompt(spark, sf_dir):
-    """One prompt block per batch."""
-    return tg.render_prompt(tg.batch_rows(_input(spark, sf_dir)))
+    """One prompt block per batch, whole texts."""
+    return tg.render_prompt(tg.batch_rows(_input(spark, sf_dir)), preview_chars=None)
 
 
 @register("tag_partitions")
@@ -149,7 +149,7 @@ SELECT reviewId, idx, batch_id FROM batched"""
 ORACLE["render_prompt"] = f"""
 WITH {INPUT}
 SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows,
-       string_agg('ID: ' || reviewId || chr(10) || 'REVIEW: ' || substr(coalesce(text, 'nan'), 1, 600),
+       string_agg('ID: ' || reviewId || chr(10) || 'REVIEW: ' || coalesce(text, 'nan'),
                   chr(10) || chr(10) ORDER BY idx) AS prompt
 FROM batched GROUP BY batch_id"""
 

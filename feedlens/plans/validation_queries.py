@@ -57,8 +57,8 @@ def q_agreement(spark, sf_dir):
 
 @register("disagreements")
 def q_disagreements(spark, sf_dir):
-    """Where human and machine differ (V4)."""
-    return val.disagreements(_coded(spark, sf_dir))
+    """Where human and machine differ, whole text (V4)."""
+    return val.disagreements(_coded(spark, sf_dir), None)
 
 
 @register("confusion")
@@ -194,7 +194,7 @@ FROM coded"""
 
 ORACLE["disagreements"] = f"""
 WITH {DOCS_TAGGED}, {HUMAN}
-SELECT reviewId, your_tag, primary_tag, substr(content, 1, 120) AS content_preview
+SELECT reviewId, your_tag, primary_tag, content
 FROM coded WHERE NOT is_junk AND NOT agrees"""
 
 ORACLE["confusion"] = f"""
