@@ -110,6 +110,17 @@ def test_csv_roundtrip_multiline_tokens_and_literals(spark, tmp_dir):
     assert rows["u1"].at == dt.datetime(2024, 7, 1, 10, 0)
 
 
+def test_import_csv_once_to_parquet(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "in.csv")
+    with open(p, "w") as f:
+        f.write("reviewId,content,score,thumbsUpCount,at,source,thread\n"
+                'a,"two\nlines of review text here",5.0,1.0,2024-01-01 00:00:00,play_store,\n')
+    out = files.import_reviews_csv(spark, p, os.path.join(tmp_dir, "pq"), schemas.REVIEWS_CSV)
+    r = out.collect()
+    assert len(r) == 1 and r[0].content == "two\nlines of review text here"
+    assert "Parquet" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reviews_csv_epoch_and_float_likes(spark, tmp_dir):
     p = os.path.join(tmp_dir, "reddit.csv")
     with open(p, "w") as f:

@@ -63,6 +63,17 @@ def test_more_nodes_are_seen_not_descended(spark):
     assert kinds.count("more") == 1 and kinds.count("t1") == 6  # c1 c2 c3 c4 c5 c6
 
 
+def test_land_threads_keeps_first_copy_in_thread_order(spark):
+    same = "the same long comment posted in two threads"
+    t1 = thread_doc("First thread title here", "", [node("x1", same), node("x2", LONG)])
+    t2 = thread_doc("Second thread title here", "", [node("y1", same)])
+    docs = spark.createDataFrame([("https://f/comments/b/2/", t2), ("https://f/comments/a/1/", t1)],
+                                 "thread string, json string")
+    rows = {r.reviewId: r for r in thr.land_threads(thr.parse_threads(docs)).collect()}
+    assert "x1" in rows and "y1" not in rows        # thread .../a/1/ sorts first
+    assert {"p_Fir", "p_Sec", "x2"} <= set(rows)
+
+
 def test_thread_report(spark):
     rep = {r.thread: r for r in thr.thread_report(fixture(spark)).collect()}
     a = rep["https://f/comments/aaa/one/"]
