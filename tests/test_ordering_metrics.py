@@ -83,6 +83,18 @@ def test_category_counts_aliases_count_twice(spark):
     assert non == {"electronics", "skincare"}   # veg -> vegetables is perishable
 
 
+def test_every_alias_with_case_and_padding(spark):
+    from feedlens import codebook as cb
+    raws = []
+    for raw, canonical in cb.CATEGORY_ALIASES.items():
+        raws += [(raw, canonical), (f"  {raw.upper()} ", canonical), (raw.title() + "\t", canonical)]
+    raws += [("Milk", "milk"), (" unknown thing ", "unknown thing"), (None, None)]
+    df = spark.createDataFrame([(str(i), r) for i, (r, _) in enumerate(raws)],
+                               "reviewId string, category_raw string")
+    got = {r.reviewId: r.category for r in cat.normalize_categories(df).collect()}
+    assert [got[str(i)] for i in range(len(raws))] == [c for _, c in raws]
+
+
 def test_top_k_ties_by_name_and_shown_mentions(spark):
     counts = spark.createDataFrame([(c, n) for c, n in
                                     [("b", 3), ("a", 3), ("c", 2), ("d", 1), ("e", 1)]],
