@@ -46,6 +46,11 @@ ANALOG_PERISHABLE = [
     "plate", "gear", "rod", "ring",
     "cold anvil", "cold bolt", "hot gizmo", "small widget", "large bolt",
 ]
+# TPC-H market segments, lower-cased, play the review sources.
+MARKET_SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+# Thread documents: 2024-01-01 00:00 UTC as epoch seconds, and the URL stem.
+THREAD_EPOCH = 1704067200
+THREAD_URL = "https://forum.example.com/r/feedback/comments/"
 # ---------------------------------------------------------------------------
 
 
@@ -53,12 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _case(col: str, mapping: dict, default=None):
+def _case(col: str, mapping: dict):
+    """CASE col WHEN k THEN v ... END (null when no key matches)."""
     expr = None
     for k, v in mapping.items():
         expr = (F.when(F.col(col) == F.lit(k), F.lit(v)) if expr is None
                 else expr.when(F.col(col) == F.lit(k), F.lit(v)))
-    return expr.otherwise(F.lit(default)) if default is not None else expr
+    return expr
 
 
 def order_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,17 +175,11 @@ def human_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select(F.col("doc_id").cast("string").alias("reviewId"), tag.alias("your_tag"))
 
 
-# Fixed value: TPC-H market segments, lower-cased, play the review sources.
-MARKET_SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
-
-
 # --- forum threads and page dumps from conversations ---------------------------
-# Fixed analogue rules: a conversation is a thread; its turn 0 is the post
-# (title "thread <conv_id>", text as self text, likes = conv_id), every later
-# turn replies to the turn before it (likes = turn, none for system turns);
-# times are 2024-01-01 UTC + conv_id hours + turn minutes.
-THREAD_EPOCH = 1704067200
-THREAD_URL = "https://forum.example.com/r/feedback/comments/"
+# A conversation is a thread; its turn 0 is the post (title "thread <conv_id>",
+# text as self text, likes = conv_id), every later turn replies to the turn
+# before it (likes = turn, none for system turns); times are THREAD_EPOCH +
+# conv_id hours + turn minutes.
 
 
 def _thread_url(conv_id):
