@@ -40,6 +40,11 @@ def _case(col: str, mapping: dict) -> str:
     return f"CASE {whens} END"
 
 
+def _case_num(col: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in mapping.items())
+    return f"CASE {whens} END"
+
+
 ALIAS_VALUES = _values(sorted(an.ANALOG_ALIASES.items()), ["raw", "canonical"], "a")
 PERISHABLE_VALUES = _values([(c,) for c in an.ANALOG_PERISHABLE], ["category"])
 
@@ -113,7 +118,7 @@ tagged_text AS (
 FEED = f"""
 feed AS (
   SELECT e.event_id, e.ts, e.user_id, e.event_type,
-         CAST({_case('e.event_type', {k: v for k, v in an.EVENT_SCORE.items()}).replace("THEN '", "THEN ").replace("' WHEN", " WHEN").replace("' END", " END")} AS INTEGER) AS score,
+         CAST({_case_num('e.event_type', an.EVENT_SCORE)} AS INTEGER) AS score,
          d.text AS content
   FROM events e JOIN documents d ON e.user_id = d.doc_id
 )"""
