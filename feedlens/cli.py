@@ -77,7 +77,8 @@ def cmd_tag(spark, a):
     srcs = [read(spark, p, schemas.REVIEWS_CSV) for p in a.input]
     corpus = _with_seq(landing.union_sources(srcs))
     job = tagging.tag_reviews(corpus, rules.RuleTagger(), size=a.batch_size,
-                              budget=None if a.budget < 0 else a.budget)
+                              budget=None if a.budget < 0 else a.budget,
+                              parallelism=a.parallelism)
     write(job["tagged"], a.output, "source")
     write(job["status"], a.output.rstrip("/") + "_batches")
     metrics.tag_counts(job["tagged"]).show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
@@ -140,6 +141,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tag", action="append")
     p.add_argument("--batch-size", type=int, default=cb.BATCH_SIZE)
     p.add_argument("--budget", type=int, default=cb.FAILURE_BUDGET, help="-1: no budget")
+    p.add_argument("--parallelism", type=int,
+                   help="at most this many tagger calls at once (partitions of the batches)")
     p.add_argument("--n", type=int, default=cb.SAMPLE_SIZE)
     p.add_argument("--seed", type=int, default=cb.SAMPLE_SEED)
     p.add_argument("--blind")
