@@ -18,9 +18,10 @@ from feedlens import codebook as cb
 from feedlens.functions.text import substantive, trim_u
 from feedlens.operators.ordering import dedup_keep_first
 
-# Rows a recursive walk may produce before Spark stops it; raised from the
-# default (1,000,000) because a forum export easily holds more comments.
-RECURSION_ROW_LIMIT = 2_000_000_000
+# Rows a recursive walk may produce before Spark stops it: unlimited (-1)
+# instead of the default 1,000,000, which a forum export easily exceeds. The
+# walk always ends: every round goes one level deeper into finite documents.
+RECURSION_ROW_LIMIT = -1
 
 
 def epoch_to_ts(c: F.Column) -> F.Column:
