@@ -48,30 +48,34 @@ def _case_num(col: str, mapping: dict) -> str:
 ALIAS_VALUES = _values(sorted(an.ANALOG_ALIASES.items()), ["raw", "canonical"], "a")
 PERISHABLE_VALUES = _values([(c,) for c in an.ANALOG_PERISHABLE], ["category"])
 
-# R3 analogue, one row per order (without the list column).
+# R3 analogue, one row per order line (the list column as its two items).
 TAGGED_ROWS = f"""
 tagged AS (
-  SELECT CAST(o.o_orderkey AS VARCHAR) AS reviewId,
-         o.o_orderkey,
+  SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-'
+           || CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) AS reviewId,
          lower(c.c_mktsegment) AS source,
          {_case('o.o_orderpriority', an.PRIORITY_TAG)} AS primary_tag,
          {_case('o.o_orderstatus', an.STATUS_SECONDARY)} AS secondary_tag,
          (o.o_orderstatus = 'F') AS explored_new,
          {_case('o.o_orderstatus', an.STATUS_SENTIMENT)} AS sentiment,
          CAST(substr(o.o_orderpriority, 1, 1) AS DOUBLE) AS score,
-         c.c_name
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+         p.p_name,
+         string_split(p.p_name, ' ')[-1] AS noun,
+         'order ' || CAST(l.l_orderkey AS VARCHAR) || ' by ' || c.c_name || ': the '
+           || p.p_name || ', a ' || string_split(p.p_name, ' ')[-1] AS content
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+                  JOIN orders o ON l.l_orderkey = o.o_orderkey
+                  JOIN customer c ON o.o_custkey = c.c_custkey
 )"""
 
-# One row per mention, straight from the line items.
+# One row per mention: the part name (position 0) and its noun (position 1).
 MENTIONS = """
 mentions AS (
-  SELECT t.reviewId, t.primary_tag, t.source, l.l_linenumber, p.p_name AS category_raw,
-         CAST(row_number() OVER (PARTITION BY t.reviewId
-                                   ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) - 1 AS BIGINT)
-           AS pos
-  FROM tagged t JOIN lineitem l ON l.l_orderkey = t.o_orderkey
-                JOIN part p ON l.l_partkey = p.p_partkey
+  SELECT reviewId, primary_tag, source, CAST(0 AS BIGINT) AS pos, p_name AS category_raw
+  FROM tagged
+  UNION ALL
+  SELECT reviewId, primary_tag, source, CAST(1 AS BIGINT) AS pos, noun AS category_raw
+  FROM tagged
 )"""
 
 NORMALIZED = f"""
@@ -103,18 +107,6 @@ ORACLE["category_top_k"] = (
 
 PERISHABLE_MEMBER = f"category IN (SELECT category FROM {PERISHABLE_VALUES})"
 
-# The tagged analogue with its content text (only the queries that show text need it).
-TAGGED_CONTENT = f"""
-line_names AS (
-  SELECT l.l_orderkey, string_agg(p.p_name, ', ' ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS names
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey
-),
-tagged_text AS (
-  SELECT t.*, concat_ws(' ', 'order', t.reviewId, 'by', t.c_name, 'mentions',
-                        coalesce(n.names, '')) AS content
-  FROM tagged t LEFT JOIN line_names n ON n.l_orderkey = t.o_orderkey
-)"""
-
 FEED = f"""
 feed AS (
   SELECT e.event_id, e.ts, e.user_id, e.event_type,
@@ -232,9 +224,9 @@ SELECT reviewId, primary_tag, source FROM tagged
 WHERE primary_tag IS DISTINCT FROM 'SERVICE_NOISE'"""
 
 ORACLE["gold_rows"] = f"""
-WITH {TAGGED_ROWS}, {TAGGED_CONTENT}
+WITH {TAGGED_ROWS}
 SELECT reviewId, source, primary_tag, content
-FROM tagged_text WHERE explored_new"""
+FROM tagged WHERE explored_new"""
 
 ORACLE["substantive"] = f"""
 SELECT CAST(doc_id AS VARCHAR) AS reviewId, source FROM documents WHERE {subst('text')}"""

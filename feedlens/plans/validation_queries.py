@@ -13,7 +13,7 @@ from feedlens.operators import rules
 from feedlens.operators import validation as val
 from feedlens.plans import analogues as an
 from feedlens.plans.analog_rules import ANALOG_BOOK
-from feedlens.plans.oracle import ORACLE, TAGGED_ROWS, subst, trim_u
+from feedlens.plans.oracle import MENTIONS, ORACLE, TAGGED_ROWS, subst, trim_u
 from feedlens.plans.queries import register
 from feedlens.plans.tagging_queries import TAGGER, rule_tag_sql
 from feedlens.session import scratch_path
@@ -88,31 +88,24 @@ def q_src_reviews(spark, sf_dir):
                        "explored_new", "sentiment")
 
 
-STYLE_BY_STATUS = {"F": "single", "O": "json", "P": "tuple"}
-
-
 @register("parse_list")
 def q_parse_list(spark, sf_dir):
     """Category lists written as Python literals in three styles, parsed back.
 
-    Fully shipped orders use single quotes, open orders JSON, partly shipped
-    orders a tuple with a trailing comma (the slow tier).
+    Reviews of fully shipped orders (positive) use single quotes, open orders
+    (negative) JSON, partly shipped orders (mixed) a tuple with a trailing
+    comma, which only the Python tier reads.
     """
-    o = an.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    cats = an.order_categories(spark, sf_dir)
-    j = o.join(cats, "o_orderkey", "left").withColumn(
-        "c", F.coalesce("categories_mentioned", F.array().cast("array<string>")))
-    single = F.transform("c", lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    double = F.transform("c", lambda x: F.concat(F.lit('"'), x, F.lit('"')))
-    lit = (F.when(F.col("o_orderstatus") == "F",
+    t = an.tagged(spark, sf_dir).select("reviewId", "sentiment", "categories_mentioned")
+    c = F.col("categories_mentioned")
+    single = F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+    double = F.transform(c, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    lit = (F.when(F.col("sentiment") == "positive",
                   F.concat(F.lit("["), F.array_join(single, ", "), F.lit("]")))
-           .when(F.col("o_orderstatus") == "O",
+           .when(F.col("sentiment") == "negative",
                  F.concat(F.lit("["), F.array_join(double, ", "), F.lit("]")))
-           .otherwise(F.concat(F.lit("("), F.array_join(single, ", "),
-                               F.when(F.size("c") > 0, F.lit(",")).otherwise(F.lit("")),
-                               F.lit(")"))))
-    parsed = j.select(F.col("o_orderkey").cast("string").alias("reviewId"),
-                      parse_list(lit).alias("items"))
+           .otherwise(F.concat(F.lit("("), F.array_join(single, ", "), F.lit(",)"))))
+    parsed = t.select("reviewId", parse_list(lit).alias("items"))
     # The outer form avoids an inferred filter that would run the parser twice.
     return (parsed.select("reviewId", F.posexplode_outer("items").alias("pos", "item"))
             .filter(F.col("pos").isNotNull())
@@ -208,14 +201,8 @@ SELECT CAST(doc_id AS VARCHAR) AS reviewId, CAST(length(text) AS BIGINT) AS cont
 FROM documents"""
 
 ORACLE["parse_list"] = f"""
-WITH {TAGGED_ROWS}
-SELECT t.reviewId,
-       CAST(row_number() OVER (PARTITION BY t.reviewId
-                               ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) - 1 AS BIGINT)
-         AS pos,
-       p.p_name AS item
-FROM tagged t JOIN lineitem l ON l.l_orderkey = t.o_orderkey
-              JOIN part p ON l.l_partkey = p.p_partkey"""
+WITH {TAGGED_ROWS}, {MENTIONS}
+SELECT reviewId, pos, category_raw AS item FROM mentions"""
 
 ORACLE["write_table"] = f"""
 WITH {TAGGED_ROWS}
