@@ -44,8 +44,15 @@ def _literal_list_udf(s: pd.Series) -> pd.Series:
 
 
 def parse_list(c: Column | str) -> Column:
-    """Parse a list literal to ``array<string>``; null when it is not a list."""
+    """Parse a list literal to ``array<string>``; null when it is not a list.
+
+    Only text that starts with ``[`` can be a JSON array, so only that text
+    goes to the JSON reader: a failed JSON parse is far slower than a
+    successful one, and tuples would always fail.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    tier1 = F.from_json(c, LIST_OF_STRINGS, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    json_like = F.ltrim(c).startswith("[")
+    tier1 = F.when(json_like, F.from_json(c, LIST_OF_STRINGS,
+                                          {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}))
     tier2 = _literal_list_udf(F.when(tier1.isNull() & c.isNotNull(), c))
     return F.coalesce(tier1, tier2)
