@@ -1,10 +1,17 @@
 """Python-literal list parsing for legacy CSV exports.
 
-Tier 1 is Spark's JSON reader, which also reads single-quoted strings, so
-``['a', 'b']`` and ``["baby's food"]`` never leave the JVM. Only rows tier 1
-cannot read (tuples, trailing commas, ``None`` items, escapes) are handed to a
-vectorised pandas UDF that applies Python's literal evaluator; for every other
-row the UDF receives a null, so almost nothing crosses to Python.
+The reference reads category lists with Python's literal evaluator. Two tiers
+give exactly its results:
+
+* Tier 1, in the JVM: a strict pattern accepts only a list or tuple of plain
+  quoted strings (no backslash escapes, no line breaks inside an item, Python's
+  rule that a one-item tuple needs a trailing comma), written with spaces or
+  tabs between tokens. For such text the items are the quoted contents, so they
+  are extracted with a regular expression and never leave the JVM.
+* Tier 2, a vectorised pandas UDF applying Python's literal evaluator, for
+  every other non-null text (escapes, numbers, ``None`` items, strings,
+  dicts, malformed text). It receives a null for every tier-1 row, so almost
+  nothing crosses to Python in the common case.
 """
 
 from __future__ import annotations
@@ -18,6 +25,21 @@ from pyspark.sql import types as T
 
 LIST_OF_STRINGS = T.ArrayType(T.StringType())
 
+# Tier-1 grammar (Java regex). Quantifiers are possessive (`*+`): an item's
+# character class excludes its closing quote and a separator needs a following
+# item, so giving characters back could never produce a match.
+_SQ = r"'[^'\\\r\n]*+'"
+_DQ = r'"[^"\\\r\n]*+"'
+_ITEM = rf"(?:{_SQ}|{_DQ})"
+_WS = r"[ \t]*+"
+_SEP = rf"{_WS},{_WS}"
+_LIST = rf"\[{_WS}(?:{_ITEM}(?:{_SEP}{_ITEM})*+(?:{_WS},)?)?{_WS}\]"
+_TUPLE = (rf"\({_WS}\)"                                             # ()
+          rf"|\({_WS}{_ITEM}{_WS},{_WS}\)"                          # ('a',)
+          rf"|\({_WS}{_ITEM}(?:{_SEP}{_ITEM})++(?:{_WS},)?{_WS}\)")  # ('a', 'b'[,])
+SIMPLE_LITERAL = rf"\A{_WS}(?:{_LIST}|{_TUPLE}){_WS}\z"
+ITEM_CAPTURE = rf"({_ITEM})"
+
 
 def _literal_items(s):
     """Items of a Python literal as text, or None when it is not iterable."""
@@ -44,15 +66,10 @@ def _literal_list_udf(s: pd.Series) -> pd.Series:
 
 
 def parse_list(c: Column | str) -> Column:
-    """Parse a list literal to ``array<string>``; null when it is not a list.
-
-    Only text that starts with ``[`` can be a JSON array, so only that text
-    goes to the JSON reader: a failed JSON parse is far slower than a
-    successful one, and tuples would always fail.
-    """
+    """Parse a list literal to ``array<string>``; null when it is not iterable."""
     c = F.col(c) if isinstance(c, str) else c
-    json_like = F.ltrim(c).startswith("[")
-    tier1 = F.when(json_like, F.from_json(c, LIST_OF_STRINGS,
-                                          {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}))
-    tier2 = _literal_list_udf(F.when(tier1.isNull() & c.isNotNull(), c))
-    return F.coalesce(tier1, tier2)
+    simple = c.rlike(SIMPLE_LITERAL)
+    quoted = F.regexp_extract_all(c, F.lit(ITEM_CAPTURE), F.lit(1))
+    tier1 = F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    tier2 = _literal_list_udf(F.when(c.isNotNull() & ~simple, c))
+    return F.when(simple, tier1).otherwise(tier2)
