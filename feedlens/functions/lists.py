@@ -17,6 +17,7 @@ give exactly its results:
 from __future__ import annotations
 
 import ast
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,7 +47,9 @@ def _literal_items(s):
     if s is None:
         return None
     try:
-        value = ast.literal_eval(s)
+        with warnings.catch_warnings():  # e.g. invalid escapes such as '\d' in old exports
+            warnings.simplefilter("ignore", SyntaxWarning)
+            value = ast.literal_eval(s)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
     if not hasattr(value, "__iter__"):
