@@ -87,9 +87,8 @@ def cmd_tag(spark, a):
 def cmd_report(spark, a):
     t = read(spark, a.input[0])
     metrics.tag_by_source(t).show(50, truncate=False)
-    for tag in a.tag or ["TRUST_QUALITY", "TRUST_AUTHENTICITY"]:
-        c = categories.category_counts_raw(t, tag)
-        c.orderBy(F.col("mentions").desc(), "category").show(50, truncate=False)
+    c = categories.category_counts_raw_by_tag(t, a.tag or ["TRUST_QUALITY", "TRUST_AUTHENTICITY"])
+    c.orderBy("primary_tag", F.col("mentions").desc(), "category").show(100, truncate=False)
     g = filters.gold_rows(t)
     print(f"gold rows: {g.count()}")
     g.show(20, truncate=False)

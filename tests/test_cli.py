@@ -30,3 +30,6 @@ def test_land_tag_sample_agreement(spark, tmp_dir, capsys):
     assert "junk_rows" in out and "agreement" in out
     cli.main(["panels", "--input", tagged], spark=spark)
     assert "freshness" in capsys.readouterr().out
+    cli.main(["report", "--input", tagged, "--tag", "TRUST_QUALITY"], spark=spark)
+    out = capsys.readouterr().out
+    assert "milk" in out and "gold rows:" in out
