@@ -4,6 +4,22 @@ import datetime as dt
 import os
 
 from feedlens import cli, schemas
+from test_sources import _write_dumps
+from test_threads import LONG, node, thread_doc
+
+
+def test_land_dumps_and_threads(spark, tmp_dir):
+    dumps_dir, out = os.path.join(tmp_dir, "dumps"), os.path.join(tmp_dir, "pasted")
+    _write_dumps(dumps_dir)
+    cli.main(["land-dumps", "--input", dumps_dir, "--output", out], spark=spark)
+    pasted = spark.read.parquet(out)
+    assert pasted.count() > 0 and {r.source for r in pasted.collect()} == {"reddit_manual"}
+    threads_in, forum = os.path.join(tmp_dir, "threads"), os.path.join(tmp_dir, "forum")
+    spark.createDataFrame([("https://f/comments/a/1/", thread_doc("A post title here", "body",
+                                                                   [node("c1", LONG)]))],
+                          "thread string, json string").write.parquet(threads_in)
+    cli.main(["land-threads", "--input", threads_in, "--output", forum], spark=spark)
+    assert sorted(r.reviewId for r in spark.read.parquet(forum).collect()) == ["c1", "p_A p"]
 
 
 def test_land_tag_sample_agreement(spark, tmp_dir, capsys):
