@@ -99,41 +99,49 @@ register("cats_nonperishable")(_class_query("nonperishable"))
 
 @register("tag_counts")
 def q_tag_counts(spark, sf_dir):
+    """Reviews per tag (A1)."""
     return met.tag_counts(an.tagged(spark, sf_dir))
 
 
 @register("signal_tag_counts")
 def q_signal_tag_counts(spark, sf_dir):
+    """Reviews per tag without the noise tag (A2)."""
     return met.signal_tag_counts(an.tagged(spark, sf_dir))
 
 
 @register("tag_by_source")
 def q_tag_by_source(spark, sf_dir):
+    """Tag x source table, zero-filled (A4)."""
     return met.tag_by_source(an.tagged(spark, sf_dir), an.MARKET_SEGMENTS)
 
 
 @register("noise_split")
 def q_noise_split(spark, sf_dir):
+    """Total, noise and signal reviews in one pass."""
     return met.noise_split(an.tagged(spark, sf_dir))
 
 
 @register("signal_share")
 def q_signal_share(spark, sf_dir):
+    """Each tag's share of the non-noise reviews."""
     return met.signal_share(an.tagged(spark, sf_dir))
 
 
 @register("source_share_of_tag")
 def q_source_share_of_tag(spark, sf_dir):
+    """Per tag, each source's share, next to the source's share of the corpus (A10)."""
     return met.source_share_of_tag(an.tagged(spark, sf_dir))
 
 
 @register("corpus_size")
 def q_corpus_size(spark, sf_dir):
+    """Reviews per source."""
     return met.corpus_size(an.tagged(spark, sf_dir))
 
 
 @register("signal_rows")
 def q_signal_rows(spark, sf_dir):
+    """Reviews whose tag is not the noise tag; a null tag stays."""
     return flt.signal(an.tagged(spark, sf_dir)).select("reviewId", "primary_tag", "source")
 
 
@@ -147,6 +155,7 @@ def q_gold_rows(spark, sf_dir):
 
 @register("substantive")
 def q_substantive(spark, sf_dir):
+    """Document reviews with more than 20 characters (F1)."""
     r = flt.substantive(an.reviews(spark, sf_dir))
     return r.select("reviewId", "source")
 
@@ -161,6 +170,7 @@ def q_substantive_yield(spark, sf_dir):
 
 @register("land_play")
 def q_land_play(spark, sf_dir):
+    """Store export landed as reviews: project, stamp source, text floor."""
     out = land.land_play(an.play_export(spark, sf_dir))
     return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
                       F.length("content").cast("long").alias("content_chars"))
@@ -168,6 +178,7 @@ def q_land_play(spark, sf_dir):
 
 @register("land_appstore")
 def q_land_appstore(spark, sf_dir):
+    """App Store export landed as reviews: ios_ ids, rating as score (S3)."""
     out = land.land_appstore(an.appstore_export(spark, sf_dir))
     return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
                       F.length("content").cast("long").alias("content_chars"))
@@ -175,6 +186,7 @@ def q_land_appstore(spark, sf_dir):
 
 @register("score_distribution")
 def q_score_distribution(spark, sf_dir):
+    """Reviews per score of the landed store export (A3)."""
     return met.score_distribution(land.land_play(an.play_export(spark, sf_dir)))
 
 
