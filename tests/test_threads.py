@@ -33,8 +33,8 @@ def fixture(spark):
     more = {"kind": "more", "data": {"id": "m1", "children": ["x", "y"]}}
     top = node("c1", LONG, listing([deleted, more]), ups=None)  # missing ups -> 0
     t_a = thread_doc("Post title", "with self text", [top, short, node("c4", LONG + " 2nd")])
-    t_b = thread_doc("x" * 18, "", [])   # 'xxxxxxxxxxxxxxxxxx. ' strips to 19 chars: dropped
-    t_c = thread_doc("y" * 19, "z", [])  # 'yyy. z' = 22 chars: kept
+    t_b = thread_doc("x" * 19, "", [])   # 'x' * 19 + '. ' strips to 20 chars: dropped
+    t_c = thread_doc("y" * 18, "z", [])  # 'y' * 18 + '. z' = 21 chars: kept
     t_bad = '[{"data": {"children": ['    # truncated JSON
     rows = [("https://f/comments/aaa/one/", t_a), ("https://f/comments/bbb/two/", t_b),
             ("https://f/comments/ccc/three/", t_c), ("https://f/comments/ddd/bad/", t_bad)]
