@@ -95,6 +95,21 @@ def test_every_alias_with_case_and_padding(spark):
     assert [got[str(i)] for i in range(len(raws))] == [c for _, c in raws]
 
 
+def test_panels_with_a_hot_category(spark):
+    # one category holds a third of all mentions, spread over 16 partitions
+    rows = [(str(i), "TRUST_QUALITY", ["milk" if i % 3 == 0 else f"item{i % 50}", "bread"])
+            for i in range(3000)]
+    t = spark.createDataFrame(rows, "reviewId string, primary_tag string, "
+                                    "categories_mentioned array<string>").repartition(16)
+    panels = [("all", "TRUST_QUALITY", None), ("fresh", "TRUST_QUALITY", "perishable")]
+    got = {(r.panel, r.category): (r.mentions, r.reviews, r.rank)
+           for r in cat.category_panels(t, panels, k=3).collect()}
+    assert got[("all", "bread")] == (3000, 3000, 1)
+    assert got[("all", "milk")] == (1000, 1000, 2)
+    assert got[("fresh", "bread")][0] == 3000 and got[("fresh", "milk")][0] == 1000
+    assert len([k for k in got if k[0] == "fresh"]) == 2   # only milk and bread are perishable
+
+
 def test_top_k_ties_by_name_and_shown_mentions(spark):
     counts = spark.createDataFrame([(c, n) for c, n in
                                     [("b", 3), ("a", 3), ("c", 2), ("d", 1), ("e", 1)]],
