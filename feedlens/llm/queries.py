@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import packing
+from feedlens.llm import bpe, packing
 from feedlens.llm.common import table
 
 
@@ -18,5 +18,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_pack": op1_pack}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the multilingual byte-level vocabulary, and back."""
+    import public_tokenizers
+    return bpe.encode_decode(table(spark, sf_dir, "documents"),
+                             _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe}
 ORACLE: dict[str, str] = {}
