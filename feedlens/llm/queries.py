@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import bpe, packing
+from feedlens.llm import bpe, packing, pii
 from feedlens.llm.common import table
 
 
@@ -25,5 +25,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents, and the terms that disclose it."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
