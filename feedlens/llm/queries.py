@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import bpe, packing, pii
+from feedlens.llm import bpe, fingerprints, packing, pii
 from feedlens.llm.common import table
 
 
@@ -25,10 +25,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents, and the terms that disclose it."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op10_pii": op10_pii}
+QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op7_fingerprint": op7_fingerprint,
+           "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
