@@ -2,8 +2,9 @@
 
 The public vocabularies split a text before any merge happens. White space decides most
 of that split, in the same way wherever the run stands: a run of other characters takes
-the one space before it, the rest of the white space stands alone. So a text's ids are
-the ids of its runs in a row, and each distinct run is encoded once per worker.
+the one space before it, the rest of the white space stands alone. Punctuation after a
+letter or digit begins a run too. So a text's ids are the ids of its runs in a row, and
+each distinct run is encoded once per worker.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from feedlens.llm.common import ragged
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ASCII_WORD = np.zeros(256, bool)
+_ASCII_WORD[[*b"0123456789", *range(65, 91), *range(97, 123)]] = True
+# Punctuation that always begins a new piece after a letter or digit: all but the
+# apostrophe, which may begin a contraction.
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[c for c in range(33, 127) if not _ASCII_WORD[c] and c != 39]] = True
 # UTF-8 forms of the other White_Space characters (fixed by Unicode).
 _WIDE_SPACE = [chr(c).encode() for c in (
     0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -59,6 +66,7 @@ def run_starts(buf: np.ndarray, docs: np.ndarray) -> np.ndarray:
     gaps[:1] = False
     gaps[1:] = ~space[:-1]
     mark[np.flatnonzero(space & gaps)] = True
+    mark[np.flatnonzero(_CLOSING[buf[1:]] & _ASCII_WORD[buf[:-1]]) + 1] = True
     mark[n] = False
     return np.flatnonzero(mark)
 

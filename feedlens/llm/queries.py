@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import bpe, fingerprints, packing, pii
+from feedlens.llm import bpe, fingerprints, packing, pii, vectors
 from feedlens.llm.common import table
 
 
@@ -30,11 +30,16 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label with cosine 0.98 or more, as links and components."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents, and the terms that disclose it."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op7_fingerprint": op7_fingerprint,
-           "op10_pii": op10_pii}
+           "op8_vectors": op8_vectors, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
