@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.llm import bpe, fingerprints, packing, pii, vectors
+from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, vectors
 from feedlens.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share 80 % of their 5-word shingles."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses."""
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
@@ -40,6 +45,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op7_fingerprint": op7_fingerprint,
+QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
            "op8_vectors": op8_vectors, "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
