@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, vectors
+from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, repeats, vectors
 from feedlens.llm.common import table
 
 
@@ -40,11 +41,18 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that occur again anywhere."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return repeats.remove_repeats(docs).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents, and the terms that disclose it."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
-           "op8_vectors": op8_vectors, "op10_pii": op10_pii}
+           "op8_vectors": op8_vectors, "op9_repeats": op9_repeats,
+           "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
