@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, repeats, vectors
+from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, quality, repeats, vectors
 from feedlens.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    doc_id = F.col("doc_id").cast("long")
+    return quality.classify(docs.select(doc_id.alias("doc_id"), "text"), field).select(
+        "_row.doc_id", quality.held_out(F.col("_row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by the multilingual byte-level vocabulary, and back."""
     import public_tokenizers
@@ -52,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
+QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
            "op8_vectors": op8_vectors, "op9_repeats": op9_repeats,
            "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
