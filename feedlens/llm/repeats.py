@@ -212,16 +212,16 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, carry: list[str]) -> I
             removed.append(len(data) - len(rest))
             runs.append(len(s))
             sha.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
+            kept.append(rest.decode("utf-8", "ignore"))
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in carry], pa.array(np.diff(docs)), pa.array(removed, pa.int64()),
-             pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-            [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+             pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+            [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """Every row's columns (as ``_row``), n_bytes, n_removed, n_spans, kept_sha256 and the
-    bytes left (``kept``)."""
+    """Every row's columns but text (as ``_row``), n_bytes, n_removed, n_spans, kept_sha256 and
+    the ``text`` left, without the pieces of characters that a removal cut through."""
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"),
                                    F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"),
                                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -238,4 +238,4 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
         .select("_row", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "wanted")
     kind = rows.schema["_row"].dataType.simpleString()
     return joined.mapInArrow(partial(_kept, window=window, carry=["_row"]),
-                             f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                             f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
