@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, fingerprints, jaccard, packing, pii, quality, repeats, vectors
+from feedlens.llm import bpe, fingerprints, html, jaccard, packing, pii, quality, repeats, vectors
 from feedlens.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.train(pages))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -61,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
+QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
            "op8_vectors": op8_vectors, "op9_repeats": op9_repeats,
            "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
