@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import bpe, fingerprints, html, jaccard, packing, pii, quality, repeats, vectors
+from feedlens.llm import bpe, fingerprints, html, idfiles, jaccard, packing, pii, quality, repeats, vectors
 from feedlens.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as range-coded files in doc_id order and read back."""
+    return idfiles.encode_and_read(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses."""
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
@@ -67,7 +72,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op7_fingerprint": op7_fingerprint,
+QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op6_ids": op6_ids,
+           "op7_fingerprint": op7_fingerprint,
            "op8_vectors": op8_vectors, "op9_repeats": op9_repeats,
            "op10_pii": op10_pii}
 ORACLE: dict[str, str] = {}
