@@ -18,16 +18,17 @@ import zlib
 
 import numpy as np
 
-BITS = 15
+BITS = 14
 ONE = 1 << BITS
 ORDER2, ORDER1, MIXED = 1 << 11, 1 << 10, 64      # slots of the predictions and of the mixed first nibble
 RATE = 4
 _TOP = np.uint64(1) << np.uint64(32)
 _MASK = _TOP - np.uint64(1)
 _HALF = np.uint64(32)
-_EDGES = np.arange(17) * (ONE // 16)
-_PULL = np.where(np.arange(17) <= np.arange(16)[:, None], np.arange(17) * 8, ONE - (16 - np.arange(17)) * 8)
-_PULL3 = np.array([[0, ONE - 64, ONE - 32, ONE], [0, 32, ONE - 32, ONE], [0, 32, 64, ONE]])
+_EDGES = (np.arange(17) * (ONE // 16)).astype(np.int16)
+_PULL = np.where(np.arange(17) <= np.arange(16)[:, None], np.arange(17) * 8,
+                 ONE - (16 - np.arange(17)) * 8).astype(np.int16)
+_PULL3 = np.array([[0, ONE - 64, ONE - 32, ONE], [0, 32, ONE - 32, ONE], [0, 32, 64, ONE]], np.int16)
 
 
 class _Model:
@@ -37,10 +38,10 @@ class _Model:
         self.lanes, self.digits = lanes, digits
         self.guess2, self.sure2 = np.zeros(lanes * ORDER2, np.int32), np.zeros(lanes * ORDER2, np.int8)
         self.guess1, self.sure1 = np.zeros(lanes * ORDER1, np.int32), np.zeros(lanes * ORDER1, np.int8)
-        self.which = np.tile(np.array([0, ONE // 3, 2 * ONE // 3, ONE], np.int32), (lanes * 32, 1))
+        self.which = np.tile(np.array([0, ONE // 3, 2 * ONE // 3, ONE], np.int16), (lanes * 32, 1))
         self.contexts = 1 + 16 + 256 + 64 * max(0, digits - 3)
-        self.nibble = np.tile(_EDGES.astype(np.int32), (lanes * self.contexts, 1))
-        self.mixed = np.tile(_EDGES.astype(np.int32), (lanes * MIXED, 1))
+        self.nibble = np.tile(_EDGES, (lanes * self.contexts, 1))
+        self.mixed = np.tile(_EDGES, (lanes * MIXED, 1))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
@@ -65,29 +66,30 @@ class _Model:
             return lane * self.contexts + (0, 1, 17)[digit] + sofar
         return lane * self.contexts + 273 + 64 * (digit - 3) + (sofar & 63)
 
-    def chances(self, lane: np.ndarray, digit: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        edges = self.nibble[at]
+    def chances(self, lane: np.ndarray, digit: int, at: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(edges of each lane's distribution, what ``adapt`` needs)."""
+        own = self.nibble.take(at, 0)
         if digit:
-            return edges, None
+            return own, ((self.nibble, at, own),)
         mix = lane * MIXED + (((self.last[lane] * 48271) >> 5) & (MIXED - 1))
-        return (edges + self.mixed[mix]) >> 1, mix
+        other = self.mixed.take(mix, 0)
+        return (own + other) >> 1, ((self.nibble, at, own), (self.mixed, mix, other))
 
-    def adapt(self, at: np.ndarray, mix: np.ndarray | None, symbol: np.ndarray) -> None:
-        pull = _PULL[symbol]
-        for table, where in ((self.nibble, at), (self.mixed, mix)):
-            if where is not None:
-                row = table[where]
-                table[where] = row + ((pull - row) >> RATE)
+    @staticmethod
+    def adapt(used: tuple, symbol: np.ndarray) -> None:
+        pull = _PULL.take(symbol, 0)
+        for table, where, row in used:
+            table[where] = row + ((pull - row) >> RATE)
 
-    def adapt3(self, at: np.ndarray, symbol: np.ndarray) -> None:
-        row = self.which[at]
-        self.which[at] = row + ((_PULL3[symbol] - row) >> RATE)
+    def adapt3(self, at: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
+        self.which[at] = row + ((_PULL3.take(symbol, 0) - row) >> RATE)
 
 
 def _edges(rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(len(rows))
-    low = rows[k, symbol]
-    return low.astype(np.uint64), (rows[k, symbol + 1] - low).astype(np.uint64)
+    flat = rows.ravel()
+    at = np.arange(0, len(flat), rows.shape[1]) + symbol
+    low = flat.take(at)
+    return low.astype(np.uint64), (flat.take(at + 1) - low).astype(np.uint64)
 
 
 class _Encoder:
@@ -95,19 +97,20 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
         self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def put(self, lane: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def put(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         step = self.range[lane] >> np.uint64(BITS)
         low, width = self.low[lane] + step * start, step * size
         while True:
-            settled = ((low ^ (low + width)) >> _HALF) == 0
-            short = ~settled & (width < _TOP)
-            move = np.flatnonzero(settled | short)
+            top = low >> _HALF
+            settled = top == (low + width) >> _HALF
+            move = np.flatnonzero(settled | (width < _TOP))
             if not len(move):
                 break
-            width = np.where(short, (~low + np.uint64(1)) & _MASK, width)
-            self.out.append((lane[move], (low[move] >> _HALF).astype(np.uint32)))
-            low[move] <<= _HALF
-            width[move] <<= _HALF
+            gone, rest = low[move], width[move]
+            rest = np.where(settled[move], rest, (~gone + np.uint64(1)) & _MASK)
+            self.out.append((move if isinstance(lane, slice) else lane[move], top[move].astype(np.uint32)))
+            low[move] = gone << _HALF
+            width[move] = rest << _HALF
         self.low[lane], self.range[lane] = low, width
 
     def close(self) -> list[bytes]:
@@ -133,25 +136,26 @@ class _Decoder:
         self.code = (self.words[self.at] << _HALF) | self.words[self.at + 1]
         self.at = self.at + 2
 
-    def get(self, lane: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def get(self, lane: np.ndarray | slice, rows: np.ndarray) -> np.ndarray:
         """The symbol of each lane whose chances are ``rows``; the coder moves past it."""
         step = self.range[lane] >> np.uint64(BITS)
         value = np.minimum((self.code[lane] - self.low[lane]) // step, np.uint64(ONE - 1)).astype(np.int64)
         symbol = (rows[:, 1:-1] <= value[:, None]).sum(1)
         start, size = _edges(rows, symbol)
-        low, width, code, at = self.low[lane] + step * start, step * size, self.code[lane], self.at[lane]
+        low, width, code = self.low[lane] + step * start, step * size, self.code[lane].copy()
         while True:
-            settled = ((low ^ (low + width)) >> _HALF) == 0
-            short = ~settled & (width < _TOP)
-            move = np.flatnonzero(settled | short)
+            settled = low >> _HALF == (low + width) >> _HALF
+            move = np.flatnonzero(settled | (width < _TOP))
             if not len(move):
                 break
-            width = np.where(short, (~low + np.uint64(1)) & _MASK, width)
-            low[move] <<= _HALF
-            width[move] <<= _HALF
-            code[move] = (code[move] << _HALF) | self.words[np.minimum(at[move], len(self.words) - 1)]
-            at[move] += 1
-        self.low[lane], self.range[lane], self.code[lane], self.at[lane] = low, width, code, at
+            gone, rest = low[move], width[move]
+            rest = np.where(settled[move], rest, (~gone + np.uint64(1)) & _MASK)
+            low[move] = gone << _HALF
+            width[move] = rest << _HALF
+            who = move if isinstance(lane, slice) else lane[move]
+            code[move] = (code[move] << _HALF) | self.words[np.minimum(self.at[who], len(self.words) - 1)]
+            self.at[who] += 1
+        self.low[lane], self.range[lane], self.code[lane] = low, width, code
         return symbol
 
 
@@ -180,8 +184,9 @@ def encode_blocks(blocks: list[np.ndarray], digits: int) -> list[bytes]:
         ids = grid[t, :n]
         at2, at1, g2, g1, context = model.predict(n)
         symbol = np.where(ids == g2, 0, np.where(ids == g1, 1, 2))
-        coder.put(np.arange(n), *_edges(model.which[context], symbol))
-        model.adapt3(context, symbol)
+        rows = model.which.take(context, 0)
+        coder.put(slice(0, n), *_edges(rows, symbol))
+        model.adapt3(context, rows, symbol)
         lane = np.flatnonzero(symbol == 2)
         if len(lane):
             own = ids[lane]
@@ -189,9 +194,9 @@ def encode_blocks(blocks: list[np.ndarray], digits: int) -> list[bytes]:
                 sofar = own >> (4 * (digits - d))
                 nibble = (own >> (4 * (digits - d - 1))) & 15
                 at = model.place(lane, d, sofar)
-                rows, mix = model.chances(lane, d, at)
+                rows, used = model.chances(lane, d, at)
                 coder.put(lane, *_edges(rows, nibble))
-                model.adapt(at, mix, nibble)
+                model.adapt(used, nibble)
         model.learn(n, at2, at1, g2, g1, ids)
     coded = coder.close()
     out = [b""] * len(blocks)
@@ -209,17 +214,18 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, digits: int) -> list[n
     grid = np.zeros((len(active), len(blocks)), np.uint32)
     for t, n in enumerate(active.tolist()):
         at2, at1, g2, g1, context = model.predict(n)
-        symbol = coder.get(np.arange(n), model.which[context])
-        model.adapt3(context, symbol)
+        rows = model.which.take(context, 0)
+        symbol = coder.get(slice(0, n), rows)
+        model.adapt3(context, rows, symbol)
         ids = np.where(symbol == 0, g2, g1).astype(np.int64)
         lane = np.flatnonzero(symbol == 2)
         if len(lane):
             own = np.zeros(len(lane), np.int64)
             for d in range(digits):
                 at = model.place(lane, d, own)
-                rows, mix = model.chances(lane, d, at)
+                rows, used = model.chances(lane, d, at)
                 nibble = coder.get(lane, rows)
-                model.adapt(at, mix, nibble)
+                model.adapt(used, nibble)
                 own = own << 4 | nibble
             ids[lane] = own
         model.learn(n, at2, at1, g2, g1, ids)
