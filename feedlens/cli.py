@@ -11,13 +11,20 @@
     python -m feedlens agreement     --blind coded.csv --key key.csv
     python -m feedlens live          --landing incoming/ --output live_tagged --checkpoint ckpt/
 
+    python -m feedlens upload        --input table/ --column text [--order id] --output landed/up
+    python -m feedlens paste         --input texts/ --column text --order id --output landed/own
+    python -m feedlens newest        --input exports/play --n 60 --output landed/newest
+
 Inputs and outputs are Parquet folders, or CSV when the path ends in ``.csv``.
-Every job runs on the session's cluster; reports print bounded summaries only.
+Every job runs on the session's cluster. A report writes each of its tables whole under
+``--output``; without it every row is printed, as the tables are written to the terminal
+in one stream.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 import uuid
 
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from feedlens import codebook as cb
 from feedlens import schemas
 from feedlens.operators import categories, filters, metrics, rules, tagging, validation
+from feedlens.session import scratch_path
 from feedlens.sources import files, landing, threads
 from feedlens.streaming import live
 
@@ -64,9 +72,55 @@ def cmd_land_appstore(spark, a):
     write(landing.land_appstore(df, limit=a.limit), a.output, "source")
 
 
+def emit(df: DataFrame, name: str, a) -> None:
+    """One table of a report: written under ``--output``, or printed row by row."""
+    if a.output:
+        write(df, f"{a.output.rstrip('/')}/{name}")
+        return
+    print(f"-- {name}: {', '.join(df.columns)}")
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
+def load_tagger(name: str | None):
+    """The tagger ``module:callable`` names (a class is called without arguments); the rule
+    tagger without a name."""
+    if not name:
+        return rules.RuleTagger()
+    module, _, attribute = name.partition(":")
+    found = getattr(importlib.import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
 def cmd_land_threads(spark, a):
-    parsed = threads.parse_threads(read(spark, a.input[0]))
+    # The nodes are read by the landing and by the report: parsed once, kept once.
+    path = scratch_path(spark, "thread-nodes")
+    threads.parse_threads(read(spark, a.input[0])).write.parquet(path)
+    parsed = spark.read.parquet(path)
     write(threads.land_threads(parsed).drop("path"), a.output, "source")
+    write(threads.thread_report(parsed), a.output.rstrip("/") + "_threads")
+
+
+def cmd_upload(spark, a):
+    df = read(spark, a.input[0])
+    if a.order is None:
+        df = df.withColumn("seq", F.monotonically_increasing_id())
+    out = landing.ingest_text_column(df, a.column, a.order or "seq", cap=a.limit)
+    write(out.drop("idx"), a.output, "source")
+
+
+def cmd_paste(spark, a):
+    out = landing.ingest_lines(read(spark, a.input[0]), a.column, a.order, cap=a.limit)
+    write(out, a.output, "source")
+
+
+def cmd_newest(spark, a):
+    rows = landing.land_play(landing.newest_reviews(read(spark, a.input[0], schemas.PLAY_EXPORT), a.n))
+    write(rows, a.output, "source")
+
+
+def cmd_scores(spark, a):
+    emit(metrics.score_distribution(read(spark, a.input[0])), "scores", a)
 
 
 def cmd_land_dumps(spark, a):
@@ -74,32 +128,35 @@ def cmd_land_dumps(spark, a):
 
 
 def cmd_tag(spark, a):
-    srcs = [read(spark, p, schemas.REVIEWS_CSV) for p in a.input]
-    corpus = _with_seq(landing.union_sources(srcs))
-    job = tagging.tag_reviews(corpus, rules.RuleTagger(), size=a.batch_size,
-                              budget=None if a.budget < 0 else a.budget,
-                              parallelism=a.parallelism)
-    write(job["tagged"], a.output, "source")
-    write(job["status"], a.output.rstrip("/") + "_batches")
+    corpus = landing.union_sources([read(spark, p, schemas.REVIEWS_CSV) for p in a.input])
+    if a.first:
+        corpus = filters.first_n(corpus, a.first, ("source_no", "position"))
+    out = a.output.rstrip("/")
+    job = tagging.tag_reviews(corpus, load_tagger(a.tagger), ("source_no", "position"),
+                              size=a.batch_size, budget=a.budget, parallelism=a.parallelism,
+                              replies_dir=out + "_replies", run_id=a.run_id)
+    write(job["tagged"].drop("source_no", "position"), a.output, "source")
+    write(job["status"], out + "_batches")
     metrics.tag_counts(job["tagged"]).show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
+    tagging.run_report(corpus, job["status"], job["tags"], job["tagged"]).show(truncate=False)
 
 
 def cmd_report(spark, a):
     t = read(spark, a.input[0])
-    metrics.tag_by_source(t).show(50, truncate=False)
+    emit(metrics.tag_by_source(t), "tag_by_source", a)
     c = categories.category_counts_raw_by_tag(t, a.tag or ["TRUST_QUALITY", "TRUST_AUTHENTICITY"])
-    c.orderBy("primary_tag", F.col("mentions").desc(), "category").show(100, truncate=False)
-    g = filters.gold_rows(t)
-    print(f"gold rows: {g.count()}")
-    g.show(20, truncate=False)
+    emit(c.orderBy("primary_tag", F.col("mentions").desc(), "category"), "categories", a)
+    gold = filters.gold_rows(t)
+    print(f"gold rows: {gold.count()}")
+    emit(gold, "gold_rows", a)
 
 
 def cmd_panels(spark, a):
     t = read(spark, a.input[0])
-    metrics.noise_split(t).show()
-    metrics.signal_tag_counts(t).show(truncate=False)
-    categories.category_panels(t, PANELS).orderBy("panel", "rank").show(50, truncate=False)
-    categories.panel_mentions(t, PANELS).show(truncate=False)
+    emit(metrics.noise_split(t), "noise_split", a)
+    emit(metrics.signal_tag_counts(t), "signal_tags", a)
+    emit(categories.category_panels(t, PANELS).orderBy("panel", "rank"), "panels", a)
+    emit(categories.panel_mentions(t, PANELS), "mentions", a)
 
 
 def cmd_sample(spark, a):
@@ -112,15 +169,21 @@ def cmd_agreement(spark, a):
     blind = read(spark, a.blind, schemas.BLIND)
     key = read(spark, a.key, schemas.KEY)
     coded = validation.coded(blind, key)
-    validation.agreement(coded).show(truncate=False)
-    validation.disagreements(coded).show(100, truncate=False)
+    emit(validation.agreement(coded), "agreement", a)
+    emit(validation.disagreements(coded), "disagreements", a)
 
 
 def cmd_live(spark, a):
     stream = live.feed_stream(spark, a.landing)
-    q = live.start_live_run(stream, rules.RuleTagger(), a.output, a.checkpoint,
-                            run_id=uuid.uuid4().hex[:8], available_now=not a.continuous)
+    run_id = a.run_id or uuid.uuid4().hex[:8]
+    q = live.start_live_run(stream, load_tagger(a.tagger), a.output, a.checkpoint,
+                            run_id=run_id, available_now=not a.continuous)
     q.awaitTermination()
+    if not a.continuous:
+        done = live.read_live_batches(spark, a.output).where(F.col("run_id") == run_id)
+        done.groupBy("ok").agg(F.count("*").alias("batches"), F.sum("n_rows").alias("reviews")).show()
+        metrics.tag_counts(live.read_live(spark, a.output).where(F.col("run_id") == run_id)) \
+            .show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
 
 
 COMMANDS = {
@@ -128,6 +191,7 @@ COMMANDS = {
     "land-threads": cmd_land_threads, "land-dumps": cmd_land_dumps,
     "tag": cmd_tag, "report": cmd_report, "panels": cmd_panels,
     "sample": cmd_sample, "agreement": cmd_agreement, "live": cmd_live,
+    "upload": cmd_upload, "paste": cmd_paste, "newest": cmd_newest, "scores": cmd_scores,
 }
 
 
@@ -139,7 +203,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int)
     p.add_argument("--tag", action="append")
     p.add_argument("--batch-size", type=int, default=cb.BATCH_SIZE)
-    p.add_argument("--budget", type=int, default=cb.FAILURE_BUDGET, help="-1: no budget")
+    p.add_argument("--budget", type=int, help="stop where a serial run would, at its N-th failed batch")
+    p.add_argument("--tagger", help="module:callable, rows -> reply text; the rule tagger by default")
+    p.add_argument("--run-id", help="a restarted run of the same id repeats no stored call")
+    p.add_argument("--first", type=int, help="tag only the first N rows in input order")
+    p.add_argument("--column")
+    p.add_argument("--order")
     p.add_argument("--parallelism", type=int,
                    help="at most this many tagger calls at once (partitions of the batches)")
     p.add_argument("--n", type=int, default=cb.SAMPLE_SIZE)

@@ -36,6 +36,12 @@ def substantive(c: Column | str, min_len: int = cb.MIN_CONTENT_CHARS) -> Column:
     return c.isNotNull() & (F.length(c) > F.lit(min_len))
 
 
+def not_deleted(c: Column | str) -> Column:
+    """Not null, not empty and not the mark of a removed comment (F2)."""
+    c = _c(c)
+    return c.isNotNull() & (c != F.lit("")) & ~c.isin("[deleted]", "[removed]")
+
+
 def normalize_label(c: Column | str) -> Column:
     """Human tag clean-up: strip, upper case."""
     return F.upper(trim_u(c))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
-from feedlens.functions.text import is_ui_debris, preview, substantive as _substantive
+from feedlens.functions.text import is_ui_debris, not_deleted as _not_deleted, preview, substantive as _substantive
 
 
 def substantive(df: DataFrame, col: str = "content",
@@ -19,8 +19,7 @@ def substantive(df: DataFrame, col: str = "content",
 
 def not_deleted(df: DataFrame, col: str = "content") -> DataFrame:
     """Drop removed comments and empty text (F2)."""
-    c = F.col(col)
-    return df.filter(c.isNotNull() & (c != F.lit("")) & ~c.isin("[deleted]", "[removed]"))
+    return df.filter(_not_deleted(col))
 
 
 def min_chunk(df: DataFrame, col: str = "content", min_len: int = cb.MIN_CHUNK_CHARS) -> DataFrame:
@@ -43,9 +42,9 @@ def by_tag(df: DataFrame, tag: str, tag_col: str = "primary_tag") -> DataFrame:
     return df.filter(F.col(tag_col) == F.lit(tag))
 
 
-def gold_rows(df: DataFrame, n: int | None = cb.GOLD_PREVIEW_CHARS) -> DataFrame:
-    """Reviews that describe trying something new (F7), with the text cut to the
-    reference's display preview of ``n`` characters (F11), or whole when None."""
+def gold_rows(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Reviews that describe trying something new (F7), text whole, or cut to a display
+    preview of ``n`` characters (F11; ``codebook.GOLD_PREVIEW_CHARS`` in the fixed report)."""
     return df.filter(F.col("explored_new")).select(
         "reviewId", "source", "primary_tag", preview("content", n).alias("content"))
 

@@ -3,9 +3,8 @@
 None of these relies on partition order, and none sends a whole table or a
 whole group through one task:
 
-* ``row_index`` splits the key range into quantile buckets, counts each bucket
-  (one row per bucket), turns the counts into offsets, and numbers rows inside
-  each bucket.
+* ``row_index`` ranges and sorts the rows once, and adds the sizes of the
+  ranges before (one row per range) to each row's place in its own.
 * ``dedup_keep_first`` finds each content's first position with a partial
   aggregate (one row per task and content before the shuffle), then keeps the
   matching rows with a semi join on (content hash, position), whose keys are
@@ -15,54 +14,41 @@ whole group through one task:
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens import codebook as cb
 from feedlens.operators.common import bounded_broadcast
+from feedlens.session import scratch_path
 
 
-def row_index(df: DataFrame, order_col: str, idx_col: str = "idx",
-              buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
-    """Add a dense 0-based position in ``order_col`` order (unique keys assumed).
+def row_index(df: DataFrame, order_col: str | Sequence[str], idx_col: str = "idx",
+              buckets: int | None = None) -> DataFrame:
+    """Add a dense 0-based position in the order of ``order_col`` (one column or several,
+    of any sortable type; nulls first, equal keys in any fixed order).
 
-    ``order_col`` must be numeric (an id, a sequence number, epoch time).
+    The rows are ranged and sorted once and written to the shared scratch folder with
+    their place in their range; the ranges' sizes, one row per range, turn the places
+    into positions. Texts move once, and no window or range holds more than its share.
     """
-    if not isinstance(df.schema[order_col].dataType, T.NumericType):
-        raise ValueError(f"row_index needs a numeric order column, got "
-                         f"{df.schema[order_col].dataType.simpleString()} for {order_col!r}")
     spark = df.sparkSession
-    if buckets is None:
-        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col(order_col).cast("double")
-    keyed = df.withColumn("_k", key)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(keyed.approxQuantile("_k", probs, rel_error))) if probs else []
-    splits = [float("-inf")] + [b for b in bounds if b not in (float("-inf"), float("inf"))] \
-        + [float("inf")]
-    if len(splits) > 2:
-        # NaN keys get an extra last bucket ("keep"); null keys a first one, as
-        # both sort in Spark's ascending order.
-        keyed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b",
-                           handleInvalid="keep").transform(keyed)
-        keyed = keyed.withColumn("_b", F.coalesce(F.col("_b"), F.lit(-1.0)))
-    else:
-        keyed = keyed.withColumn("_b", F.lit(0.0))
-    # Bucket sizes: a partial hash aggregate that reads only the key (and what
-    # the input's own filters need), one row per bucket and task.
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket: the running sum runs over at most `buckets` rows.
-    offsets = counts.select(
-        "_b",
-        (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("_n")).alias("_off"))
-    offsets = bounded_broadcast(offsets, len(splits))
-    w = Window.partitionBy("_b").orderBy(F.col(order_col))
-    return (keyed.join(offsets, "_b", "inner")
-            .withColumn(idx_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_k", "_b", "_off"))
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.monotonically_increasing_id()           # range number in the high bits
+    path = scratch_path(spark, "row-index")
+    df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_m", place) \
+        .write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_m", T.LongType())])).parquet(path)
+    sizes = rows.groupBy(F.shiftright("_m", 33).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bounded_broadcast(sizes.select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), n)
+    return (rows.withColumn("_b", F.shiftright("_m", 33)).join(offsets, "_b", "inner")
+            .withColumn(idx_col, F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1))
+            .drop("_m", "_b", "_off"))
 
 
 def content_hash(col: str = "content") -> F.Column:

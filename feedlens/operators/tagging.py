@@ -24,6 +24,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from feedlens.session import checkpoint_root
 Tagger = Callable[[list[dict]], str]
 
 
-def batch_rows(reviews: DataFrame, order_col: str = "seq",
+def batch_rows(reviews: DataFrame, order_col="seq",
                size: int = cb.BATCH_SIZE) -> DataFrame:
     """Consecutive groups of ``size`` rows in input order; the last may be short."""
     return row_index(reviews, order_col).withColumn(
@@ -53,10 +54,10 @@ def batches(batched: DataFrame, id_col: str = "reviewId", text_col: str = "conte
 
 
 def render_prompt(batched: DataFrame, id_col: str = "reviewId", text_col: str = "content",
-                  preview_chars: int | None = cb.PROMPT_PREVIEW_CHARS) -> DataFrame:
+                  preview_chars: int | None = None) -> DataFrame:
     """The prompt block of each batch (T2): ``ID: <id>\\nREVIEW: <text>`` lines
-    joined by a blank line, in input order. The reference cuts each text to
-    600 characters for the model; ``preview_chars=None`` keeps it whole."""
+    joined by a blank line, in input order. ``preview_chars`` cuts each text (600 in the
+    fixed prompt format, ``codebook.PROMPT_PREVIEW_CHARS``); None keeps it whole."""
     line = F.concat(F.lit("ID: "), F.col(id_col), F.lit("\nREVIEW: "),
                     preview(F.coalesce(F.col(text_col), F.lit("nan")), preview_chars))
     g = batched.groupBy("batch_id").agg(
@@ -77,55 +78,68 @@ def _call_tagger(tagger: Tagger):
                     if reply is not None and not isinstance(reply, str):
                         reply = json.dumps(reply)  # a tagger may return parsed tags
                 except Exception as e:  # noqa: BLE001 - a failed call is data (T4)
-                    reply, error = None, f"{type(e).__name__}: {e}"[:1000]
+                    reply, error = None, f"{type(e).__name__}: {e}"
                 out.append((int(batch_id), int(n_rows), reply, error))
             yield pd.DataFrame(out, columns=["batch_id", "n_rows", "reply", "error"])
     return run
 
 
-# One Arrow record here is a whole batch of texts, so the default of 10,000
-# records per Arrow batch could hand a Python worker gigabytes at once.
-MAX_ARROW_BATCH_BYTES = 64 * 1024 * 1024
-
-
-def _bound_arrow_batches(spark) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = spark.conf.get(key, None)
-    try:
-        too_big = current is None or int(str(current).rstrip("bB")) > MAX_ARROW_BATCH_BYTES
-    except ValueError:
-        too_big = False  # a size string such as "32m": the user chose it
-    if too_big:
-        spark.conf.set(key, str(MAX_ARROW_BATCH_BYTES))
-
-
 def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = None,
-                materialize: bool = True) -> DataFrame:
+                materialize: bool = True, replies_dir: str | None = None,
+                run_id: str | None = None) -> DataFrame:
     """Run ``tagger`` once per batch (T3, T4): (batch_id, n_rows, reply, error).
 
-    With ``materialize`` the result is checkpointed to the shared checkpoint
-    folder before anything reads it.
+    With ``replies_dir`` every reply is kept as Parquet under ``run_id=<run_id>``, whether
+    it parses or not, and a restarted run of the same ``run_id`` calls the tagger only for
+    batches that have no stored reply or whose stored call failed. Without it,
+    ``materialize`` checkpoints the replies to the shared folder.
     """
     src = batch_df.select("batch_id", "n_rows", "rows")
     if parallelism is not None:
         src = src.repartition(parallelism, "batch_id")
-    _bound_arrow_batches(src.sparkSession)
-    out = src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
-    if materialize:
-        # Parse before materialising, so readers of the checkpoint never
-        # re-parse the reply text.
-        out = parse_reply_column(out)
-        checkpoint_root(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    if replies_dir is None:
+        out = src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
+        if materialize:
+            out = parse_reply_column(out)
+            checkpoint_root(out.sparkSession)
+            out = out.checkpoint(eager=True)
+        return out
+    path = f"{replies_dir.rstrip('/')}/run_id={run_id or 'default'}"
+    stored = stored_replies(src.sparkSession, path)
+    if stored is not None:
+        src = src.join(stored.select("batch_id"), "batch_id", "left_anti")
+    src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT).write.mode("append").parquet(path)
+    done = stored_replies(src.sparkSession, path, failed=True)
+    return batch_df.select("batch_id").join(done, "batch_id")
+
+
+def stored_replies(spark, path: str, failed: bool = False) -> DataFrame | None:
+    """One row per batch with a stored reply, the successful one if a call was repeated;
+    None without stored replies. ``failed`` adds the batches whose calls all failed."""
+    try:
+        kept = spark.read.schema(schemas.BATCH_RESULT).parquet(path)
+    except AnalysisException:                      # nothing stored yet
+        return None
+    best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "n_rows", "reply", "error"))
+    one = kept.groupBy("batch_id").agg(best.alias("b"))
+    if not failed:
+        one = one.where("not b.bad")
+    return one.select("batch_id", "b.n_rows", "b.reply", "b.error")
 
 
 def parse_reply_column(replies: DataFrame) -> DataFrame:
-    """Add ``_parsed`` (array of R2 structs, null when the reply does not parse)."""
+    """Add ``_parsed`` (array of R2 structs, null when the reply is not one JSON array).
+
+    Strict: text before or after the array, single quotes and a bare object do not parse.
+    """
     if "_parsed" in replies.columns:
         return replies
-    return replies.withColumn(
-        "_parsed", F.from_json(strip_fence(F.col("reply")), schemas.TAG_REPLY))
+    text = strip_fence(F.col("reply"))
+    whole = F.try_parse_json(text)
+    is_array = F.schema_of_variant(whole).startswith("ARRAY")
+    return replies.withColumn("_parsed", F.when(
+        is_array & text.rlike(r"(?s)^\s*\[.*\]\s*$"),
+        F.from_json(text, schemas.TAG_REPLY, {"allowSingleQuotes": "false"})))
 
 
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,54 +197,82 @@ def tag_coverage(reviews: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def codebook_check(tags: DataFrame, tags_allowed: list[str] | None = None) -> DataFrame:
-    """Tag rows outside the codebook (T7): (id, primary_tag, sentiment, problem)."""
-    spark = tags.sparkSession
-    allowed = tags_allowed or cb.PRIMARY_TAGS
-    book = bounded_broadcast(spark.createDataFrame([(t,) for t in allowed], "tag string"),
-                             len(allowed))
-    sent = bounded_broadcast(cb.sentiment_df(spark), len(cb.SENTIMENTS))
-    bad_tag = tags.join(book, tags["primary_tag"] == book["tag"], "left_anti").select(
-        "id", "primary_tag", "sentiment", F.lit("unknown primary_tag").alias("problem"))
-    bad_sent = tags.join(sent, tags["sentiment"] == sent["sentiment"], "left_anti").select(
-        "id", "primary_tag", tags["sentiment"], F.lit("unknown sentiment").alias("problem"))
-    no_id = tags.filter(F.col("id").isNull()).select(
-        "id", "primary_tag", "sentiment", F.lit("missing id").alias("problem"))
-    return bad_tag.unionByName(bad_sent).unionByName(no_id)
+    """Tag rows outside the codebook (T7): (id, primary_tag, secondary_tag, sentiment,
+    problem), one row per problem, in one pass. No secondary tag is no problem."""
+    book = F.array(*[F.lit(t) for t in tags_allowed or cb.PRIMARY_TAGS])
+    moods = F.array(*[F.lit(t) for t in cb.SENTIMENTS])
+
+    def column(name: str, kind: str) -> F.Column:
+        return F.col(name) if name in tags.columns else F.lit(None).cast(kind)
+
+    second = column("secondary_tag", "string")
+    found = F.array_compact(F.array(
+        F.when(~F.coalesce(F.array_contains(book, F.col("primary_tag")), F.lit(False)),
+               F.lit("unknown primary_tag")),
+        F.when(second.isNotNull() & ~F.array_contains(book, second), F.lit("unknown secondary_tag")),
+        F.when(~F.coalesce(F.array_contains(moods, F.col("sentiment")), F.lit(False)),
+               F.lit("unknown sentiment")),
+        F.when(F.col("id").isNull(), F.lit("missing id"))))
+    return tags.select("id", "primary_tag", second.alias("secondary_tag"), "sentiment",
+                       F.explode(found).alias("problem"))
 
 
 def run_report(loaded: DataFrame, status: DataFrame, kept_tags: DataFrame,
                tagged: DataFrame) -> DataFrame:
     """Run summary as (metric, value) rows (A13): rows loaded, batches, failed
-    batches, tags kept, rows tagged."""
-    def metric(name, df, agg):
-        return df.agg(agg.cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
-    parts = [
-        metric("rows_loaded", loaded, F.count(F.lit(1))),
-        metric("batches", status, F.count(F.lit(1))),
-        metric("failed_batches", status, F.count_if(~F.col("ok"))),
-        metric("tags_kept", kept_tags, F.count(F.lit(1))),
-        metric("rows_tagged", tagged, F.count(F.lit(1))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    batches, tags kept, rows tagged. The batches' status gives two of them in one scan."""
+    n = F.count(F.lit(1))
+    of_status = status.agg(n.alias("batches"), F.count_if(~F.col("ok")).alias("failed_batches")) \
+        .unpivot([], ["batches", "failed_batches"], "metric", "value")
+    out = loaded.agg(n.alias("value")).select(F.lit("rows_loaded").alias("metric"), "value") \
+        .unionByName(of_status)
+    for name, df in (("tags_kept", kept_tags), ("rows_tagged", tagged)):
+        out = out.unionByName(df.agg(n.alias("value")).select(F.lit(name).alias("metric"), "value"))
     return out
 
 
-def tag_reviews(reviews: DataFrame, tagger: Tagger, order_col: str = "seq",
-                size: int = cb.BATCH_SIZE, budget: int | None = cb.FAILURE_BUDGET,
-                parallelism: int | None = None, materialize: bool = True) -> dict[str, DataFrame]:
+def tag_reviews(reviews: DataFrame, tagger: Tagger, order_col="seq",
+                size: int = cb.BATCH_SIZE, budget: int | None = None,
+                parallelism: int | None = None, materialize: bool = True,
+                replies_dir: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
     """The whole job: returns ``batched``, ``replies``, ``status``, ``tags`` and
     ``tagged`` (reviews joined to the kept tags).
 
-    ``materialize=False`` skips the checkpoint; only for callers that read the
-    tags exactly once (a budget needs a second read, so it forces one).
+    Every batch that answers is kept. ``budget`` asks for the rows a serial run would have
+    kept that stops at its ``budget``-th failure; the status then says which batches come
+    after the stop (``after_stop``). ``materialize=False`` skips the checkpoint; only for
+    callers that read the tags exactly once (a budget needs a second read, so it forces one).
     """
     batched = batch_rows(reviews, order_col, size)
     replies = call_tagger(batches(batched), tagger, parallelism,
-                          materialize=materialize or budget is not None)
+                          materialize=materialize or budget is not None,
+                          replies_dir=replies_dir, run_id=run_id)
     status, tags = parse_replies(replies)
     if budget is not None:
-        tags = failure_budget(status, tags, budget)
+        stop = failure_stop(status, budget)
+        status = status.withColumn("after_stop", F.lit(False) if stop is None
+                                   else F.col("batch_id") >= F.lit(stop))
+        tags = tags if stop is None else tags.filter(F.col("batch_id") < F.lit(stop))
     return {"batched": batched, "replies": replies, "status": status, "tags": tags,
             "tagged": attach_tags(reviews, tags)}
+
+
+def tag_in_place(reviews: DataFrame, tagger: Tagger, size: int = cb.BATCH_SIZE,
+                 id_col: str = "reviewId", text_col: str = "content") -> DataFrame:
+    """Replies for batches cut within each partition, with no shuffle: (batch_id, n_rows,
+    reply, error). For live rows, whose positions over the whole run don't matter."""
+    call = _call_tagger(tagger)
+
+    def run(frames):
+        from pyspark import TaskContext
+        batch_id = TaskContext.get().partitionId() << 33
+        for f in frames:
+            cuts = range(0, len(f), size)
+            yield from call([pd.DataFrame({
+                "batch_id": [batch_id + k for k in range(len(cuts))],
+                "n_rows": [len(f[at:at + size]) for at in cuts],
+                "rows": [f[at:at + size].to_dict("records") for at in cuts]})])
+            batch_id += len(cuts)
+
+    return reviews.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
+        .mapInPandas(run, schemas.BATCH_RESULT)

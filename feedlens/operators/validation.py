@@ -59,9 +59,9 @@ def agreement(coded_rows: DataFrame) -> DataFrame:
 
 
 def disagreements(coded_rows: DataFrame,
-                  n: int | None = cb.DISAGREEMENT_PREVIEW_CHARS) -> DataFrame:
-    """Scored rows where human and machine differ (V4), the text cut to the
-    reference's display preview of ``n`` characters, or whole when None."""
+                  n: int | None = None) -> DataFrame:
+    """Scored rows where human and machine differ (V4), text whole, or cut to a display
+    preview of ``n`` characters (``codebook.DISAGREEMENT_PREVIEW_CHARS`` in the fixed report)."""
     return coded_rows.filter(~F.col("is_junk") & ~F.col("agrees")).select(
         "reviewId", "your_tag", "primary_tag", preview("content", n).alias("content"))
 

@@ -240,14 +240,14 @@ ORACLE["land_play"] = f"""
 WITH {FEED}
 SELECT CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
        CAST(user_id AS DOUBLE) AS thumbsUpCount, 'play_store' AS source,
-       CAST(length(content) AS BIGINT) AS content_chars
+       content
 FROM feed WHERE {subst('content')}"""
 
 ORACLE["land_appstore"] = f"""
 WITH {FEED}
 SELECT 'ios_' || CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
        CAST(NULL AS DOUBLE) AS thumbsUpCount, 'app_store' AS source,
-       CAST(length(content) AS BIGINT) AS content_chars
+       content
 FROM feed WHERE {subst('content')}"""
 
 ORACLE["score_distribution"] = f"""
@@ -259,14 +259,14 @@ ORACLE["newest_reviews"] = f"""
 WITH {FEED},
 top AS (SELECT * FROM feed ORDER BY ts DESC NULLS LAST, CAST(event_id AS VARCHAR) ASC LIMIT 60)
 SELECT CAST(event_id AS VARCHAR) AS reviewId, score,
-       CAST(length(content) AS BIGINT) AS content_chars
+       content
 FROM top WHERE {subst('content')}"""
 
 ORACLE["ingest_column"] = f"""
 WITH idx AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx,
                     coalesce(text, 'nan') AS content FROM documents)
 SELECT 'up_' || CAST(idx AS VARCHAR) AS reviewId, idx,
-       CAST(length(content) AS BIGINT) AS content_chars
+       content
 FROM idx WHERE {subst('content')}"""
 
 ORACLE["ingest_lines"] = f"""
@@ -286,19 +286,19 @@ ORACLE["union_sources"] = f"""
 WITH {FEED}
 SELECT CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score,
        CAST(user_id AS DOUBLE) AS thumbsUpCount, 'play_store' AS source,
-       CAST(NULL AS VARCHAR) AS thread, CAST(length(content) AS BIGINT) AS content_chars
+       CAST(NULL AS VARCHAR) AS thread, content
 FROM feed WHERE {subst('content')}
 UNION ALL
 SELECT CAST(doc_id AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), source,
-       CAST(NULL AS VARCHAR), CAST(length(text) AS BIGINT)
+       CAST(NULL AS VARCHAR), text
 FROM documents WHERE {subst('text')}"""
 
 ORACLE["first_n"] = """
 SELECT CAST(doc_id AS VARCHAR) AS reviewId, source FROM documents ORDER BY doc_id LIMIT 100"""
 
 ORACLE["dedup_content"] = """
-SELECT reviewId, source FROM (
-  SELECT CAST(doc_id AS VARCHAR) AS reviewId, source,
+SELECT reviewId, source, content FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS reviewId, source, text AS content,
          row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
   FROM documents) WHERE rn = 1"""
 
@@ -327,7 +327,7 @@ clean AS (SELECT * FROM chunks WHERE length(content) >= 25 AND NOT ({DEBRIS}))""
 
 ORACLE["src_dumps"] = f"""
 WITH {DUMPS}
-SELECT file, CAST(length(value) AS BIGINT) AS value_chars FROM dumps"""
+SELECT file, value FROM dumps"""
 
 ORACLE["chunk_text"] = f"""
 WITH {DUMPS}, {CHUNKS}
@@ -335,12 +335,12 @@ SELECT file, idx, reviewId, content FROM chunks"""
 
 ORACLE["chunk_clean"] = f"""
 WITH {DUMPS}, {CHUNKS}, {CLEAN}
-SELECT file, idx, reviewId FROM clean"""
+SELECT file, idx, reviewId, content FROM clean"""
 
 ORACLE["dump_reviews"] = f"""
 WITH {DUMPS}, {CHUNKS}, {CLEAN},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY file, idx) AS rn FROM clean)
-SELECT reviewId, file AS thread, idx, 'reddit_manual' AS source FROM ranked WHERE rn = 1"""
+SELECT reviewId, file AS thread, idx, 'reddit_manual' AS source, content FROM ranked WHERE rn = 1"""
 
 THREAD_URL = (f"'{an.THREAD_URL}' || CAST(conv_id AS VARCHAR) || '/conversation_' "
               f"|| CAST(conv_id AS VARCHAR) || '/'")
@@ -366,7 +366,7 @@ WITH {COMMENTS}
 SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS reviewId,
        CAST(CASE WHEN role <> 'system' THEN turn ELSE 0 END AS BIGINT) AS thumbsUpCount,
        {EPOCH_TS} AS at, {THREAD_URL} AS thread, depth,
-       CAST(length(text) AS BIGINT) AS content_chars
+       text AS content
 FROM comments
 WHERE {subst('text')} AND text NOT IN ('[deleted]', '[removed]')"""
 
@@ -397,4 +397,4 @@ WITH rows AS (
 ),
 kept AS (SELECT * FROM rows WHERE {subst('content')} AND content NOT IN ('[deleted]', '[removed]')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY thread, turn) AS rn FROM kept)
-SELECT reviewId, thread, CAST(length(content) AS BIGINT) AS content_chars FROM ranked WHERE rn = 1"""
+SELECT reviewId, thread, content FROM ranked WHERE rn = 1"""

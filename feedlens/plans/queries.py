@@ -173,7 +173,7 @@ def q_land_play(spark, sf_dir):
     """Store export landed as reviews: project, stamp source, text floor."""
     out = land.land_play(an.play_export(spark, sf_dir))
     return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
-                      F.length("content").cast("long").alias("content_chars"))
+                      "content")
 
 
 @register("land_appstore")
@@ -181,7 +181,7 @@ def q_land_appstore(spark, sf_dir):
     """App Store export landed as reviews: ios_ ids, rating as score (S3)."""
     out = land.land_appstore(an.appstore_export(spark, sf_dir))
     return out.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source",
-                      F.length("content").cast("long").alias("content_chars"))
+                      "content")
 
 
 @register("score_distribution")
@@ -194,7 +194,7 @@ def q_score_distribution(spark, sf_dir):
 def q_newest_reviews(spark, sf_dir):
     """The 60 newest store reviews (the live-fetch default), then the text floor."""
     out = land.newest_reviews(an.play_export(spark, sf_dir), 60)
-    return out.select("reviewId", "score", F.length("content").cast("long").alias("content_chars"))
+    return out.select("reviewId", "score", "content")
 
 
 @register("ingest_column")
@@ -202,7 +202,7 @@ def q_ingest_column(spark, sf_dir):
     """Upload path over the whole documents table, ids before the filter."""
     d = an.table(spark, sf_dir, "documents")
     out = land.ingest_text_column(d, "text", order_col="doc_id")
-    return out.select("reviewId", "idx", F.length("content").cast("long").alias("content_chars"))
+    return out.select("reviewId", "idx", "content")
 
 
 @register("ingest_lines")
@@ -221,7 +221,7 @@ def q_union_sources(spark, sf_dir):
                                                             "thumbsUpCount", "thread")
     u = land.union_sources([play, docs])
     return u.select("reviewId", "score", F.col("thumbsUpCount").cast("double"), "source", "thread",
-                    F.length("content").cast("long").alias("content_chars"))
+                    "content")
 
 
 @register("first_n")
@@ -234,7 +234,7 @@ def q_first_n(spark, sf_dir):
 def q_dedup_content(spark, sf_dir):
     """Keep the first review of every exact text, in input order."""
     out = ordr.dedup_keep_first(an.reviews(spark, sf_dir), "content", ("seq",))
-    return out.select("reviewId", "source")
+    return out.select("reviewId", "source", "content")
 
 
 # --- page dumps and forum threads ----------------------------------------------
@@ -248,7 +248,7 @@ def _dumps(spark, sf_dir):
 def q_src_dumps(spark, sf_dir):
     """Text files read whole, one row per file."""
     return _dumps(spark, sf_dir).select(
-        "file", F.length("value").cast("long").alias("value_chars"))
+        "file", "value")
 
 
 @register("chunk_text")
@@ -261,13 +261,13 @@ def q_chunk_text(spark, sf_dir):
 def q_chunk_clean(spark, sf_dir):
     """Chunks kept by the length floor and the UI-debris rule."""
     return files.clean_chunks(files.chunk_text(_dumps(spark, sf_dir))).select(
-        "file", "idx", "reviewId")
+        "file", "idx", "reviewId", "content")
 
 
 @register("dump_reviews")
 def q_dump_reviews(spark, sf_dir):
     """Dumps to reviews: chunk, clean, keep the first copy of each text."""
-    return files.land_dumps(_dumps(spark, sf_dir)).select("reviewId", "thread", "idx", "source")
+    return files.land_dumps(_dumps(spark, sf_dir)).select("reviewId", "thread", "idx", "source", "content")
 
 
 def _threads(spark, sf_dir):
@@ -286,7 +286,7 @@ def q_thread_comments(spark, sf_dir):
     """Every comment at every depth of every thread."""
     return thr.thread_comments(_threads(spark, sf_dir)).select(
         "reviewId", "thumbsUpCount", "at", "thread", "depth",
-        F.length("content").cast("long").alias("content_chars"))
+        "content")
 
 
 @register("thread_report")
@@ -305,4 +305,4 @@ def q_thread_slug(spark, sf_dir):
 def q_thread_reviews(spark, sf_dir):
     """Thread posts and comments, each text kept once in thread order."""
     return thr.land_threads(_threads(spark, sf_dir)).select(
-        "reviewId", "thread", F.length("content").cast("long").alias("content_chars"))
+        "reviewId", "thread", "content")

@@ -7,15 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens import codebook as cb
 from feedlens.operators import filters as flt
 from feedlens.operators import rules
 from feedlens.operators import tagging as tg
 from feedlens.plans import analogues as an
-from feedlens.plans.analog_rules import ANALOG_BOOK
+from feedlens.plans.analog_rules import ANALOG_BOOK, FaultyTagger
 from feedlens.plans.oracle import ORACLE, subst
 from feedlens.plans.queries import register
 
 TAGGER = rules.RuleTagger(ANALOG_BOOK, style="fenced_json")
+FAULTY = FaultyTagger(ANALOG_BOOK)
+ANALOG_TAGS = [t for t, _ in ANALOG_BOOK.rules] + [ANALOG_BOOK.default_tag]
 
 
 def _input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +26,8 @@ def _input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flt.substantive(an.reviews(spark, sf_dir))
 
 
-def _job(spark: SparkSession, sf_dir: str, budget=3):
-    return tg.tag_reviews(_input(spark, sf_dir), TAGGER, order_col="seq", budget=budget)
+def _job(spark: SparkSession, sf_dir: str, budget=None, tagger=TAGGER):
+    return tg.tag_reviews(_input(spark, sf_dir), tagger, order_col="seq", budget=budget)
 
 
 def _tag_cols(df: DataFrame | None = None) -> list:
@@ -63,21 +66,21 @@ def q_tag_partitions(spark, sf_dir):
 @register("parse_response")
 def q_parse_response(spark, sf_dir):
     """Fenced replies to tag rows."""
-    job = _job(spark, sf_dir, budget=None)
+    job = _job(spark, sf_dir)
     _, tags = tg.parse_replies(job["replies"])
     return tags.select("batch_id", "id", *_tag_cols(tags))
 
 
 @register("batch_status")
 def q_batch_status(spark, sf_dir):
-    """One status row per batch (T4)."""
-    return _job(spark, sf_dir, budget=None)["status"]
+    """One status row per batch, of a tagger that fails and babbles (T4)."""
+    return _job(spark, sf_dir, tagger=FAULTY)["status"]
 
 
 @register("failure_budget")
 def q_failure_budget(spark, sf_dir):
     """Tags kept under a budget of three failed batches (T5)."""
-    return _job(spark, sf_dir)["tags"].select("batch_id", "id", "primary_tag")
+    return _job(spark, sf_dir, budget=3, tagger=FAULTY)["tags"].select("batch_id", "id", "primary_tag")
 
 
 @register("attach_tags")
@@ -91,20 +94,20 @@ def q_attach_tags(spark, sf_dir):
 @register("tag_coverage")
 def q_tag_coverage(spark, sf_dir):
     """Reviews without a tag and tags without a review."""
-    tags = _job(spark, sf_dir)["tags"]
+    tags = _job(spark, sf_dir, tagger=FAULTY)["tags"]
     return tg.tag_coverage(an.reviews(spark, sf_dir), tags)
 
 
 @register("codebook_check")
 def q_codebook_check(spark, sf_dir):
     """Tags outside the codebook."""
-    return tg.codebook_check(_job(spark, sf_dir)["tags"])
+    return tg.codebook_check(_job(spark, sf_dir, tagger=FAULTY)["tags"], ANALOG_TAGS)
 
 
 @register("run_report")
 def q_run_report(spark, sf_dir):
     """Rows loaded, batches, failures, tags kept, rows tagged."""
-    job = _job(spark, sf_dir)
+    job = _job(spark, sf_dir, tagger=FAULTY)
     return tg.run_report(_input(spark, sf_dir), job["status"], job["tags"], job["tagged"])
 
 
@@ -163,15 +166,34 @@ ORACLE["parse_response"] = f"""
 WITH {INPUT}
 SELECT batch_id, id, primary_tag, secondary_tag, categories, explored_new, sentiment FROM tags"""
 
+# The rules of FaultyTagger.
+FAULTY_TAGS = f"""
+{INPUT},
+judged AS (
+  SELECT *, first_doc % 11 = 0 AS raised, first_doc % 11 <> 0 AND first_doc % 13 = 0 AS babbled
+  FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY batch_id ORDER BY idx) AS first_doc FROM batched)
+),
+faulty AS (
+  SELECT CASE WHEN j.doc_id % 23 = 0 THEN t.id || 'x' ELSE t.id END AS id, j.batch_id,
+         CASE WHEN j.doc_id % 17 = 0 THEN 'OFF_BOOK' ELSE t.primary_tag END AS primary_tag,
+         CASE WHEN j.doc_id % 29 = 0 THEN 'ODD' ELSE t.secondary_tag END AS secondary_tag,
+         CASE WHEN j.doc_id % 19 = 0 THEN 'meh' ELSE t.sentiment END AS sentiment
+  FROM judged j JOIN tags t ON j.reviewId = t.id WHERE NOT raised AND NOT babbled
+)"""
+
 ORACLE["batch_status"] = f"""
-WITH {INPUT}
-SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, TRUE AS ok, CAST(NULL AS VARCHAR) AS error,
-       CAST(count(*) AS BIGINT) AS n_tags
-FROM batched GROUP BY batch_id"""
+WITH {FAULTY_TAGS}
+SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, NOT bool_or(raised OR babbled) AS ok,
+       CASE WHEN bool_or(raised) THEN 'RuntimeError: model unavailable'
+            WHEN bool_or(babbled) THEN 'reply is not a JSON array of tags' END AS error,
+       CAST(CASE WHEN bool_or(raised OR babbled) THEN 0 ELSE count(*) END AS BIGINT) AS n_tags
+FROM judged GROUP BY batch_id"""
 
 ORACLE["failure_budget"] = f"""
-WITH {INPUT}
-SELECT batch_id, id, primary_tag FROM tags"""
+WITH {FAULTY_TAGS},
+failed AS (SELECT DISTINCT batch_id FROM judged WHERE raised OR babbled ORDER BY batch_id LIMIT 3),
+stop AS (SELECT CASE WHEN count(*) = 3 THEN max(batch_id) END AS at FROM failed)
+SELECT f.batch_id, f.id, f.primary_tag FROM faulty f, stop WHERE stop.at IS NULL OR f.batch_id < stop.at"""
 
 ORACLE["attach_tags"] = f"""
 WITH {INPUT}
@@ -179,19 +201,30 @@ SELECT CAST(d.doc_id AS VARCHAR) AS reviewId, t.id, d.source, t.primary_tag
 FROM documents d JOIN tags t ON CAST(d.doc_id AS VARCHAR) = t.id"""
 
 ORACLE["tag_coverage"] = f"""
-WITH {INPUT}
+WITH {FAULTY_TAGS}
 SELECT 'untagged_review' AS kind, CAST(d.doc_id AS VARCHAR) AS id
-FROM documents d WHERE CAST(d.doc_id AS VARCHAR) NOT IN (SELECT id FROM tags)"""
-
-ORACLE["codebook_check"] = """
-SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS primary_tag,
-       CAST(NULL AS VARCHAR) AS sentiment, CAST(NULL AS VARCHAR) AS problem
-WHERE FALSE"""
+FROM documents d WHERE CAST(d.doc_id AS VARCHAR) NOT IN (SELECT id FROM faulty)
+UNION ALL
+SELECT 'unknown_id', id FROM faulty WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)"""
+
+_BOOK = ", ".join(f"'{t}'" for t in ANALOG_TAGS)
+_MOODS = ", ".join(f"'{t}'" for t in cb.SENTIMENTS)
+
+ORACLE["codebook_check"] = f"""
+WITH {FAULTY_TAGS}
+SELECT id, primary_tag, secondary_tag, sentiment, 'unknown primary_tag' AS problem
+FROM faulty WHERE primary_tag NOT IN ({_BOOK})
+UNION ALL
+SELECT id, primary_tag, secondary_tag, sentiment, 'unknown secondary_tag'
+FROM faulty WHERE secondary_tag IS NOT NULL AND secondary_tag NOT IN ({_BOOK})
+UNION ALL
+SELECT id, primary_tag, secondary_tag, sentiment, 'unknown sentiment'
+FROM faulty WHERE sentiment NOT IN ({_MOODS})"""
 
 ORACLE["run_report"] = f"""
-WITH {INPUT}
+WITH {FAULTY_TAGS}
 SELECT 'rows_loaded' AS metric, CAST(count(*) AS BIGINT) AS value FROM input
 UNION ALL SELECT 'batches', CAST(count(DISTINCT batch_id) AS BIGINT) FROM batched
-UNION ALL SELECT 'failed_batches', CAST(0 AS BIGINT)
-UNION ALL SELECT 'tags_kept', CAST(count(*) AS BIGINT) FROM tags
-UNION ALL SELECT 'rows_tagged', CAST(count(*) AS BIGINT) FROM tags"""
+UNION ALL SELECT 'failed_batches', CAST(count(DISTINCT batch_id) AS BIGINT) FROM judged WHERE raised OR babbled
+UNION ALL SELECT 'tags_kept', CAST(count(*) AS BIGINT) FROM faulty
+UNION ALL SELECT 'rows_tagged', CAST(count(*) AS BIGINT) FROM faulty f JOIN input i ON f.id = i.reviewId"""

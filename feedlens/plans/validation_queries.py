@@ -3,8 +3,6 @@ P7) and the live stream (S12), with their SQL twins."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ def _coded(spark, sf_dir):
 def q_validation_sample(spark, sf_dir):
     """Blind copy of the seeded 50-row sample."""
     s = val.blind_copy(val.validation_sample(tagged_docs(spark, sf_dir)))
-    return s.select("reviewId", F.length("content").cast("long").alias("content_chars"),
+    return s.select("reviewId", "content",
                     "your_tag")
 
 
@@ -82,7 +80,7 @@ def q_src_reviews(spark, sf_dir):
     path = scratch_path(spark, "csv")
     files.write_table(export, path, fmt="csv", partition_by=None)
     back = files.read_reviews_csv(spark, path)
-    return back.select("reviewId", F.length("content").cast("long").alias("content_chars"),
+    return back.select("reviewId", "content",
                        "source", "primary_tag", "secondary_tag",
                        F.array_join("categories_mentioned", "|").alias("categories"),
                        "explored_new", "sentiment")
@@ -93,21 +91,21 @@ def q_parse_list(spark, sf_dir):
     """Category lists written as Python literals in three styles, parsed back.
 
     Reviews of fully shipped orders (positive) use single quotes, open orders
-    (negative) JSON, partly shipped orders (mixed) a tuple with a trailing
-    comma, which only the Python tier reads.
+    (negative) JSON, partly shipped orders (mixed) a tuple of prefixed strings,
+    which only the Python tier reads.
     """
     t = an.tagged(spark, sf_dir).select("reviewId", "sentiment", "categories_mentioned")
     c = F.col("categories_mentioned")
 
     def quoted(q):  # q + items joined by q, q + q: no lambda, stays in generated code
-        return F.concat(F.lit(q), F.array_join(c, f"{q}, {q}"), F.lit(q))
+        return F.concat(F.lit(q), F.array_join(c, f"{q[-1]}, {q}"), F.lit(q[-1]))
 
     lit = (F.when(F.size(c) == 0, F.lit("[]"))
            .when(F.col("sentiment") == "positive",
                  F.concat(F.lit("["), quoted("'"), F.lit("]")))
            .when(F.col("sentiment") == "negative",
                  F.concat(F.lit("["), quoted('"'), F.lit("]")))
-           .otherwise(F.concat(F.lit("("), quoted("'"), F.lit(",)"))))
+           .otherwise(F.concat(F.lit("("), quoted("u'"), F.lit(",)"))))
     parsed = t.select("reviewId", parse_list(lit).alias("items"))
     # The outer form avoids an inferred filter that would run the parser twice.
     return (parsed.select("reviewId", F.posexplode_outer("items").alias("pos", "item"))
@@ -117,29 +115,32 @@ def q_parse_list(spark, sf_dir):
 
 @register("write_table")
 def q_write_table(spark, sf_dir):
-    """Tagged corpus written partitioned by source, read back for one source."""
+    """Tagged corpus written partitioned by source, all sources read back."""
     path = scratch_path(spark, "tagged")
-    files.write_table(an.tagged(spark, sf_dir).drop("categories_mentioned"), path)
-    back = spark.read.parquet(path)
-    return back.filter(F.col("source") == "household").select("reviewId", "primary_tag", "source")
+    files.write_table(an.tagged(spark, sf_dir), path)
+    return spark.read.parquet(path).select(
+        "reviewId", "primary_tag", "source", "content",
+        F.array_join("categories_mentioned", "|").alias("categories"))
 
 
 @register("live_run")
 def q_live_run(spark, sf_dir):
-    """New store reviews tagged as a stream, kept apart from the corpus."""
+    """New store reviews tagged as a stream, kept apart from the corpus (S12, F12). They land
+    scattered over files, out of time order, and every fifth review lands twice."""
     feed = an.play_export(spark, sf_dir).select("reviewId", "content", "at", "seq")
-    landing = live.land_feed(feed, scratch_path(spark, "landing"), files=8)
-    stream = live.feed_stream(spark, landing, max_files=4)   # two micro-batches
+    feed = feed.union(feed.where("seq % 5 = 0")).repartition(F.col("reviewId"), F.rand(7))
+    landing = live.land_feed(feed, scratch_path(spark, "landing"), rows_per_file=25_000)
+    stream = live.feed_stream(spark, landing)
     out = scratch_path(spark, "live_tagged")
     q = live.start_live_run(stream, TAGGER, out, scratch_path(spark, "live_ckpt"),
-                            run_id=uuid.uuid4().hex[:8])
+                            run_id="live")
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     res = live.read_live(spark, out)
     return res.select(F.col("id").alias("reviewId"), "primary_tag",
                       F.array_join("categories_mentioned", "|").alias("categories"),
-                      "sentiment")
+                      "sentiment", "run_id")
 
 
 # --- SQL twins -------------------------------------------------------------------
@@ -172,7 +173,7 @@ coded AS (
 
 ORACLE["validation_sample"] = f"""
 WITH {SAMPLE}
-SELECT reviewId, CAST(length(content) AS BIGINT) AS content_chars, '' AS your_tag FROM sample"""
+SELECT reviewId, content, '' AS your_tag FROM sample"""
 
 ORACLE["answer_key"] = f"""
 WITH {SAMPLE}
@@ -199,7 +200,7 @@ SELECT your_tag, primary_tag, CAST(count(*) AS BIGINT) AS reviews
 FROM coded WHERE NOT is_junk GROUP BY your_tag, primary_tag"""
 
 ORACLE["src_reviews"] = f"""
-SELECT CAST(doc_id AS VARCHAR) AS reviewId, CAST(length(text) AS BIGINT) AS content_chars,
+SELECT CAST(doc_id AS VARCHAR) AS reviewId, text AS content,
        source, {rule_tag_sql('text')}
 FROM documents"""
 
@@ -209,10 +210,10 @@ SELECT reviewId, pos, category_raw AS item FROM mentions"""
 
 ORACLE["write_table"] = f"""
 WITH {TAGGED_ROWS}
-SELECT reviewId, primary_tag, source FROM tagged WHERE source = 'household'"""
+SELECT reviewId, primary_tag, source, content, p_name || '|' || noun AS categories FROM tagged"""
 
 ORACLE["live_run"] = f"""
-SELECT reviewId, primary_tag, categories, sentiment FROM (
+SELECT reviewId, primary_tag, categories, sentiment, 'live' AS run_id FROM (
   SELECT CAST(e.event_id AS VARCHAR) AS reviewId, {rule_tag_sql('d.text')}
   FROM events e JOIN documents d ON e.user_id = d.doc_id
   WHERE {subst('d.text')})"""

@@ -28,20 +28,28 @@ def _null_tokens(c: F.Column) -> F.Column:
 
 
 def read_reviews_csv(spark: SparkSession, path: str,
-                     schema: T.StructType = schemas.TAGGED_CSV) -> DataFrame:
+                     schema: T.StructType = schemas.TAGGED_CSV,
+                     required: tuple[str, ...] = ("reviewId",)) -> DataFrame:
     """Quoted, multi-line CSV with a header (S1), typed to R1/R3.
 
+    Columns are found by their names in the header, in any order; other columns are
+    ignored, absent ones are null, and an absent column of ``required`` is an error.
+
     String columns map pandas' missing-value tokens to null; the float-written
     like count becomes a long; ``at`` becomes a timestamp; a category column
     holding a Python-literal list becomes ``array<string>``; ``True``/``False``
     becomes boolean. An empty file gives zero rows.
     """
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    raw = (spark.read.option("header", True).option("multiLine", True)
            .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
+    missing = [c for c in required if c in schema.names and c not in raw.columns]
+    if raw.columns and missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {raw.columns}")
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string")
         if isinstance(f.dataType, T.StringType):
             c = _null_tokens(c)
         if f.name == "thumbsUpCount":
@@ -55,6 +63,8 @@ def read_reviews_csv(spark: SparkSession, path: str,
         elif f.name == "explored_new" and isinstance(f.dataType, T.StringType):
             low = F.lower(trim_u(c))
             c = F.when(low == "true", F.lit(True)).when(low == "false", F.lit(False))
+        elif not isinstance(f.dataType, T.StringType):
+            c = c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return raw.select(*cols)
 
@@ -74,7 +84,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 

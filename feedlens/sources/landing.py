@@ -114,5 +114,17 @@ def newest_reviews(df: DataFrame, n: int, at_col: str = "at",
 
 
 def union_sources(dfs: list[DataFrame]) -> DataFrame:
-    """Stack sources in order; columns missing from one source become null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    """Stack sources in order (S10); columns missing from one source become null.
+
+    ``source_no`` and ``position`` carry the stack order: the source's place in the
+    list, and the row's ``seq`` there, or else its place in the scan. Neither is null
+    (a null ``seq`` stands before all others), so sources with and without a ``seq``
+    keep their order among each other.
+    """
+    def placed(k: int, df: DataFrame) -> DataFrame:
+        seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))) if "seq" in df.columns \
+            else F.monotonically_increasing_id()
+        return df.withColumn("source_no", F.lit(k)).withColumn("position", seq)
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [placed(k, df) for k, df in enumerate(dfs)])

@@ -2,26 +2,30 @@
 
 A thread document is a two-element array: the post listing and the comment
 listing. Comments nest through ``data.replies``, which is either a listing of
-the same shape or an empty string, so the document is parsed to VARIANT and
-walked with a recursive CTE: each level of the tree is one round of a
-``variant_explode``, distributed over all nodes of that level in all threads.
-The ``path`` of sibling positions orders rows depth-first, as the reference's
-recursive walk emits them.
+the same shape or an empty string. ``parse_threads`` flattens every document once,
+in one walk of linear cost that no nesting depth stops, into the nodes that
+posts, comments and the report read: nothing below parses a document again.
+A document is one task's row; threads are spread over tasks. The ``path`` of
+sibling positions orders rows depth-first, as the reference's recursive walk
+emits them.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
-from feedlens.functions.text import substantive, trim_u
+from feedlens.functions.text import not_deleted, substantive, trim_u
 from feedlens.operators.ordering import dedup_keep_first
 
-# Rows a recursive walk may produce before Spark stops it: unlimited (-1)
-# instead of the default 1,000,000, which a forum export easily exceeds. The
-# walk always ends: every round goes one level deeper into finite documents.
-RECURSION_ROW_LIMIT = -1
+NODES = ("thread string, ok boolean, role string, kind string, path array<int>, depth long, "
+         "id string, title string, body string, ups long, created double")
 
 
 def epoch_to_ts(c: F.Column) -> F.Column:
@@ -30,67 +34,154 @@ def epoch_to_ts(c: F.Column) -> F.Column:
         F.make_dt_interval(secs=c.cast("double").cast("decimal(18,6)"))
 
 
-def parse_threads(docs: DataFrame, thread_col: str = "thread", json_col: str = "json") -> DataFrame:
-    """(thread, v VARIANT, ok boolean): ok is false when the JSON does not parse."""
-    v = F.try_parse_json(F.col(json_col))
-    return docs.select(F.col(thread_col).alias("thread"), v.alias("v"),
-                       v.isNotNull().alias("ok"))
+_TOKEN = re.compile(r'[\s,:]*(?:("(?:[^"\\]|\\.)*")|([\[{])|([\]}])|([^\s,:\[\]{}"]+))')
+
+
+def load_json(text: str):
+    """A JSON document of any nesting depth; ValueError if it is none. The standard
+    parser recurses, so documents too deep for it are read with a stack of open values."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+
+    def put(value) -> None:
+        if isinstance(stack[-1], list):
+            stack[-1].append(value)
+        elif keys[-1] is None:
+            if not isinstance(value, str):
+                raise ValueError("a key is not a string")
+            keys[-1] = value
+        else:
+            stack[-1][keys[-1]], keys[-1] = value, None
+
+    at, end = 0, len(text.rstrip())
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            raise ValueError(f"not JSON at {at}")
+        string, opening, closing, plain = m.groups()
+        if opening:
+            value = [] if opening == "[" else {}
+            put(value)
+            stack.append(value)
+            keys.append(None)
+        elif closing:
+            if len(stack) == 1 or isinstance(stack[-1], list) != (closing == "]"):
+                raise ValueError(f"brackets do not match at {at}")
+            stack.pop()
+            keys.pop()
+        else:
+            put(json.loads(string or plain))
+        at = m.end()
+    if len(stack) != 1 or len(root) != 1:
+        raise ValueError("not one JSON value")
+    return root[0]
+
+
+def _get(value, *steps):
+    """The value below ``value`` along keys and positions, or None."""
+    for step in steps:
+        if isinstance(step, str):
+            value = value.get(step) if isinstance(value, dict) else None
+        else:
+            value = value[step] if isinstance(value, list) and len(value) > step else None
+    return value
+
+
+def _text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value)
+
+
+def _number(value) -> float | None:
+    try:
+        return None if value is None else float(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def _nodes(thread: str, text: str | None) -> Iterator[tuple]:
+    """The rows of one document: one for the thread, one for its post, one per comment node."""
+    try:
+        doc = load_json(text) if text is not None else None
+    except ValueError:
+        doc = None
+    yield (thread, doc is not None, "thread", None, [], 0, None, None, None, None, None)
+
+    def row(role: str, kind, path: list[int], data, body: str) -> tuple:
+        ups = _number(_get(data, "ups"))
+        return (thread, True, role, _text(kind), path, len(path), _text(_get(data, "id")), _text(_get(data, "title")),
+                _text(_get(data, body)), None if ups is None else int(ups), _number(_get(data, "created_utc")))
+
+    post = _get(doc, 0, "data", "children", 0, "data")
+    if post is not None:
+        yield row("post", "t3", [], post, "selftext")
+    top = _get(doc, 1, "data", "children")
+    stack = [(iter(enumerate(top)), [])] if isinstance(top, list) else []
+    while stack:
+        siblings, above = stack[-1]
+        place, node = next(siblings, (None, None))
+        if place is None:
+            stack.pop()
+            continue
+        path = [*above, place]
+        kind, data = _get(node, "kind"), _get(node, "data")
+        yield row("comment", kind, path, data, "body")
+        replies = _get(data, "replies", "data", "children")
+        if kind == "t1" and isinstance(replies, list):
+            stack.append((iter(enumerate(replies)), path))
+
+
+def parse_threads(docs: DataFrame, thread_col: str = "thread", json_col: str = "json",
+                  rows_out: int = 2_000) -> DataFrame:
+    """The nodes of every thread document (see ``NODES``). Every thread has a row of role
+    ``thread``, whose ``ok`` is false when the document does not parse."""
+    names = [c.split()[0] for c in NODES.split(", ")]
+
+    def run(frames):
+        held: list[tuple] = []
+        for f in frames:
+            for thread, text in zip(f["thread"], f["json"]):
+                for row in _nodes(thread, text):
+                    held.append(row)
+                    if len(held) >= rows_out or row[5] * len(held) > 4_000_000:
+                        yield pd.DataFrame(held, columns=names)
+                        held.clear()
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+    return docs.select(F.col(thread_col).cast("string").alias("thread"), F.col(json_col).cast("string").alias("json")) \
+        .mapInPandas(run, NODES)
 
 
 def thread_posts(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
     """The post of each thread (S4): ``strip(title + '. ' + selftext)``, kept
     when longer than ``min_len``; missing likes read as 0."""
-    post = F.try_variant_get(F.col("v"), "$[0].data.children[0].data", "variant")
-    title = F.coalesce(F.try_variant_get(post, "$.title", "string"), F.lit(""))
-    self_text = F.coalesce(F.try_variant_get(post, "$.selftext", "string"), F.lit(""))
-    content = trim_u(F.concat(title, F.lit(". "), self_text))
-    rows = parsed.filter(post.isNotNull()).select(
-        F.try_variant_get(post, "$.id", "string").alias("reviewId"),
+    content = trim_u(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("body", F.lit(""))))
+    rows = parsed.filter(F.col("role") == "post").select(
+        F.col("id").alias("reviewId"),
         content.alias("content"),
         F.lit(None).cast("double").alias("score"),
-        F.coalesce(F.try_variant_get(post, "$.ups", "long"), F.lit(0)).alias("thumbsUpCount"),
-        epoch_to_ts(F.try_variant_get(post, "$.created_utc", "double")).alias("at"),
+        F.coalesce("ups", F.lit(0)).cast("long").alias("thumbsUpCount"),
+        epoch_to_ts(F.col("created")).alias("at"),
         F.lit("reddit").alias("source"),
         F.col("thread"),
     )
     return rows.filter(substantive("content", min_len))
 
 
-_WALK = """
-WITH RECURSIVE walk (thread, node, path) AS (
-  SELECT t.thread, c.value, array(c.pos)
-  FROM {threads} t,
-       LATERAL variant_explode(try_variant_get(t.v, '$[1].data.children', 'variant')) AS c
-  UNION ALL
-  SELECT w.thread, c.value, concat(w.path, array(c.pos))
-  FROM walk w,
-       LATERAL variant_explode(try_variant_get(w.node, '$.data.replies.data.children',
-                                               'variant')) AS c
-  WHERE try_variant_get(w.node, '$.kind', 'string') = 't1'
-)
-SELECT thread, node, path FROM walk
-"""
-
-
 def comment_nodes(parsed: DataFrame) -> DataFrame:
-    """Every node of every comment tree: (thread, kind, path, depth, node).
+    """Every node of every comment tree.
 
     Only ``t1`` nodes are descended, as in the reference; other kinds (e.g.
     ``more``) appear once and stop there.
     """
-    spark = parsed.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", str(RECURSION_ROW_LIMIT))
-    # Every round goes one level deeper into a finite document, so the walk
-    # always ends; deep reply chains must not hit the default of 100 levels.
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    walk = spark.sql(_WALK, threads=parsed.select("thread", "v"))
-    return walk.select(
-        "thread",
-        F.try_variant_get(F.col("node"), "$.kind", "string").alias("kind"),
-        F.col("path"),
-        F.size("path").cast("long").alias("depth"),
-        F.col("node"),
-    )
+    return parsed.filter(F.col("role") == "comment")
 
 
 def thread_comments(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
@@ -100,22 +191,18 @@ def thread_comments(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> D
     not ``[deleted]`` / ``[removed]``; short or deleted comments are not
     emitted but their replies still are. Likes default to 0.
     """
-    nodes = comment_nodes(parsed).filter(F.col("kind") == F.lit("t1"))
-    body = F.try_variant_get(F.col("node"), "$.data.body", "string")
-    rows = nodes.select(
-        F.try_variant_get(F.col("node"), "$.data.id", "string").alias("reviewId"),
-        body.alias("content"),
+    rows = comment_nodes(parsed).filter(F.col("kind") == "t1").select(
+        F.col("id").alias("reviewId"),
+        F.col("body").alias("content"),
         F.lit(None).cast("double").alias("score"),
-        F.coalesce(F.try_variant_get(F.col("node"), "$.data.ups", "long"),
-                   F.lit(0)).alias("thumbsUpCount"),
-        epoch_to_ts(F.try_variant_get(F.col("node"), "$.data.created_utc", "double")).alias("at"),
+        F.coalesce("ups", F.lit(0)).cast("long").alias("thumbsUpCount"),
+        epoch_to_ts(F.col("created")).alias("at"),
         F.lit("reddit").alias("source"),
         F.col("thread"),
         F.col("path"),
         F.col("depth"),
     )
-    return rows.filter(substantive("content", min_len)
-                       & ~F.col("content").isin("[deleted]", "[removed]"))
+    return rows.filter(substantive("content", min_len) & not_deleted("content"))
 
 
 def land_threads(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
@@ -134,21 +221,19 @@ def land_threads(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> Data
 
 
 def thread_report(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
-    """Per thread: did it parse, posts kept, comments kept, rows kept.
+    """Per thread: did it parse, posts kept, comments kept, rows kept (A12), in one
+    aggregate over the nodes.
 
     Counts are exact: a post that is too short adds nothing (the reference
     adds one regardless).
     """
-    posts = thread_posts(parsed, min_len).groupBy("thread").agg(
-        F.count(F.lit(1)).alias("posts_kept"))
-    comments = thread_comments(parsed, min_len).groupBy("thread").agg(
-        F.count(F.lit(1)).alias("comments_kept"))
-    base = parsed.select("thread", "ok")
-    out = base.join(posts, "thread", "left").join(comments, "thread", "left")
-    return out.select(
-        "thread", "ok",
-        F.coalesce("posts_kept", F.lit(0)).cast("long").alias("posts_kept"),
-        F.coalesce("comments_kept", F.lit(0)).cast("long").alias("comments_kept"),
-        (F.coalesce("posts_kept", F.lit(0)) + F.coalesce("comments_kept", F.lit(0)))
-        .cast("long").alias("rows_kept"),
-    )
+    content = trim_u(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("body", F.lit(""))))
+    nodes = parsed.withColumn("content", F.when(F.col("role") == "post", content).otherwise(F.col("body")))
+    long = F.coalesce(substantive("content", min_len), F.lit(False))
+    post = (F.col("role") == "post") & long
+    comment = (F.col("role") == "comment") & (F.col("kind") == "t1") & long & not_deleted("content")
+    return nodes.groupBy("thread").agg(
+        F.bool_and("ok").alias("ok"),
+        F.count_if(post).cast("long").alias("posts_kept"),
+        F.count_if(comment).cast("long").alias("comments_kept"),
+        F.count_if(post | comment).cast("long").alias("rows_kept"))

@@ -1,12 +1,19 @@
 """Live runs as a stream.
 
 New store reviews land as Parquet files (reviewId, content, at, seq); a file
-stream picks them up, drops repeats of a review id within the watermark,
-keeps substantive text and tags each micro-batch with the same batch job as
-the frozen corpus (``tag_reviews``). Results go to a separate ``live_tagged``
-table, stamped with a ``run_id``, and never touch the corpus. Each
-micro-batch is written to its own ``epoch=<id>`` folder with overwrite, so a
-retried epoch replaces its own output instead of appending twice.
+stream picks them up, drops repeats of a review id, keeps substantive text and
+tags each micro-batch in batches cut within its partitions. Results go to a
+separate ``live_tagged`` table, stamped with a ``run_id``, and never touch the
+corpus. Each micro-batch of each run has folders of its own
+(``run_id=<id>/epoch=<id>``): its replies first, then the tags and the status of
+every batch read from them. A retried epoch finds its replies stored and calls
+the tagger for none of them again.
+
+A store feed arrives newest first, so event time says nothing about lateness:
+by default repeats are found against every id the stream has seen, and no row
+is late. The state is then one id per review, held in the state store and its
+checkpoint; ``watermark`` bounds it for feeds that come in time order, where
+later rows are dropped.
 
 The stream carries its own text: no micro-batch joins back to a large static
 table.
@@ -30,26 +37,30 @@ LANDED = T.StructType([
 ])
 
 
-def land_feed(feed: DataFrame, landing_dir: str, files: int) -> str:
-    """Write feed rows (reviewId, content, at, seq) as ``files`` Parquet files,
-    the way a collector drops new reviews into the landing folder."""
-    (feed.select(*[f.name for f in LANDED.fields]).repartitionByRange(files, "seq")
-     .write.mode("overwrite").parquet(landing_dir))
+def land_feed(feed: DataFrame, landing_dir: str, rows_per_file: int = 100_000,
+              files: int | None = None) -> str:
+    """Write feed rows (reviewId, content, at, seq) as Parquet files of at most
+    ``rows_per_file`` rows, the way a collector drops new reviews into the landing folder;
+    ``files`` deals small feeds to so many writers first."""
+    feed = feed.select(*[f.name for f in LANDED.fields])
+    if files is not None:
+        feed = feed.repartition(files)
+    feed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(landing_dir)
     return landing_dir
 
 
-def feed_stream(spark: SparkSession, landing_dir: str, watermark: str = "1 hour",
+def feed_stream(spark: SparkSession, landing_dir: str, watermark: str | None = None,
                 max_files: int | None = None) -> DataFrame:
-    """Streaming reviews from landed files: deduplicated on ``reviewId`` within
-    the watermark, substantive text only."""
+    """Streaming reviews from landed files: one row per ``reviewId``, substantive text only."""
     reader = spark.readStream.schema(LANDED)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    s = reader.parquet(landing_dir)
-    s = (s.withColumn("_event_time", F.col("at").cast("timestamp"))
-         .withWatermark("_event_time", watermark)
-         .dropDuplicatesWithinWatermark(["reviewId"]))
-    return s.filter(substantive("content")).drop("_event_time")
+    s = reader.parquet(landing_dir).filter(substantive("content"))
+    if watermark is None:
+        return s.dropDuplicates(["reviewId"])
+    return (s.withColumn("_event_time", F.col("at").cast("timestamp"))
+            .withWatermark("_event_time", watermark)
+            .dropDuplicatesWithinWatermark(["reviewId"]).drop("_event_time"))
 
 
 def tag_view(tags: DataFrame) -> DataFrame:
@@ -59,28 +70,38 @@ def tag_view(tags: DataFrame) -> DataFrame:
 
 def start_live_run(stream: DataFrame, tagger, out_dir: str, checkpoint_dir: str,
                    run_id: str, available_now: bool = True) -> StreamingQuery:
-    """Tag every micro-batch with ``tag_reviews`` and write it under ``out_dir``."""
+    """Tag every micro-batch; tags under ``out_dir``, batch status and raw replies beside
+    it under ``<out_dir>_batches`` and ``<out_dir>_replies``."""
+    base = out_dir.rstrip("/")
+
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        # The batch job runs several actions (row index bounds, the tagging
-        # write); persisting the micro-batch keeps the stateful dedup from
-        # running once per action. Empty batches (watermark-only) are skipped.
-        batch = batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            # The tags are read once, by the write below, so the tagger runs
-            # once per batch without a checkpoint.
-            job = tg.tag_reviews(batch, tagger, order_col="seq", budget=None,
-                                 materialize=False)
-            out = tag_view(job["tags"]).withColumn("run_id", F.lit(run_id))
-            out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
-        finally:
-            batch.unpersist()
+        spark, part = batch.sparkSession, f"run_id={run_id}/epoch={epoch}"
+        replies = f"{base}_replies/{part}"
+        if _finished(spark, replies):
+            # The stream's state has to move past the rows, though no call is repeated.
+            batch.write.format("noop").mode("overwrite").save()
+        else:
+            tg.tag_in_place(batch, tagger).write.mode("overwrite").parquet(replies)
+        status, tags = tg.parse_replies(spark.read.schema(tg.schemas.BATCH_RESULT).parquet(replies))
+        tag_view(tags).write.mode("overwrite").parquet(f"{base}/{part}")
+        status.write.mode("overwrite").parquet(f"{base}_batches/{part}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed (its marker file is there)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def read_live(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Tags of all runs, with ``run_id`` and ``epoch``."""
     return spark.read.parquet(out_dir)
+
+
+def read_live_batches(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Status of every batch of all runs, with ``run_id`` and ``epoch``."""
+    return spark.read.parquet(f"{out_dir.rstrip('/')}_batches")
