@@ -42,6 +42,12 @@ PERISHABLE = [
     "chicken", "eggs", "meat", "bread",
 ]
 
+# Categories that the tagging instructions name as examples.
+EXAMPLE_CATEGORIES = [
+    "fruits", "vegetables", "milk", "snacks", "skincare",
+    "electronics", "pet", "baby", "household", "medicines",
+]
+
 # Page-dump cleaning: chunk length floor, debris length ceiling and the UI words
 # that mark a short chunk as debris (plain substring match on lower case).
 MIN_CHUNK_CHARS = 25

@@ -138,14 +138,10 @@ def shown_mentions(top: DataFrame) -> DataFrame:
 def shown_and_all_mentions(counts: DataFrame, k: int = cb.TOP_K_CATEGORIES) -> DataFrame:
     """One row: mentions over the top ``k`` categories and over all of them.
 
-    The ranking window runs over one row per category, never over mentions.
+    An ordered limit and a plain sum, one row each.
     """
-    w = Window.orderBy(F.col("mentions").desc(), F.col("category").asc())
-    ranked = counts.withColumn("_rk", F.row_number().over(w))
-    return ranked.agg(
-        F.coalesce(F.sum(F.when(F.col("_rk") <= k, F.col("mentions"))), F.lit(0))
-        .cast("long").alias("shown_mentions"),
-        F.coalesce(F.sum("mentions"), F.lit(0)).cast("long").alias("all_mentions"))
+    shown = shown_mentions(top_k(counts.select("category", "mentions"), k))
+    return shown.join(counts.agg(F.coalesce(F.sum("mentions"), F.lit(0)).cast("long").alias("all_mentions")))
 
 
 def panel_counts(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
@@ -193,12 +189,13 @@ def category_panels(tagged: DataFrame, panels: list[tuple[str, str, str | None]]
 def panel_mentions(tagged: DataFrame, panels: list[tuple[str, str, str | None]],
                    k: int = cb.TOP_K_CATEGORIES, aliases=None, perishable=None) -> DataFrame:
     """Per panel: mentions behind the shown top ``k`` and all mentions."""
-    c = panel_counts(tagged, panels, aliases, perishable)
-    w = Window.partitionBy("panel").orderBy(F.col("mentions").desc(), F.col("category").asc())
-    ranked = c.withColumn("_rk", F.row_number().over(w))
-    sums = ranked.groupBy("panel").agg(
-        F.sum(F.when(F.col("_rk") <= k, F.col("mentions"))).alias("_shown"),
-        F.sum("mentions").alias("_all"))
+    # The total is a plain sum and the shown rows a grouped top-k, which keeps k rows per
+    # panel and task: no panel's categories meet in one task.
+    total = panel_counts(tagged, panels, aliases, perishable).groupBy("panel") \
+        .agg(F.sum("mentions").alias("_all"))
+    shown = category_panels(tagged, panels, k, aliases, perishable).groupBy(F.col("panel").alias("_p")) \
+        .agg(F.sum("mentions").alias("_shown"))
+    sums = total.join(shown, F.col("panel") == F.col("_p"), "left")
     names = bounded_broadcast(tagged.sparkSession.createDataFrame(
         [(p,) for p, _, _ in panels], "panel string"), len(panels))
     # A panel without mentions still reports zero, as the dashboard does.

@@ -28,6 +28,7 @@ ANALOG_BOOK = RuleBook(
     explored=["sur "],
     positive=["the "],
     negative=["der "],
+    whole_words=False,
 )
 
 

@@ -203,3 +203,15 @@ def test_sources_with_and_without_an_order_keep_the_stack_order(spark):
     rows = tg.batch_rows(stacked, ("source_no", "position")).orderBy("idx").collect()
     assert [r.reviewId for r in rows] == [f"i{i}" for i in reversed(range(20))] + [f"p{i}" for i in range(20)]
     assert [r.idx for r in rows] == list(range(40)) and rows[15].batch_id == 1
+
+
+def test_rule_words_match_whole_words(spark):
+    texts = ["chocolate on a plate for breakfast, wiping the carpet", "it came late", "price comparison", "pet food, so fast"]
+    tagger = rules.RuleTagger()
+    one = [tagger.tag_one(str(k), t) for k, t in enumerate(texts)]
+    assert one[0]["categories_mentioned"] == [] and one[0]["sentiment"] == "mixed"
+    assert one[1]["sentiment"] == "negative" and one[2]["primary_tag"] == "PRICE_VALUE"
+    assert one[3]["categories_mentioned"] == ["pet"] and one[3]["sentiment"] == "positive"
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for r in df.select("k", rules.rule_tag("t").alias("x")).collect():
+        assert r.x.asDict() == {k: v for k, v in one[r.k].items() if k != "id"}
