@@ -174,14 +174,6 @@ def failure_stop(status: DataFrame, budget: int = cb.FAILURE_BUDGET) -> int | No
     return int(first_fails["stop"])
 
 
-def failure_budget(status: DataFrame, tags: DataFrame, budget: int = cb.FAILURE_BUDGET) -> DataFrame:
-    """Tags a serial run would have kept (T5): the run stops at the batch of the
-    ``budget``-th failure, keeping every earlier batch's tags. Parallel calls
-    do extra work past that point, but the kept rows are the same."""
-    stop = failure_stop(status, budget)
-    return tags if stop is None else tags.filter(F.col("batch_id") < F.lit(stop))
-
-
 def attach_tags(reviews: DataFrame, tags: DataFrame) -> DataFrame:
     """Inner join on ``reviewId = id`` (J1); both keys stay, repeated ids multiply."""
     return reviews.join(tags, reviews["reviewId"] == tags["id"], "inner")
