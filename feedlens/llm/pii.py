@@ -158,18 +158,21 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
                        .where(~F.col("entity").contains(F.col("term"))), "pii-both")
     if both.isEmpty():
         return None
+    n = F.lit(float(texts.select(F.explode(F.split("_t", "\n")).alias("_line"))
+                    .select(F.xxhash64("_line").alias("line")).distinct().count()))
+    # The threshold bounds the lines a term may stand in. Lines with personal data are part
+    # of them, so a term over the bound there needs no count over the corpus.
+    bound = F.col("n_both") * F.pow(n / F.col("n_e"), 1 - alpha)
+    here = pairs.dropDuplicates(["line"]).select(F.explode(_terms(F.col("_line"))).alias("term")) \
+        .groupBy("term").agg(F.count("*").alias("n_here"))
+    both = materialise(both.join(here, "term").where(F.col("n_here") <= bound).drop("n_here"), "pii-both")
     wanted = both.select(F.col("term").alias("_term")).distinct()
     seen = texts.select(F.explode(F.split("_t", "\n")).alias("_line")) \
         .select(F.xxhash64("_line").alias("line"), F.explode(_terms(F.col("_line"))).alias("term")) \
         .join(wanted, F.col("term") == F.col("_term"), "left_semi") \
         .groupBy("term", "line").agg(F.lit(1).alias("_one")) \
         .groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(texts.select(F.explode(F.split("_t", "\n")).alias("_line"))
-                    .select(F.xxhash64("_line").alias("line")).distinct().count()))
-    found = both.join(seen, "term")
-    return materialise(found.where(
-        F.log2(F.col("n_both") * n / (F.col("n_e") * F.col("n_t"))) >= alpha * F.log2(n / F.col("n_e")))
-        .select("entity", "term"), "pii-terms")
+    return materialise(both.join(seen, "term").where(F.col("n_t") <= bound).select("entity", "term"), "pii-terms")
 
 
 def all_spans(docs: DataFrame, terms: DataFrame | None, text: str = "text") -> DataFrame:
