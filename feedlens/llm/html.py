@@ -276,8 +276,13 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 12, bat
 def train(pages: DataFrame, sample: int = 600, longest: int = 400) -> Labeller:
     """The labeller fitted on at most ``sample`` pages, those whose page_id and url hash
     lowest among the pages of at most ``longest`` blocks."""
-    few = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).where("html <> ''") \
-        .orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).select("html").collect()
+    place = F.xxhash64("page_id", "url")
+    # The places alone are ordered and cut; the pages of the chosen ones are fetched after.
+    last = pages.where("html <> ''").select(place.alias("at")).distinct().orderBy("at").limit(sample) \
+        .agg(F.max("at").alias("at")).first()["at"]
+    few = [] if last is None else pages.where("html <> ''").where(place <= last) \
+        .select(place.alias("at"), F.col("html").cast("string").alias("html")) \
+        .groupBy("at").agg(F.min("html").alias("html")).orderBy("at").collect()
     read = [b for b in (blocks_of(r["html"]) for r in few) if 0 < len(b) <= longest]
     if not read:
         return Labeller()
