@@ -35,7 +35,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id. Of
     rows that repeat a doc_id and its text one stays; rows without a doc_id all stay."""
-    found = materialise(jaccard.similar_documents(docs), "similar")
+    found = jaccard.similar_documents(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1") \
         .select(F.col("doc_id").alias("_gone"))

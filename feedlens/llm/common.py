@@ -18,14 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts lineage, and a
-    lost executor rereads files instead of repeating the work."""
+    lost executor rereads files instead of repeating the work. The table's path goes to
+    ``held``, for ``release``."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Delete scratch tables that no later step reads: an operator's own, once what it
+    returns has been written and depends on none of them."""
+    for path in held:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, null read as empty; offsets has one more
     entry than there are rows and starts at 0."""

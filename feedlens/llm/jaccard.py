@@ -1,18 +1,20 @@
 """Exact similarity join of documents on their sets of word shingles.
 
-Two sets with Jaccard similarity t or more share at least k of their first
-n - ceil(t n) + k tokens in any common order of the tokens (k = 2 here). The order is
-rare tokens first, by the tokens' counts over all documents, so that passages which many
-documents share stand last. These extended prefixes are indexed:
+Two sets with Jaccard similarity t or more share at least l of their first
+n - ceil(t n) + l tokens in any common order of the tokens (l = 16 here, or the overlap
+that t asks for where that is less). The order is rare tokens first, by the tokens'
+counts over all documents, so that passages which many documents share stand last.
+These extended prefixes are indexed:
 
 * tokens met by one set only end at once;
 * every set is compared with the leader of the token it shares most, and what links is
   one component from there on. Near copies thus cost one comparison each, not pairs;
 * only tokens of two or more components are left. Those of few components (the rare
-  class) are indexed alone; of the frequent class all k-token combinations of a set are
-  indexed. What shares an index entry across components is compared.
+  class) are indexed alone; of the frequent class all combinations of two tokens of a
+  set are indexed. What shares entries across components, and by their number may share
+  l tokens, is compared.
 
-A pair that links either is in one component already or shares a rare token or k
+A pair that links either is in one component already or shares a rare token or two
 frequent ones, so no link between components is lost. Comparison is on the texts
 themselves. Sets are named by a 64-bit key, exact copies share one.
 
@@ -33,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import materialise, ragged, slices, utf8
+from feedlens.llm.common import materialise, ragged, release, slices, utf8
 from feedlens.llm.components import components
 from feedlens.llm.shingles import set_keys, shingle_sets
 
-COMBINED = 2                  # k: tokens in a combination, and by how many prefixes are longer
+LONGER = 16                   # l: so many tokens prefixes are longer by, and share if sets link
+STAR_SHARES = 4               # tokens with its leader that make a comparison worth its while
 FLUSH = 3_000_000             # tokens a task gathers before it sends them on
 MAX_COMMON = 1_000_000        # most frequent tokens whose counts every task gets (12 MB)
-COMMON_FROM = 64              # a token in fewer documents than this counts as rare
+COMMON_FROM = 4               # a token in fewer documents than this counts as rare
 RARE_COMPONENTS = 48          # tokens of more components are indexed in combinations
 MAX_BROADCAST_IDS = 500_000   # ids whose texts a join may fetch by broadcast (12 MB)
 MEMBERS_PER_TASK = 2_000
@@ -93,7 +96,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long")
 
 
-def _common_tokens(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _common_tokens(docs: DataFrame, parts: int, held: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The frequent tokens (sorted, 48 bits) and their document counts, from all documents:
     as many as MAX_COMMON allows, the most frequent first."""
 
@@ -134,9 +137,9 @@ def _common_tokens(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
         return pd.DataFrame({"token": tokens[first][keep].astype(np.int64), "n": total[keep]})
 
     sent = docs.select("text").mapInArrow(send, "part int, tokens binary, many binary, count binary")
-    found = materialise(sent.groupBy("part").applyInPandas(count, "token long, n long"), "common-tokens")
+    found = materialise(sent.groupBy("part").applyInPandas(count, "token long, n long"), "common-tokens", held)
     step = F.floor(F.log2("n") * 8)                 # at most 8 * 63 steps reach the driver
-    least, have = COMMON_FROM, 0
+    least, have = 1 << 62, 0                        # none, if even the most frequent are too many
     for r in found.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("least")) \
             .orderBy(F.desc("s")).collect():
         have += r["c"]
@@ -145,9 +148,17 @@ def _common_tokens(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
         least = r["least"]
     else:
         least = COMMON_FROM
-    kept = found.where(F.col("n") >= least).toPandas() if have else pd.DataFrame({"token": [], "n": []})
-    kept = kept[:MAX_COMMON].sort_values("token")
-    return kept["token"].to_numpy(np.uint64), kept["n"].to_numpy(np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:                       # arrays, not a row per token, go to the driver
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns],
+                                             ["tokens", "counts"])
+
+    rows = found.where(F.col("n") >= least).select("token", "n").mapInArrow(pack, "tokens binary, counts binary").collect()
+    tokens = np.frombuffer(b"".join(r["tokens"] for r in rows), np.uint64)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
 def _prefixes(flat: np.ndarray, off: np.ndarray, common: tuple[np.ndarray, np.ndarray],
@@ -159,7 +170,7 @@ def _prefixes(flat: np.ndarray, off: np.ndarray, common: tuple[np.ndarray, np.nd
     at[at == len(tokens)] = 0
     hit = tokens[at] == flat if len(tokens) else np.zeros(len(flat), bool)
     weight = np.where(hit, counts[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
-    size = np.where(n > 1, np.minimum(n, n - -(-numerator * n // denominator) + COMBINED), 0)
+    size = np.where(n > 1, np.minimum(n, n - -(-numerator * n // denominator) + LONGER), 0)
     out = []
     for d in np.flatnonzero(size).tolist():
         a, b = off[d], off[d + 1]
@@ -229,19 +240,19 @@ def _shared_postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], par
     return sent.groupBy("part").applyInPandas(meet, "token long, key long, n int")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
     """Those of the distinct ``pairs`` (lead, key) whose texts link.
 
     Rows of a lead go to tasks of MEMBERS_PER_TASK members, each with the lead's own text
     first, and are compared as they stream by.
     """
-    pairs = materialise(pairs, "pairs")
-    held = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("salts"))
-    members = pairs.join(held, "lead").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")) \
+    pairs = materialise(pairs, "pairs", held)
+    leaders = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("salts"))
+    members = pairs.join(leaders, "lead").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")) \
         .select("lead", "salt", "key", F.lit(1).alias("order"))
-    leads = held.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    leads = leaders.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                         F.col("lead").alias("key"), F.lit(0).alias("order"))
-    wanted = materialise(members.union(leads).join(reps.select("key", F.col("rep").alias("_rep")), "key"), "wanted")
+    wanted = materialise(members.union(leads).join(reps.select("key", F.col("rep").alias("_rep")), "key"), "wanted", held)
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id") == F.col("_rep")).select("lead", "salt", "order", "key", "text")
@@ -267,25 +278,26 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int,
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()),
                                               pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
-    return materialise(rows.mapInArrow(compare, "a long, b long"), "linked")
+    return materialise(rows.mapInArrow(compare, "a long, b long"), "linked", held)
 
 
 def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; similarity numerator / denominator."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = materialise(_nodes(docs), "nodes")
+    held: list[str] = []
+    nodes = materialise(_nodes(docs), "nodes", held)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(8, total // 5_000_000)
     reps = materialise(nodes.where("key is not null and doc_id is not null").groupBy("key")
-                       .agg(F.min("doc_id").alias("rep")), "reps")
-    common = _common_tokens(docs, parts)
-    shared = materialise(_shared_postings(docs, common, parts, numerator, denominator), "postings")
+                       .agg(F.min("doc_id").alias("rep")), "reps", held)
+    common = _common_tokens(docs, parts, held)
+    shared = materialise(_shared_postings(docs, common, parts, numerator, denominator), "postings", held)
     similar = (F.col("n") * denominator >= F.col("m") * numerator) & (F.col("m") * denominator >= F.col("n") * numerator)
     edges: list[DataFrame] = []
     for turn in range(star_rounds + 1):
         posts = shared.withColumn("comp", F.col("key"))
         if edges:
-            posts = shared.join(components(reduce(DataFrame.union, edges)).withColumnRenamed("node", "key"), "key", "left") \
+            posts = shared.join(components(reduce(DataFrame.union, edges), held=held).withColumnRenamed("node", "key"), "key", "left") \
                 .withColumn("comp", F.coalesce("component", "key")).drop("component")
         met = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
                                          F.min(F.struct("comp", "key", "n")).alias("first")) \
@@ -294,11 +306,12 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
             star = posts.join(met.select("token", F.col("first.key").alias("lead"), F.col("first.n").alias("m"),
                                          F.col("first.comp").alias("lead_comp")), "token") \
                 .where((F.col("comp") != F.col("lead_comp")) & similar) \
-                .groupBy("key", "lead").agg(F.count("*").alias("c")) \
+                .groupBy("key", "lead").agg(F.count("*").alias("c"), F.min("n").alias("n")) \
+                .where((F.col("c") >= STAR_SHARES) | (F.col("n") < 2 * LONGER)) \
                 .groupBy("key").agg(F.max(F.struct("c", "lead")).alias("best"))
             pairs = star.select(F.col("best.lead").alias("lead"), "key")
         else:
-            left = materialise(posts.join(met.select("token"), "token"), "crossing")
+            left = materialise(posts.join(met.select("token"), "token"), "crossing", held)
             sizes = left.groupBy("token", "comp").agg(F.lit(1).alias("one")).groupBy("token") \
                 .agg(F.count("*").alias("comps"))
             left = left.join(sizes, "token")
@@ -306,21 +319,28 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
                 .agg(F.sort_array(F.collect_list("token")).alias("ts")) \
                 .select("key", "n", "comp", F.posexplode("ts").alias("i", "t1"), "ts") \
                 .select("key", "n", "comp", "t1", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("t2")) \
-                .select(F.xxhash64("t1", "t2").alias("entry"), "key", "n", "comp")
+                .select(F.xxhash64("t1", "t2").alias("entry"), F.lit(1).alias("pair"), "key", "n", "comp")
             rare = left.where(F.col("comps") <= RARE_COMPONENTS) \
-                .select(F.col("token").alias("entry"), "key", "n", "comp")
+                .select(F.col("token").alias("entry"), F.lit(0).alias("pair"), "key", "n", "comp")
             index = rare.union(often)
-            other = index.select(F.col("entry").alias("e"), F.col("key").alias("lead"), F.col("n").alias("m"),
-                                 F.col("comp").alias("lead_comp"))
-            pairs = index.join(other, (F.col("entry") == F.col("e")) & (F.col("lead") < F.col("key"))
-                               & (F.col("comp") != F.col("lead_comp")) & similar) \
-                .select("lead", "key").distinct()
-        edges.append(_linked(pairs, docs, reps, numerator, denominator))
-    groups = components(reduce(DataFrame.union, edges))
+            other = index.select(F.col("entry").alias("e"), F.col("pair").alias("p"), F.col("key").alias("lead"),
+                                 F.col("n").alias("m"), F.col("comp").alias("lead_comp"))
+            # c combinations of two are those of (1 + sqrt(1 + 8 c)) / 2 frequent tokens; none, of one at most.
+            most = F.col("rare") + F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2)
+            overlap = F.ceil(F.greatest("n", "m") * numerator / denominator)
+            pairs = index.join(other, (F.col("entry") == F.col("e")) & (F.col("pair") == F.col("p"))
+                               & (F.col("lead") < F.col("key")) & (F.col("comp") != F.col("lead_comp")) & similar) \
+                .groupBy("lead", "key").agg(F.sum(1 - F.col("pair")).alias("rare"), F.sum("pair").alias("pairs"),
+                                            F.first("n").alias("n"), F.first("m").alias("m")) \
+                .where(most >= F.least(F.lit(LONGER), overlap)).select("lead", "key")
+        edges.append(_linked(pairs, docs, reps, numerator, denominator, held))
+    groups = components(reduce(DataFrame.union, edges), held=held)
     least = reps.join(groups.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
     smallest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = least.join(smallest, "component").select(F.col("key").alias("k"), "component_id")
-    return nodes.join(least, F.col("key") == F.col("k"), "left").select(
+    found = materialise(nodes.join(least, F.col("key") == F.col("k"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "similar")
+    release(docs.sparkSession, held)
+    return found

@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import materialise, ragged, slices, utf8
+from feedlens.llm.common import materialise, ragged, release, slices, utf8
 from feedlens.llm.shingles import _power, mix
 
 GRAM = 64
 BLOCK = 64
-SLICE = 3_000_000
-# Rows (of at most 16 bytes and some overhead each) that may be sent to every task.
-MAX_BROADCAST_ROWS = 500_000
+SLICE = 1_500_000
+# What may be sent to every task at once; more is joined by a shuffle of the texts.
+MAX_BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
 _BYTES = np.random.default_rng(20_240_611).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 _ODD = np.int64(0x5851F42D4C957F2D)
@@ -103,18 +104,18 @@ def _pointer_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                      [row, at - docs[text], lo - docs[text], count, gram])
 
 
-def _lists(batch: pa.RecordBatch, name: str, fields: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(which text each element belongs to, the elements' fields) of an array of structs."""
-    column = batch.column(name)
-    which = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
-    flat = column.flatten()
-    return which, [flat.field(f).to_numpy().astype(np.int64) for f in fields]
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(which text each packed triple belongs to, the triples' columns)."""
+    packed = batch.column("packed")
+    size = np.array([len(p) // 12 for p in packed.to_pylist()], np.int64)
+    flat = np.frombuffer(b"".join(packed.to_pylist()), np.int32).reshape(-1, 3).astype(np.int64)
+    return np.repeat(np.arange(batch.num_rows), size), list(flat.T)
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SLICE):
         buf, docs = utf8(batch.column("text"))
-        which, (a, lo, n) = _lists(batch, "wanted", ["a", "lo", "n"])
+        which, (a, lo, n) = _unpacked(batch)
         most, least = a - lo, a - lo - n + 1         # offsets of the gram in the windows that point to it
         first = least // BLOCK
         blocks = most // BLOCK - first + 1
@@ -138,7 +139,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=SLICE):
         buf, docs = utf8(batch.column("text"))
-        which, (a, low, high) = _lists(batch, "wanted", ["a", "low", "high"])
+        which, (a, low, high) = _unpacked(batch)
         n = high - low + 1
         at = np.repeat(np.arange(len(a)), n)
         p = a[at] - ragged(low, n)
@@ -157,37 +158,57 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sent(small: DataFrame) -> DataFrame:
-    """``small`` to be joined: by broadcast where its counted rows allow, else by a shuffle."""
-    return F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
-
-
-def _per_row(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
-    return materialise(rows.groupBy("row").agg(F.collect_set(F.struct(*fields)).alias("wanted")), name)
-
-
-def repeated_spans(unique: DataFrame, window: int) -> DataFrame:
+    """``small`` (row, perhaps packed) to be joined: by broadcast where its measured bytes
+    allow, else by a shuffle."""
+    size = F.count("*") * ROW_BYTES
+    if "packed" in small.columns:
+        size = size + F.coalesce(F.sum(F.length("packed")), F.lit(0))
+    return F.broadcast(small) if (small.agg(size.alias("b")).first()["b"] or 0) <= MAX_BROADCAST_BYTES else small
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("list")
+        off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        flat = lists.flatten()
+        flat = np.stack([flat.field(k).to_numpy() for k in range(flat.type.num_fields)], 1).astype(np.int32)
+        own = [flat[a:b] for a, b in zip(off, off[1:])]
+        if merge:
+            own = [np.stack(merge_spans(x[:, 0], x[:, 1]), 1) for x in own]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x.tobytes() for x in own], pa.binary())],
+                                         ["row", "packed"])
+
+
+def _per_row(rows: DataFrame, fields: list[str], name: str, held: list[str], merge: bool = False) -> DataFrame:
+    """(row, packed): a row's distinct tuples as 32-bit integers; as merged spans if asked."""
+    lists = rows.groupBy("row").agg(F.collect_set(F.struct(*[F.col(f).cast("int").alias(f) for f in fields])).alias("list"))
+    return materialise(lists.mapInArrow(partial(_pack_rows, merge=merge), "row long, packed binary"), name, held)
+
+
+def repeated_spans(unique: DataFrame, window: int, held: list[str]) -> DataFrame:
     """(row, s, e): spans of ``unique`` (row, text; texts distinct) whose windows repeat."""
     text = unique.select("row", "text")
     points = materialise(text.mapInArrow(partial(_pointer_rows, window=window),
-                                         "row long, a int, lo int, n int, gram long"), "pointers")
+                                         "row long, a int, lo int, n int, gram long"), "pointers", held)
     often = points.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    wanted = _per_row(points.join(often, "gram"), ["a", "lo", "n"], "pointed")
-    blocks = materialise(text.join(_sent(wanted), "row").mapInArrow(
+    wanted = _per_row(points.join(often, "gram"), ["a", "lo", "n"], "pointed", held)
+    # The pointers grow with the texts: this join always shuffles, whatever their number.
+    blocks = materialise(text.join(wanted.hint("shuffle_merge"), "row").mapInArrow(
         partial(_block_rows, window=window),
-        "row long, a int, block int, low int, high int, core long, full long"), "blocks")
+        "row long, a int, block int, low int, high int, core long, full long"), "blocks", held)
     cores = blocks.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     fulls = blocks.where("full is not null").groupBy("full").agg(F.count("*").alias("c")).where("c > 1") \
         .select(F.col("full").alias("f"))
     known = materialise(blocks.join(cores, "core").join(fulls, F.col("full") == F.col("f"), "left")
-                        .withColumn("done", F.col("f").isNotNull()).drop("f"), "known")
+                        .withColumn("done", F.col("f").isNotNull()).drop("f"), "known", held)
     undecided = known.where("not done").select("core").distinct()
     # Where a core has undecided blocks, the decided ones stand by with one block each.
     by = known.where("done").groupBy("core", "full").agg(F.min(F.struct("row", "a", "low", "high")).alias("b")) \
         .join(undecided, "core", "left_semi").select("b.*")
     down = known.where("not done").select("row", "a", "low", "high").union(by)
-    wanted = _per_row(down, ["a", "low", "high"], "undecided")
+    wanted = _per_row(down, ["a", "low", "high"], "undecided", held)
     windows = materialise(text.join(_sent(wanted), "row").mapInArrow(
-        partial(_window_rows, window=window), "row long, p int, id long").distinct(), "windows")
+        partial(_window_rows, window=window), "row long, p int, id long").distinct(), "windows", held)
     twice = windows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     return known.where("done").select("row", (F.col("a") - F.col("block") - (BLOCK - 1)).alias("s"),
                                       (F.col("a") - F.col("block") + window).alias("e")) \
@@ -198,15 +219,14 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, carry: list[str]) -> I
     for batch in slices(batches):
         buf, docs = utf8(batch.column("text"))
         raw = buf.tobytes()
-        lists = batch.column("wanted").to_pylist()
+        packed = batch.column("packed").to_pylist()
         removed, runs, sha, kept = [], [], [], []
-        for d, (copied, spans) in enumerate(zip(batch.column("copied").to_pylist(), lists)):
+        for d, (copied, spans) in enumerate(zip(batch.column("copied").to_pylist(), packed)):
             data = raw[docs[d]:docs[d + 1]]
             if copied and len(data) >= window:
                 s, e = np.zeros(1, int), np.array([len(data)])
             else:
-                flat = np.array([(x["s"], x["e"]) for x in spans or []], int).reshape(-1, 2)
-                s, e = merge_spans(flat[:, 0], flat[:, 1])
+                s, e = np.frombuffer(spans or b"", np.int32).reshape(-1, 2).T
             edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(data)]
             rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             removed.append(len(data) - len(rest))
@@ -230,12 +250,12 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     copied = materialise(rows.select("row", "md5").join(first, "md5")
                          .select("row", (F.col("row") != F.col("first")).alias("extra")), "copied")
     unique = rows.select("row", "text").join(_sent(copied.where("extra").select("row")), "row", "left_anti")
-    spans = repeated_spans(unique, window)
-    found = materialise(copied.select("row", F.lit(True).alias("copied"), F.lit(None).cast("struct<s:int,e:int>").alias("x"))
-                        .union(spans.select("row", F.lit(False), F.struct("s", "e")))
-                        .groupBy("row").agg(F.max("copied").alias("copied"), F.collect_set("x").alias("wanted")), "spans")
-    joined = rows.join(_sent(found), "row", "left") \
-        .select("_row", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "wanted")
+    held: list[str] = []
+    spans = _per_row(repeated_spans(unique, window, held), ["s", "e"], "spans", [], merge=True)
+    release(docs.sparkSession, held)
+    joined = rows.join(_sent(copied.select("row", F.lit(True).alias("copied"))), "row", "left") \
+        .join(_sent(spans), "row", "left") \
+        .select("_row", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "packed")
     kind = rows.schema["_row"].dataType.simpleString()
     return joined.mapInArrow(partial(_kept, window=window, carry=["_row"]),
                              f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
