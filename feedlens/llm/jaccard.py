@@ -41,7 +41,8 @@ from feedlens.llm.shingles import set_keys, shingle_sets
 
 LONGER = 16                   # l: so many tokens prefixes are longer by, and share if sets link
 STAR_SHARES = 4               # tokens with its leader that make a comparison worth its while
-FLUSH = 3_000_000             # tokens a task gathers before it sends them on
+FLUSH = 2_000_000             # tokens a task gathers before it sends them on
+TEXT_BYTES = 2_000_000        # text hashed at once in a task (8-byte arrays of its length)
 MAX_COMMON = 1_000_000        # most frequent tokens whose counts every task gets (12 MB)
 COMMON_FROM = 4               # a token in fewer documents than this counts as rare
 RARE_COMPONENTS = 48          # tokens of more components are indexed in combinations
@@ -87,7 +88,7 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _nodes(docs: DataFrame) -> DataFrame:
     """doc_id, key (null for an empty set), n of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             _, off, keys = _sets(batch)
             n = np.diff(off)
             yield pa.RecordBatch.from_arrays(
@@ -113,7 +114,7 @@ def _common_tokens(docs: DataFrame, parts: int, held: list[str]) -> tuple[np.nda
             yield pa.RecordBatch.from_pylist(rows, _BLOBS["tokens", "many", "count"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             held.append(_narrow(_sets(batch)[0]))
             if sum(map(len, held)) > FLUSH:
                 yield from flush()
@@ -209,7 +210,7 @@ def _shared_postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], par
             yield pa.RecordBatch.from_pylist(rows, _BLOBS["tokens", "owner", "keys", "n"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             flat, off, keys = _sets(batch)
             flat = _narrow(flat)
             at, size = _prefixes(flat, off, held_common.value, numerator, denominator)
@@ -261,7 +262,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, lead_set = None, None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             flat, off, keys = _sets(batch)
             out = []
             for d, (lead, salt, order, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in (
