@@ -100,6 +100,22 @@ def test_near_vectors(spark, dims, noise, small):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.98, 1 - 1e-9])
+def test_scaled_copies_over_many_pivots(spark, monkeypatch, threshold):
+    """Pivots that point the same way, kept or merged, lose no link."""
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=64)
+    rows = [(k, (one * rng.uniform(0.1, 9)).tolist() if k % 3 else rng.normal(size=64).tolist(), 1) for k in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for merged in (True, False):
+        if not merged:
+            monkeypatch.setattr(vectors, "_spread", lambda pivots, least: pivots)
+        got = vectors.near_vectors(df.repartition(4), threshold, rows_per_cell=2, part_rows=16).collect()
+        group = {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id % 3}
+        assert set(group.values()) == {(99, 1)} and len(group) == 100
+        assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got if r.vec_id % 3 == 0)
+
+
 def test_fingerprints(spark, docs, texts):
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs).collect()}
     off = []
