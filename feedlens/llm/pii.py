@@ -7,11 +7,15 @@ tried from its start only (every later start of the same run fails as well), whi
 them linear on long runs.
 
 The information-theoretic step works on distinct lines, so copies of a document count
-once. An entity (a base match) is protected when it stands in ``min_lines`` distinct
-lines. A term discloses it when both share ``min_lines`` distinct lines and their
-pointwise mutual information reaches ``alpha`` of the entity's information content:
-log2(p(e, t) / (p(e) p(t))) >= alpha * -log2 p(e). Such terms are spans of kind ``term``
-in the documents that hold the entity, and nowhere else.
+once. An entity is a base match. A term discloses it when their pointwise mutual
+information reaches ``alpha`` of the entity's information content,
+log2(p(e, t) / (p(e) p(t))) >= alpha * -log2 p(e), and the lines they share are evidence:
+``min_lines`` distinct ones, or at least two whose number chance does not explain. For
+that, the chance of k shared lines is at most C(n_e, k) (n_t / n)^k, and the sum of it over
+all pairs that are tried must stay below ``CHANCE``. One shared line is no evidence: each
+rare word of the line would have the full information. A term may be part of the entity's
+spelling, such as a name in an address. Such terms are spans of kind ``term`` in the
+documents that hold the entity, and nowhere else.
 
 Defined cases: a null or empty text has no spans; repeated rows get the same spans; an
 empty table gives an empty result; further columns do no harm.
@@ -35,6 +39,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"[^\s]+"
 BLOCK = 256
+CHANCE = 0.01
+MAX_BROADCAST_TERMS = 1_000_000   # hashes of terms that every task may get, so that other words need no shuffle
 
 
 def _digits(match: Column) -> Column:
@@ -141,6 +147,7 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
                      text: str = "text") -> DataFrame | None:
     """(entity, term) pairs over the threshold, from all distinct lines of the corpus;
     None when no entity shares enough lines with any term."""
+    least = min(2, min_lines)
     texts = docs.select(F.col(text).alias("_t"))
     lines = texts.where(F.col("_t").contains("@") | F.col("_t").rlike(r"[0-9][\x20.()-]?[0-9]")) \
         .select(F.explode(F.split("_t", "\n")).alias("_line")) \
@@ -148,14 +155,13 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
     lines = base_spans(lines, "_line", "_spans").where(F.size("_spans") > 0) \
         .select(F.xxhash64("_line").alias("line"), F.array_distinct(F.transform("_spans", entity_of)).alias("entities"),
                 "_line")
-    # One row per (entity, distinct line). Entities in fewer than min_lines lines end here.
+    # One row per (entity, distinct line). Entities in a single line end here.
     pairs = materialise(lines.select("line", F.explode("entities").alias("entity"), "_line")
                         .groupBy("line", "entity").agg(F.first("_line").alias("_line")), "pii-lines")
-    often = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_lines)
+    often = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
     both = materialise(pairs.join(often, "entity").select("entity", "n_e", F.explode(_terms(F.col("_line"))).alias("term"))
                        .groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.count("*").alias("n_both"))
-                       .where(F.col("n_both") >= min_lines)
-                       .where(~F.col("entity").contains(F.col("term"))), "pii-both")
+                       .where(F.col("n_both") >= least), "pii-both")
     if both.isEmpty():
         return None
     n = F.lit(float(texts.select(F.explode(F.split("_t", "\n")).alias("_line"))
@@ -163,16 +169,27 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
     # The threshold bounds the lines a term may stand in. Lines with personal data are part
     # of them, so a term over the bound there needs no count over the corpus.
     bound = F.col("n_both") * F.pow(n / F.col("n_e"), 1 - alpha)
+    tried = pairs.agg(F.sum(F.size(_terms(F.col("_line")))).alias("n")).first()["n"]
+    k, apart = F.col("n_both"), F.col("n_e") - F.col("n_both")
+    # log2 C(n_e, k) by its entropy bound
+    ways = k * F.log2(F.col("n_e") / k) + F.when(apart > 0, apart * F.log2(F.col("n_e") / apart)).otherwise(0.0)
+
+    def holds(n_t: str) -> Column:
+        unlikely = k * F.log2(n / F.col(n_t)) - ways >= F.log2(F.lit(tried / CHANCE))
+        return (F.col(n_t) <= bound) & ((k >= min_lines) | unlikely)
+
     here = pairs.dropDuplicates(["line"]).select(F.explode(_terms(F.col("_line"))).alias("term")) \
         .groupBy("term").agg(F.count("*").alias("n_here"))
-    both = materialise(both.join(here, "term").where(F.col("n_here") <= bound).drop("n_here"), "pii-both")
-    wanted = both.select(F.col("term").alias("_term")).distinct()
+    both = materialise(both.join(here, "term").where(holds("n_here")).drop("n_here"), "pii-both")
+    wanted = both.select(F.xxhash64("term").alias("_term")).distinct()
+    if wanted.count() <= MAX_BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
     seen = texts.select(F.explode(F.split("_t", "\n")).alias("_line")) \
         .select(F.xxhash64("_line").alias("line"), F.explode(_terms(F.col("_line"))).alias("term")) \
-        .join(wanted, F.col("term") == F.col("_term"), "left_semi") \
+        .join(wanted, F.xxhash64("term") == F.col("_term"), "left_semi") \
         .groupBy("term", "line").agg(F.lit(1).alias("_one")) \
         .groupBy("term").agg(F.count("*").alias("n_t"))
-    return materialise(both.join(seen, "term").where(F.col("n_t") <= bound).select("entity", "term"), "pii-terms")
+    return materialise(both.join(seen, "term").where(holds("n_t")).select("entity", "term"), "pii-terms")
 
 
 def all_spans(docs: DataFrame, terms: DataFrame | None, text: str = "text") -> DataFrame:

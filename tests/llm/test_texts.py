@@ -150,6 +150,16 @@ def test_terms_that_disclose(spark):
     assert texts[501] == "Zorblatt alone" and texts[502] is None
 
 
+@pytest.mark.parametrize("n", [2, 6])
+def test_a_name_in_its_own_address_discloses(spark, n):
+    rows = [(k, f"Jane Doe wrote note {'abcdef'[k]} jane.doe@x.org") for k in range(n)]
+    rows += [(50, "Solitary Quux wrote ann@x.org")]                    # one line is no evidence
+    rows += [(100 + k, f"line {k} wrote note a b c d e f") for k in range(200)]
+    spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(spans[k] == "term:0:4,term:5:8,email:22:36" for k in range(n))
+    assert spans[50] == "email:20:29" and spans[100] == ""
+
+
 def stage(name):
     return dict(corpus_pipeline.STAGES)[name]
 
