@@ -132,9 +132,11 @@ def cmd_tag(spark, a):
     if a.first:
         corpus = filters.first_n(corpus, a.first, ("source_no", "position"))
     out = a.output.rstrip("/")
+    run_id = a.run_id or uuid.uuid4().hex[:8]
+    print(f"run id: {run_id}")                     # restarts the run, if given as --run-id
     job = tagging.tag_reviews(corpus, load_tagger(a.tagger), ("source_no", "position"),
                               size=a.batch_size, budget=a.budget, parallelism=a.parallelism,
-                              replies_dir=out + "_replies", run_id=a.run_id)
+                              replies_dir=out + "_replies", run_id=run_id)
     write(job["tagged"].drop("source_no", "position"), a.output, "source")
     write(job["status"], out + "_batches")
     metrics.tag_counts(job["tagged"]).show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
@@ -205,7 +207,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-size", type=int, default=cb.BATCH_SIZE)
     p.add_argument("--budget", type=int, help="stop where a serial run would, at its N-th failed batch")
     p.add_argument("--tagger", help="module:callable, rows -> reply text; the rule tagger by default")
-    p.add_argument("--run-id", help="a restarted run of the same id repeats no stored call")
+    p.add_argument("--run-id", help="a restarted run of the same id repeats no stored call of an unchanged batch; a new id without it")
     p.add_argument("--first", type=int, help="tag only the first N rows in input order")
     p.add_argument("--column")
     p.add_argument("--order")

@@ -67,7 +67,17 @@ def render_prompt(batched: DataFrame, id_col: str = "reviewId", text_col: str =
                     F.array_join(F.col("_l.line"), "\n\n").alias("prompt"))
 
 
-def _call_tagger(tagger: Tagger):
+def batch_hash(tagger: Tagger) -> F.Column:
+    """Hash of what a call asks: the ids and texts of ``rows`` in order, and the tagger's
+    name (that of its function or class; taggers that differ otherwise need runs of their own)."""
+    named = tagger if hasattr(tagger, "__qualname__") else type(tagger)
+    rows = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["text"].alias("text")))
+    return F.sha2(F.to_json(F.struct(F.lit(f"{named.__module__}:{named.__qualname__}").alias("tagger"),
+                                     rows.alias("rows"))), 256)
+
+
+def _call_tagger(tagger: Tagger, kept: tuple[str, ...] = ()):
+    """``kept`` names columns that go from a batch to its result."""
     def run(it):
         for pdf in it:
             out = []
@@ -80,7 +90,8 @@ def _call_tagger(tagger: Tagger):
                 except Exception as e:  # noqa: BLE001 - a failed call is data (T4)
                     reply, error = None, f"{type(e).__name__}: {e}"
                 out.append((int(batch_id), int(n_rows), reply, error))
-            yield pd.DataFrame(out, columns=["batch_id", "n_rows", "reply", "error"])
+            done = pd.DataFrame(out, columns=["batch_id", "n_rows", "reply", "error"])
+            yield done.assign(**{c: pdf[c].to_numpy() for c in kept})
     return run
 
 
@@ -91,40 +102,48 @@ def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = N
 
     With ``replies_dir`` every reply is kept as Parquet under ``run_id=<run_id>``, whether
     it parses or not, and a restarted run of the same ``run_id`` calls the tagger only for
-    batches that have no stored reply or whose stored call failed. Without it,
+    batches that have no stored reply or whose stored call failed. A reply stands only for
+    a batch of the same number, ids, texts and tagger (``batch_hash``). Without it,
     ``materialize`` checkpoints the replies to the shared folder.
     """
     src = batch_df.select("batch_id", "n_rows", "rows")
-    if parallelism is not None:
-        src = src.repartition(parallelism, "batch_id")
+
+    def in_flight(df: DataFrame) -> DataFrame:
+        return df if parallelism is None else df.repartition(parallelism, "batch_id")
+
     if replies_dir is None:
-        out = src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
+        out = in_flight(src).mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
         if materialize:
             out = parse_reply_column(out)
             checkpoint_root(out.sparkSession)
             out = out.checkpoint(eager=True)
         return out
     path = f"{replies_dir.rstrip('/')}/run_id={run_id or 'default'}"
+    # Kept once, so the calls and the replies looked up afterwards see the same batches.
+    checkpoint_root(src.sparkSession)
+    src = src.withColumn("batch_hash", batch_hash(tagger)).checkpoint(eager=True)
+    asked = src.select("batch_id", "batch_hash")
     stored = stored_replies(src.sparkSession, path)
     if stored is not None:
-        src = src.join(stored.select("batch_id"), "batch_id", "left_anti")
-    src.mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT).write.mode("append").parquet(path)
+        src = src.join(stored.select("batch_id", "batch_hash"), ["batch_id", "batch_hash"], "left_anti")
+    in_flight(src).mapInPandas(_call_tagger(tagger, ("batch_hash",)), schemas.STORED_REPLY) \
+        .write.mode("append").parquet(path)
     done = stored_replies(src.sparkSession, path, failed=True)
-    return batch_df.select("batch_id").join(done, "batch_id")
+    return asked.join(done, ["batch_id", "batch_hash"]).drop("batch_hash")
 
 
 def stored_replies(spark, path: str, failed: bool = False) -> DataFrame | None:
-    """One row per batch with a stored reply, the successful one if a call was repeated;
+    """One row per batch and hash with a stored reply, the successful one if a call was repeated;
     None without stored replies. ``failed`` adds the batches whose calls all failed."""
     try:
-        kept = spark.read.schema(schemas.BATCH_RESULT).parquet(path)
+        kept = spark.read.schema(schemas.STORED_REPLY).parquet(path)
     except AnalysisException:                      # nothing stored yet
         return None
     best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "n_rows", "reply", "error"))
-    one = kept.groupBy("batch_id").agg(best.alias("b"))
+    one = kept.groupBy("batch_id", "batch_hash").agg(best.alias("b"))
     if not failed:
         one = one.where("not b.bad")
-    return one.select("batch_id", "b.n_rows", "b.reply", "b.error")
+    return one.select("batch_id", "batch_hash", "b.n_rows", "b.reply", "b.error")
 
 
 def parse_reply_column(replies: DataFrame) -> DataFrame:

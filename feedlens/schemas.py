@@ -100,3 +100,6 @@ BATCH_RESULT = T.StructType([
     T.StructField("reply", T.StringType(), True),
     T.StructField("error", T.StringType(), True),
 ])
+
+# A stored reply also names what was asked: the batch's ids and texts, and the tagger.
+STORED_REPLY = T.StructType([*BATCH_RESULT.fields, T.StructField("batch_hash", T.StringType(), True)])

@@ -69,6 +69,28 @@ def test_stored_replies_are_not_asked_for_again(spark, tmp_path):
     assert {f.name: len(f.read_text()) for f in calls.iterdir()} == {"r0": 1, "r15": 2, "r30": 1, "r45": 1}
 
 
+def test_stored_replies_stand_for_equal_batches_only(spark, tmp_path):
+    """A sample's short last batch, another batch size, shifted rows and another tagger."""
+    out = str(tmp_path / "replies")
+
+    def tagged(df, tagger=rules.RuleTagger(), **more):
+        return {r.reviewId: r.primary_tag for r in
+                tg.tag_reviews(df, tagger, replies_dir=out, run_id="a", **more)["tagged"].collect()}
+
+    whole = many(spark, 40)
+    assert len(tagged(whole.where("seq < 25"))) == 25
+    every = tagged(whole)
+    assert len(every) == 40
+    assert tagged(whole, size=7) == every
+    assert len(tagged(whole.where("seq >= 3"))) == 37
+    assert set(tagged(whole, other_tagger).values()) == {"INFO_GAP"}
+    assert tagged(whole) == every
+
+
+def other_tagger(rows):
+    return [{"id": r["id"], "primary_tag": "INFO_GAP", "sentiment": "mixed"} for r in rows]
+
+
 def test_replies_are_read_strictly(spark):
     good = json.dumps([{"id": "a", "primary_tag": "INFO_GAP", "sentiment": "mixed"}])
     replies = [good, good + " That is all.", "Here: " + good, good.replace('"', "'"), good[1:-1], '"[]"', "[]", ""]
