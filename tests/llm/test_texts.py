@@ -181,6 +181,14 @@ def test_stages_on_edge_rows(spark, docs, texts):
     assert sorted((r.doc_id for r in stage("near_copies")(spark, again, SF).collect()), key=str) == [1, None, None]
 
 
+def test_a_repeated_id_loses_only_the_text_that_is_a_copy(spark):
+    one, two, own = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    rows = [(3, one), (7, own), (7, one), (5, two), (4, two), (4, own + " 1 2 3 4 5 6 7 8 9"), (None, one), (6, ""), (6, "")]
+    out = stage("near_copies")(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted(
+        [(3, one), (7, own), (4, two), (4, rows[5][1]), (0, one), (6, "")])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "personal_data", "packing"]
