@@ -116,6 +116,19 @@ def test_scaled_copies_over_many_pivots(spark, monkeypatch, threshold):
         assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got if r.vec_id % 3 == 0)
 
 
+def test_copies_of_a_vector_are_joined_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=16)
+    rows = [(k, one.tolist() if k % 3 == 0 else rng.normal(size=16).tolist(), 1) for k in range(150)]
+    rows += [(200, (one * 2 + 1e-3).tolist(), 1), (201, one.tolist(), 2), (202, one.tolist(), 2)]
+    sent, linked = [], vectors.linked_rows
+    monkeypatch.setattr(vectors, "linked_rows", lambda v, *more: (sent.append(v.count()), linked(v, *more))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_vectors(df.repartition(4), rows_per_cell=10, part_rows=16).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute.vectors(rows)
+    assert sent == [103]
+
+
 def test_fingerprints(spark, docs, texts):
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs).collect()}
     off = []
