@@ -104,3 +104,33 @@ def pii(text):
             if good:
                 found.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(x[2] for x in sorted(found))
+
+
+def negatives(rows, every, positives=5, negatives=5):
+    """[(anchor, positive, rank, negative, positive score, negative score)] of (vec_id, vector, label)."""
+    fit = [(i, [math.floor(256 * x) for x in v], s) for i, v, s in rows
+           if v and s is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v, s) in enumerate(fit):
+        if i is None or i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), j, t) for b, (j, w, t) in enumerate(fit)
+                        if b != a and len(w) == len(v))
+        for p, j, _ in [x for x in scored if x[2] == s][:positives]:
+            hard = [x for x in scored if x[2] != s and 80 * -p <= 100 * -x[0] <= 100 * -p][:negatives]
+            out += [(i, j, k + 1, x[1], -p, -x[0]) for k, x in enumerate(hard)]
+    return sorted(out)
+
+
+def mixture_targets(sizes, weights, most):
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    capped, target = set(), {}
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        free = [s for s in order if s not in capped]
+        target = {s: most * sizes[s] for s in capped} | {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        above = [s for s in free if target[s] > most * sizes[s]]
+        if not above:
+            return target
+        capped |= set(above)
