@@ -15,10 +15,11 @@
     python -m feedlens paste         --input texts/ --column text --order id --output landed/own
     python -m feedlens newest        --input exports/play --n 60 --output landed/newest
 
+Landings may share one ``--output`` folder: each replaces only its own source there.
 Inputs and outputs are Parquet folders, or CSV when the path ends in ``.csv``.
 Every job runs on the session's cluster. A report writes each of its tables whole under
-``--output``; without it every row is printed, as the tables are written to the terminal
-in one stream.
+``--output``; without it the first ``--head`` rows of each are printed, with a note where
+there are more.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from feedlens import codebook as cb
 from feedlens import schemas
 from feedlens.operators import categories, filters, metrics, rules, tagging, validation
+from feedlens.operators.ordering import file_position, input_seq, row_index
 from feedlens.session import scratch_path
 from feedlens.sources import files, landing, threads
 from feedlens.streaming import live
@@ -55,31 +57,38 @@ def write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
         files.write_table(df, path, partition_by=partition_by)
 
 
-def _with_seq(df: DataFrame) -> DataFrame:
-    """Input order for order-dependent steps: an existing ``seq``, else the
-    row's position in the scan (split, then row), stable for a fixed input."""
-    if "seq" in df.columns:
-        return df
-    return df.withColumn("seq", F.monotonically_increasing_id())
+def land(df: DataFrame, path: str, source: str) -> None:
+    """Landed rows beside those of other sources in ``path``; a CSV file holds one landing."""
+    if path.endswith(".csv"):
+        write(df.drop("seq"), path)
+    else:
+        files.land_table(df, path, [source])
 
 
 def cmd_land_play(spark, a):
-    write(landing.land_play(read(spark, a.input[0], schemas.PLAY_EXPORT)), a.output, "source")
+    feed = input_seq(read(spark, a.input[0], schemas.PLAY_EXPORT))
+    if a.target:
+        feed = landing.pull_pages(feed, page_rows=a.page_rows, target=a.target)
+    land(landing.land_play(feed), a.output, "play_store")
 
 
 def cmd_land_appstore(spark, a):
-    df = _with_seq(read(spark, a.input[0], schemas.APPSTORE_EXPORT))
-    write(landing.land_appstore(df, limit=a.limit), a.output, "source")
+    df = input_seq(read(spark, a.input[0], schemas.APPSTORE_EXPORT))
+    land(landing.land_appstore(df, limit=a.limit), a.output, "app_store")
 
 
 def emit(df: DataFrame, name: str, a) -> None:
-    """One table of a report: written under ``--output``, or printed row by row."""
+    """One table of a report: written whole under ``--output``, or its first ``--head`` rows
+    printed, with a note where there are more."""
     if a.output:
         write(df, f"{a.output.rstrip('/')}/{name}")
         return
     print(f"-- {name}: {', '.join(df.columns)}")
-    for row in df.toLocalIterator():
+    rows = df.take(a.head + 1)
+    for row in rows[:a.head]:
         print("\t".join("" if v is None else str(v) for v in row))
+    if len(rows) > a.head:
+        print(f"   the first {a.head} rows; --output writes all of them")
 
 
 def load_tagger(name: str | None):
@@ -97,26 +106,27 @@ def cmd_land_threads(spark, a):
     path = scratch_path(spark, "thread-nodes")
     threads.parse_threads(read(spark, a.input[0])).write.parquet(path)
     parsed = spark.read.parquet(path)
-    write(threads.land_threads(parsed).drop("path"), a.output, "source")
+    rows = row_index(threads.land_threads(parsed), ("thread", "path"), "seq")
+    land(rows.drop("path"), a.output, "reddit")
     write(threads.thread_report(parsed), a.output.rstrip("/") + "_threads")
 
 
 def cmd_upload(spark, a):
     df = read(spark, a.input[0])
-    if a.order is None:
-        df = df.withColumn("seq", F.monotonically_increasing_id())
-    out = landing.ingest_text_column(df, a.column, a.order or "seq", cap=a.limit)
-    write(out.drop("idx"), a.output, "source")
+    if a.order is None:                            # the order of the input files
+        df = file_position(df, "_position")
+    out = landing.ingest_text_column(df, a.column, a.order or "_position", cap=a.limit)
+    land(out.withColumnRenamed("idx", "seq"), a.output, "upload")
 
 
 def cmd_paste(spark, a):
     out = landing.ingest_lines(read(spark, a.input[0]), a.column, a.order, cap=a.limit)
-    write(out, a.output, "source")
+    land(out, a.output, "paste")
 
 
 def cmd_newest(spark, a):
     rows = landing.land_play(landing.newest_reviews(read(spark, a.input[0], schemas.PLAY_EXPORT), a.n))
-    write(rows, a.output, "source")
+    land(rows, a.output, "play_store")
 
 
 def cmd_scores(spark, a):
@@ -124,23 +134,23 @@ def cmd_scores(spark, a):
 
 
 def cmd_land_dumps(spark, a):
-    write(files.land_dumps(files.read_text_dumps(spark, a.input[0])), a.output, "source")
+    rows = files.land_dumps(files.read_text_dumps(spark, a.input[0]))
+    land(row_index(rows, ("thread", "idx"), "seq").drop("idx"), a.output, "reddit_manual")
 
 
 def cmd_tag(spark, a):
-    corpus = landing.union_sources([read(spark, p, schemas.REVIEWS_CSV) for p in a.input])
+    corpus = landing.union_sources([file_position(read(spark, p, schemas.REVIEWS_CSV)) for p in a.input])
     if a.first:
         corpus = filters.first_n(corpus, a.first, ("source_no", "position"))
     out = a.output.rstrip("/")
     run_id = a.run_id or uuid.uuid4().hex[:8]
     print(f"run id: {run_id}")                     # restarts the run, if given as --run-id
     job = tagging.tag_reviews(corpus, load_tagger(a.tagger), ("source_no", "position"),
-                              size=a.batch_size, budget=a.budget, parallelism=a.parallelism,
+                              size=a.batch_size, budget=a.budget, wave=a.wave, parallelism=a.parallelism,
                               replies_dir=out + "_replies", run_id=run_id)
-    write(job["tagged"].drop("source_no", "position"), a.output, "source")
-    write(job["status"], out + "_batches")
-    metrics.tag_counts(job["tagged"]).show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
-    tagging.run_report(corpus, job["status"], job["tags"], job["tagged"]).show(truncate=False)
+    report = tagging.finish_run(job, a.output, "source", drop=("source_no", "position", "seq"))
+    metrics.tag_counts(spark.read.parquet(a.output)).show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
+    report.show(truncate=False)
 
 
 def cmd_report(spark, a):
@@ -176,7 +186,7 @@ def cmd_agreement(spark, a):
 
 
 def cmd_live(spark, a):
-    stream = live.feed_stream(spark, a.landing)
+    stream = live.feed_stream(spark, a.landing, keep_seconds=a.keep_seconds)
     run_id = a.run_id or uuid.uuid4().hex[:8]
     q = live.start_live_run(stream, load_tagger(a.tagger), a.output, a.checkpoint,
                             run_id=run_id, available_now=not a.continuous)
@@ -186,6 +196,9 @@ def cmd_live(spark, a):
         done.groupBy("ok").agg(F.count("*").alias("batches"), F.sum("n_rows").alias("reviews")).show()
         metrics.tag_counts(live.read_live(spark, a.output).where(F.col("run_id") == run_id)) \
             .show(len(cb.PRIMARY_TAGS) + 1, truncate=False)
+        if a.keep_seconds is not None:
+            late = live.read_late(spark, a.output).where(F.col("run_id") == run_id)
+            print(f"late reviews, under {a.output.rstrip('/')}_landed: {late.count()}; state: {live.state_figures(q)}")
 
 
 COMMANDS = {
@@ -203,9 +216,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", action="append", default=[])
     p.add_argument("--output")
     p.add_argument("--limit", type=int)
+    p.add_argument("--target", type=int, help="keep whole pages of the feed until this many rows are pulled")
+    p.add_argument("--page-rows", type=int, default=200)
     p.add_argument("--tag", action="append")
+    p.add_argument("--head", type=int, default=200, help="rows of a report's table to print without --output")
     p.add_argument("--batch-size", type=int, default=cb.BATCH_SIZE)
     p.add_argument("--budget", type=int, help="stop where a serial run would, at its N-th failed batch")
+    p.add_argument("--wave", type=int, default=tagging.WAVE,
+                   help="with --budget: batches called between two looks at the failures")
     p.add_argument("--tagger", help="module:callable, rows -> reply text; the rule tagger by default")
     p.add_argument("--run-id", help="a restarted run of the same id repeats no stored call of an unchanged batch; a new id without it")
     p.add_argument("--first", type=int, help="tag only the first N rows in input order")
@@ -219,6 +237,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--key")
     p.add_argument("--landing")
     p.add_argument("--checkpoint")
+    p.add_argument("--keep-seconds", type=int, help="live: keep ids so long after they arrived; older reviews go apart")
     p.add_argument("--continuous", action="store_true")
     return p
 

@@ -3,8 +3,11 @@
 None of these relies on partition order, and none sends a whole table or a
 whole group through one task:
 
+* ``file_position`` names each row's place in the files it was read from, which is the
+  same however the files are split into tasks.
 * ``row_index`` ranges and sorts the rows once, and adds the sizes of the
-  ranges before (one row per range) to each row's place in its own.
+  ranges before (one row per range) to each row's place in its own;
+  ``running_total`` does the same with the sums of a column.
 * ``dedup_keep_first`` finds each content's first position with a partial
   aggregate (one row per task and content before the shuffle), then keeps the
   matching rows with a semi join on (content hash, position), whose keys are
@@ -25,6 +28,46 @@ from feedlens.operators.common import bounded_broadcast
 from feedlens.session import scratch_path
 
 
+POSITION = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()),
+                         T.StructField("row", T.LongType())])
+
+
+def file_position(df: DataFrame, col: str = "position") -> DataFrame:
+    """Add ``col``, struct<file, block, row>: where each row stands in the input files.
+
+    ``df`` is read from files, by steps that keep rows. Files come in the order of their
+    paths; within a Parquet file rows by their number, within other files by the block they
+    start in and their place there. Sorting by it gives the same order for any split planning.
+    """
+    known = df.select("_metadata").schema["_metadata"].dataType.names
+    block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    if "row_index" in known:
+        block, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row"))
+                     .cast(POSITION).alias(col))
+
+
+def input_seq(df: DataFrame, col: str = "seq") -> DataFrame:
+    """Add ``col``, the dense 0-based position of each row in its input files; a column of
+    that name stands."""
+    if col in df.columns:
+        return df
+    return row_index(file_position(df, "_position"), "_position", col).drop("_position")
+
+
+def _ranged(df: DataFrame, order_col: str | Sequence[str], buckets: int | None) -> tuple[DataFrame, int]:
+    """``df`` in sorted ranges, written with ``_m``, the place in its range below the range's
+    number, and ``_b``, that number; and how many ranges there are at most."""
+    spark = df.sparkSession
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "row-index")
+    df.repartitionByRange(n, *cols).sortWithinPartitions(*cols) \
+        .withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_m", T.LongType())])).parquet(path)
+    return rows.withColumn("_b", F.shiftright("_m", 33)), n
+
+
 def row_index(df: DataFrame, order_col: str | Sequence[str], idx_col: str = "idx",
               buckets: int | None = None) -> DataFrame:
     """Add a dense 0-based position in the order of ``order_col`` (one column or several,
@@ -34,23 +77,35 @@ def row_index(df: DataFrame, order_col: str | Sequence[str], idx_col: str = "idx
     their place in their range; the ranges' sizes, one row per range, turn the places
     into positions. Texts move once, and no window or range holds more than its share.
     """
-    spark = df.sparkSession
-    cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = F.monotonically_increasing_id()           # range number in the high bits
-    path = scratch_path(spark, "row-index")
-    df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_m", place) \
-        .write.parquet(path)
-    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_m", T.LongType())])).parquet(path)
-    sizes = rows.groupBy(F.shiftright("_m", 33).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    rows, n = _ranged(df, order_col, buckets)
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bounded_broadcast(sizes.select(
         "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), n)
-    return (rows.withColumn("_b", F.shiftright("_m", 33)).join(offsets, "_b", "inner")
+    return (rows.join(offsets, "_b", "inner")
             .withColumn(idx_col, F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1))
             .drop("_m", "_b", "_off"))
 
 
+def running_total(df: DataFrame, order_col: str | Sequence[str], value_col: str, total_col: str = "total",
+                  buckets: int | None = None) -> DataFrame:
+    """Add the sum of ``value_col`` over all rows up to and with this one, in the order of
+    ``order_col`` (equal keys in any fixed order; a null adds nothing).
+
+    Sums run within sorted ranges, one window each; the ranges' own sums, one row per
+    range, carry the total from one range to the next.
+    """
+    rows, n = _ranged(df, order_col, buckets)
+    value = F.coalesce(F.col(value_col), F.lit(0))
+    sums = rows.groupBy("_b").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bounded_broadcast(sums.select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), n)
+    inside = Window.partitionBy("_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn(total_col, F.sum(value).over(inside)).join(offsets, "_b", "inner")
+            .withColumn(total_col, F.col("_off") + F.col(total_col)).drop("_m", "_b", "_off"))
+
+
 def content_hash(col: str = "content") -> F.Column:
     return F.sha2(F.col(col), 256)
 

@@ -13,6 +13,8 @@ Plan of ``tag_reviews``:
 4. The replies are checkpointed to the shared checkpoint folder: the costly,
    non-repeatable step never re-runs when a later stage or a lost executor
    recomputes, and retries are idempotent per ``batch_id``.
+   With a failure budget the batches are called in waves of consecutive batches, each
+   read for its failures before the next one starts (``call_in_waves``).
 5. ``parse_replies``: fence stripping, strict JSON, one row per element -
    all JVM-side (``from_json`` + ``inline``). A reply that does not parse
    fails its whole batch, as in the reference.
@@ -24,8 +26,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
@@ -33,7 +34,10 @@ from feedlens import schemas
 from feedlens.functions.text import preview, strip_fence
 from feedlens.operators.common import bounded_broadcast
 from feedlens.operators.ordering import row_index
-from feedlens.session import checkpoint_root
+from feedlens.session import checkpoint_root, path_exists, scratch_path
+
+# Batches asked about between two looks at the failures.
+WAVE = 1_000
 
 Tagger = Callable[[list[dict]], str]
 
@@ -118,27 +122,72 @@ def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = N
             checkpoint_root(out.sparkSession)
             out = out.checkpoint(eager=True)
         return out
-    path = f"{replies_dir.rstrip('/')}/run_id={run_id or 'default'}"
+    path = _replies_path(replies_dir, run_id)
     # Kept once, so the calls and the replies looked up afterwards see the same batches.
     checkpoint_root(src.sparkSession)
     src = src.withColumn("batch_hash", batch_hash(tagger)).checkpoint(eager=True)
-    asked = src.select("batch_id", "batch_hash")
+    _ask(src, tagger, path, parallelism)
+    return _answers(src, path)
+
+
+def _replies_path(replies_dir: str, run_id: str | None) -> str:
+    return f"{replies_dir.rstrip('/')}/run_id={run_id or 'default'}"
+
+
+def _ask(src: DataFrame, tagger: Tagger, path: str, parallelism: int | None) -> None:
+    """Call the tagger for the batches of ``src`` that have no good reply under ``path``."""
     stored = stored_replies(src.sparkSession, path)
     if stored is not None:
         src = src.join(stored.select("batch_id", "batch_hash"), ["batch_id", "batch_hash"], "left_anti")
-    in_flight(src).mapInPandas(_call_tagger(tagger, ("batch_hash",)), schemas.STORED_REPLY) \
-        .write.mode("append").parquet(path)
+    if parallelism is not None:
+        src = src.repartition(parallelism, "batch_id")
+    src.mapInPandas(_call_tagger(tagger, ("batch_hash",)), schemas.STORED_REPLY).write.mode("append").parquet(path)
+
+
+def _answers(src: DataFrame, path: str) -> DataFrame:
     done = stored_replies(src.sparkSession, path, failed=True)
-    return asked.join(done, ["batch_id", "batch_hash"]).drop("batch_hash")
+    return src.select("batch_id", "batch_hash").join(done, ["batch_id", "batch_hash"]).drop("batch_hash")
+
+
+def call_in_waves(batch_df: DataFrame, tagger: Tagger, budget: int, wave: int = WAVE,
+                  parallelism: int | None = None, replies_dir: str | None = None,
+                  run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(replies, uncalled): as ``call_tagger``, but no call is made after a wave of ``wave``
+    consecutive batches by whose end ``budget`` batches have failed (T5).
+
+    So at most ``wave - 1`` calls come after the failure that a serial run stops at. The
+    batches are written once, in order, so that a wave reads its own; the driver holds the
+    number of failures. ``uncalled`` has batch_id and n_rows of the batches left.
+    """
+    spark = batch_df.sparkSession
+    kept, path = scratch_path(spark, "batches"), _replies_path(replies_dir or scratch_path(spark, "replies"), run_id)
+    src = batch_df.select("batch_id", "n_rows", "rows").withColumn("batch_hash", batch_hash(tagger))
+    last = Observation()
+    src.repartitionByRange("batch_id").sortWithinPartitions("batch_id") \
+        .observe(last, F.max("batch_id").alias("at")).write.parquet(kept)
+    src = spark.read.schema(src.schema).parquet(kept)
+    end, start, failed = last.get["at"], 0, 0
+    while end is not None and start <= end and failed < budget:
+        now = src.where(F.col("batch_id").between(start, start + wave - 1))
+        _ask(now, tagger, path, parallelism)
+        status, _ = parse_replies(_answers(now, path))
+        failed += status.where(~F.col("ok")).count()
+        start += wave
+    called = F.col("batch_id") < start
+    if end is None:
+        replies = src.select("batch_id", "n_rows", F.lit(None).cast("string").alias("reply"),
+                             F.lit(None).cast("string").alias("error"))
+    else:
+        replies = _answers(src.where(called), path)
+    return replies, src.where(~called).select("batch_id", "n_rows")
 
 
 def stored_replies(spark, path: str, failed: bool = False) -> DataFrame | None:
     """One row per batch and hash with a stored reply, the successful one if a call was repeated;
     None without stored replies. ``failed`` adds the batches whose calls all failed."""
-    try:
-        kept = spark.read.schema(schemas.STORED_REPLY).parquet(path)
-    except AnalysisException:                      # nothing stored yet
+    if not path_exists(spark, path):               # nothing stored yet
         return None
+    kept = spark.read.schema(schemas.STORED_REPLY).parquet(path)
     best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "n_rows", "reply", "error"))
     one = kept.groupBy("batch_id", "batch_hash").agg(best.alias("b"))
     if not failed:
@@ -230,8 +279,9 @@ def codebook_check(tags: DataFrame, tags_allowed: list[str] | None = None) -> Da
 
 def run_report(loaded: DataFrame, status: DataFrame, kept_tags: DataFrame,
                tagged: DataFrame) -> DataFrame:
-    """Run summary as (metric, value) rows (A13): rows loaded, batches, failed
-    batches, tags kept, rows tagged. The batches' status gives two of them in one scan."""
+    """Run summary as (metric, value) rows (A13) of tables that are there already: rows
+    loaded, batches, failed batches, tags kept, rows tagged. The batches' status gives two
+    of them in one scan; ``finish_run`` counts during the run instead."""
     n = F.count(F.lit(1))
     of_status = status.agg(n.alias("batches"), F.count_if(~F.col("ok")).alias("failed_batches")) \
         .unpivot([], ["batches", "failed_batches"], "metric", "value")
@@ -242,25 +292,50 @@ def run_report(loaded: DataFrame, status: DataFrame, kept_tags: DataFrame,
     return out
 
 
+def finish_run(job: dict, path: str, partition_by: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Write the tagged reviews of ``tag_reviews`` under ``path`` and the batches' status under
+    ``<path>_batches``; return the run's summary, (metric, value) rows as ``run_report`` has
+    them (A13).
+
+    Nothing is read again to be counted: batches, their rows and their tags are counted as
+    the status is written, tagged rows as they are written.
+    """
+    status, tagged = Observation(), Observation()
+    base, n = path.rstrip("/"), F.count(F.lit(1))
+    stopped = F.col("after_stop") if "after_stop" in job["status"].columns else F.lit(False)
+    job["status"].observe(status, F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows_loaded"), n.alias("batches"), F.count_if(~F.col("ok")).alias("failed_batches"),
+                          F.coalesce(F.sum(F.when(stopped, 0).otherwise(F.col("n_tags"))), F.lit(0)).alias("tags_kept")) \
+        .write.mode("overwrite").parquet(f"{base}_batches")
+    out = job["tagged"].drop(*drop).observe(tagged, n.alias("rows_tagged")).write.mode("overwrite")
+    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    found = {**status.get, **tagged.get}
+    order = ("rows_loaded", "batches", "failed_batches", "tags_kept", "rows_tagged")
+    return job["status"].sparkSession.createDataFrame([(k, int(found[k])) for k in order], "metric string, value long")
+
+
 def tag_reviews(reviews: DataFrame, tagger: Tagger, order_col="seq",
                 size: int = cb.BATCH_SIZE, budget: int | None = None,
                 parallelism: int | None = None, materialize: bool = True,
-                replies_dir: str | None = None, run_id: str | None = None) -> dict[str, DataFrame]:
+                replies_dir: str | None = None, run_id: str | None = None, wave: int = WAVE) -> dict[str, DataFrame]:
     """The whole job: returns ``batched``, ``replies``, ``status``, ``tags`` and
     ``tagged`` (reviews joined to the kept tags).
 
     Every batch that answers is kept. ``budget`` asks for the rows a serial run would have
     kept that stops at its ``budget``-th failure; the status then says which batches come
-    after the stop (``after_stop``). ``materialize=False`` skips the checkpoint; only for
-    callers that read the tags exactly once (a budget needs a second read, so it forces one).
+    after the stop (``after_stop``), and ``ok`` is null for those that were not called any
+    more: calls end with the ``wave`` of batches in which the budget is used up.
+    ``materialize=False`` skips the checkpoint; only for callers that read the tags exactly once.
     """
     batched = batch_rows(reviews, order_col, size)
-    replies = call_tagger(batches(batched), tagger, parallelism,
-                          materialize=materialize or budget is not None,
-                          replies_dir=replies_dir, run_id=run_id)
-    status, tags = parse_replies(replies)
-    if budget is not None:
+    if budget is None:
+        replies = call_tagger(batches(batched), tagger, parallelism, materialize=materialize,
+                              replies_dir=replies_dir, run_id=run_id)
+        status, tags = parse_replies(replies)
+    else:
+        replies, uncalled = call_in_waves(batches(batched), tagger, budget, wave, parallelism, replies_dir, run_id)
+        status, tags = parse_replies(replies)
         stop = failure_stop(status, budget)
+        status = status.unionByName(uncalled.withColumn("n_tags", F.lit(0).cast("long")), allowMissingColumns=True)
         status = status.withColumn("after_stop", F.lit(False) if stop is None
                                    else F.col("batch_id") >= F.lit(stop))
         tags = tags if stop is None else tags.filter(F.col("batch_id") < F.lit(stop))

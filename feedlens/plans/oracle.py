@@ -293,6 +293,38 @@ SELECT CAST(doc_id AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), sour
        CAST(NULL AS VARCHAR), text
 FROM documents WHERE {subst('text')}"""
 
+ORACLE["land_together"] = f"""
+WITH {FEED}
+SELECT CAST(event_id AS VARCHAR) AS reviewId, 'play_store' AS source, content,
+       CAST(event_id AS BIGINT) AS seq
+FROM feed WHERE {subst('content')} AND score >= 3
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), source, text, CAST(doc_id AS BIGINT)
+FROM documents WHERE {subst('text')}"""
+
+# The test table is written in doc_id order.
+ORACLE["file_order"] = ORACLE["ingest_column"]
+
+ORACLE["pull_pages"] = f"""
+WITH {FEED},
+placed AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM feed),
+pages AS (SELECT place // 200 AS page, count(*) AS n FROM placed GROUP BY page),
+totals AS (SELECT page, sum(n) OVER (ORDER BY page) AS total FROM pages),
+last AS (SELECT min(page) AS page FROM totals WHERE total >= 3000)
+SELECT CAST(event_id AS VARCHAR) AS reviewId, CAST(score AS DOUBLE) AS score, 'play_store' AS source, content
+FROM placed, last
+WHERE {subst('content')} AND (last.page IS NULL OR place // 200 <= last.page)"""
+
+ORACLE["pull_by_page"] = f"""
+WITH {FEED},
+pages AS (SELECT user_id AS page, count(*) AS n FROM feed GROUP BY user_id),
+totals AS (SELECT page, n, sum(n) OVER (ORDER BY page) AS total,
+                  row_number() OVER (ORDER BY page) - 1 AS nth FROM pages),
+stop AS (SELECT least(min(CASE WHEN total >= 3000 THEN page + 1 END),
+                      min(CASE WHEN nth < page THEN nth END)) AS at FROM totals)
+SELECT CAST(page AS BIGINT) AS page, CAST(n AS BIGINT) AS rows
+FROM totals, stop WHERE stop.at IS NULL OR page < stop.at"""
+
 ORACLE["first_n"] = """
 SELECT CAST(doc_id AS VARCHAR) AS reviewId, source FROM documents ORDER BY doc_id LIMIT 100"""
 
@@ -378,7 +410,10 @@ SELECT {THREAD_URL} AS thread, TRUE AS ok,
          AS comments_kept,
        CAST(count(*) FILTER (WHERE turn = 0) + count(*) FILTER (
             WHERE turn > 0 AND {subst('text')} AND text NOT IN ('[deleted]', '[removed]'))
-            AS BIGINT) AS rows_kept
+            AS BIGINT) AS rows_kept,
+       CAST(sum(count(*) FILTER (WHERE turn = 0) + count(*) FILTER (
+            WHERE turn > 0 AND {subst('text')} AND text NOT IN ('[deleted]', '[removed]')))
+            OVER (ORDER BY {THREAD_URL}) AS BIGINT) AS rows_total
 FROM conversations GROUP BY conv_id"""
 
 ORACLE["thread_slug"] = f"""

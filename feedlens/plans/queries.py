@@ -224,6 +224,42 @@ def q_union_sources(spark, sf_dir):
                     "content")
 
 
+@register("land_together")
+def q_land_together(spark, sf_dir):
+    """Store reviews and the documents' sources landed in one table, then the store landed
+    again with fewer rows: its own are replaced, the others stay (S11, S10)."""
+    path = scratch_path(spark, "landed")
+    play = an.play_export(spark, sf_dir)
+    files.land_table(land.land_play(play), path, ["play_store"])
+    files.land_table(flt.substantive(an.reviews(spark, sf_dir)), path)
+    files.land_table(land.land_play(play.where("score >= 3")), path, ["play_store"])
+    return files.read_landed(spark, path).select("reviewId", "source", "content", "seq")
+
+
+@register("file_order")
+def q_file_order(spark, sf_dir):
+    """Uploaded documents without an order column: ids by place in the files."""
+    d = ordr.file_position(an.table(spark, sf_dir, "documents").select("text"))
+    out = land.ingest_text_column(d, "text", order_col="position")
+    return out.select("reviewId", F.col("idx").cast("long"), "content")
+
+
+@register("pull_pages")
+def q_pull_pages(spark, sf_dir):
+    """A store pull in pages of 200 that stops at the page which reaches 3,000 rows, then
+    landed (X4, S2)."""
+    pulled = land.pull_pages(an.play_export(spark, sf_dir), ("seq",), 200, 3_000)
+    return land.land_play(pulled).select("reviewId", "score", "source", "content")
+
+
+@register("pull_by_page")
+def q_pull_by_page(spark, sf_dir):
+    """The same target over pages of uneven sizes, each user's reviews a page."""
+    export = an.play_export(spark, sf_dir).withColumn("page", F.col("thumbsUpCount"))
+    pulled = land.pull_pages(export, target=3_000, page_col="page")
+    return pulled.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("first_n")
 def q_first_n(spark, sf_dir):
     """Sample mode: the first 100 reviews in input order."""
@@ -291,7 +327,7 @@ def q_thread_comments(spark, sf_dir):
 
 @register("thread_report")
 def q_thread_report(spark, sf_dir):
-    """Per thread: parsed, posts, comments and rows kept."""
+    """Per thread: parsed, posts, comments and rows kept, and their running total."""
     return thr.thread_report(_threads(spark, sf_dir))
 
 

@@ -15,6 +15,7 @@ from feedlens.plans import analogues as an
 from feedlens.plans.analog_rules import ANALOG_BOOK, FaultyTagger
 from feedlens.plans.oracle import ORACLE, subst
 from feedlens.plans.queries import register
+from feedlens.session import scratch_path
 
 TAGGER = rules.RuleTagger(ANALOG_BOOK, style="fenced_json")
 FAULTY = FaultyTagger(ANALOG_BOOK)
@@ -83,6 +84,15 @@ def q_failure_budget(spark, sf_dir):
     return _job(spark, sf_dir, budget=3, tagger=FAULTY)["tags"].select("batch_id", "id", "primary_tag")
 
 
+@register("budget_calls")
+def q_budget_calls(spark, sf_dir):
+    """Which batches are called at all when waves of 8 batches share a budget of three
+    failures (T5)."""
+    status = tg.tag_reviews(_input(spark, sf_dir), FAULTY, order_col="seq", budget=3, wave=8)["status"]
+    return status.select("batch_id", "n_rows", F.col("ok").isNotNull().alias("called"),
+                         F.coalesce("ok", F.lit(False)).alias("ok"), "after_stop")
+
+
 @register("attach_tags")
 def q_attach_tags(spark, sf_dir):
     """Every document review joined to its tag."""
@@ -106,9 +116,8 @@ def q_codebook_check(spark, sf_dir):
 
 @register("run_report")
 def q_run_report(spark, sf_dir):
-    """Rows loaded, batches, failures, tags kept, rows tagged."""
-    job = _job(spark, sf_dir, tagger=FAULTY)
-    return tg.run_report(_input(spark, sf_dir), job["status"], job["tags"], job["tagged"])
+    """Rows loaded, batches, failures, tags kept, rows tagged, counted as they pass."""
+    return tg.finish_run(_job(spark, sf_dir, tagger=FAULTY), scratch_path(spark, "run"))
 
 
 # --- SQL twins -------------------------------------------------------------------
@@ -195,6 +204,17 @@ failed AS (SELECT DISTINCT batch_id FROM judged WHERE raised OR babbled ORDER BY
 stop AS (SELECT CASE WHEN count(*) = 3 THEN max(batch_id) END AS at FROM failed)
 SELECT f.batch_id, f.id, f.primary_tag FROM faulty f, stop WHERE stop.at IS NULL OR f.batch_id < stop.at"""
 
+ORACLE["budget_calls"] = f"""
+WITH {FAULTY_TAGS},
+by_batch AS (SELECT batch_id, count(*) AS n_rows, NOT bool_or(raised OR babbled) AS ok FROM judged GROUP BY batch_id),
+failed AS (SELECT batch_id FROM by_batch WHERE NOT ok ORDER BY batch_id LIMIT 3),
+stop AS (SELECT CASE WHEN count(*) = 3 THEN max(batch_id) END AS at FROM failed)
+SELECT batch_id, CAST(n_rows AS BIGINT) AS n_rows,
+       stop.at IS NULL OR batch_id // 8 <= stop.at // 8 AS called,
+       ok AND (stop.at IS NULL OR batch_id // 8 <= stop.at // 8) AS ok,
+       coalesce(batch_id >= stop.at, FALSE) AS after_stop
+FROM by_batch, stop"""
+
 ORACLE["attach_tags"] = f"""
 WITH {INPUT}
 SELECT CAST(d.doc_id AS VARCHAR) AS reviewId, t.id, d.source, t.primary_tag

@@ -3,10 +3,10 @@ P7) and the live stream (S12), with their SQL twins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.functions.lists import parse_list
+from feedlens.functions.lists import parse_list, with_lists
 from feedlens.operators import rules
 from feedlens.operators import validation as val
 from feedlens.plans import analogues as an
@@ -91,9 +91,35 @@ def q_parse_list(spark, sf_dir):
     """Category lists written as Python literals in three styles, parsed back.
 
     Reviews of fully shipped orders (positive) use single quotes, open orders
-    (negative) JSON, partly shipped orders (mixed) a tuple of prefixed strings,
-    which only the Python tier reads.
+    (negative) JSON, partly shipped orders (mixed) a tuple of prefixed strings.
     """
+    parsed = _literals(spark, sf_dir).select("reviewId", parse_list("literal").alias("items"))
+    # The outer form avoids an inferred filter that would run the parser twice.
+    return (parsed.select("reviewId", F.posexplode_outer("items").alias("pos", "item"))
+            .filter(F.col("pos").isNotNull())
+            .select("reviewId", F.col("pos").cast("long").alias("pos"), "item"))
+
+
+@register("list_report")
+def q_list_report(spark, sf_dir):
+    """Mentions per category of lists as written, with the broken ones counted in the same
+    pass (P7, A5). Lists of orders whose number divides by 50 lack their closing bracket."""
+    t = _literals(spark, sf_dir)
+    order = F.substring_index("reviewId", "-", 1).cast("long")
+    cut = F.when(order % 50 == 0, F.substring("literal", F.lit(1), F.length("literal") - 1)).otherwise(F.col("literal"))
+    seen = Observation()
+    lists = with_lists(t.select(cut.alias("literal")), "literal", "items", strict=False, seen=seen)
+    path = scratch_path(spark, "list-report")
+    lists.select(F.explode_outer("items").alias("category")).where("category is not null") \
+        .groupBy("category").agg(F.count(F.lit(1)).alias("mentions")).write.parquet(path)
+    found = seen.get
+    counts = spark.read.schema("category string, mentions long").parquet(path)
+    return counts.unionByName(spark.createDataFrame(
+        [(f"({k})", found[k]) for k in ("lists", "bad_lists")], "category string, mentions long"))
+
+
+def _literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reviewId and literal: each review's categories as one of three list literals."""
     t = an.tagged(spark, sf_dir).select("reviewId", "sentiment", "categories_mentioned")
     c = F.col("categories_mentioned")
 
@@ -106,11 +132,7 @@ def q_parse_list(spark, sf_dir):
            .when(F.col("sentiment") == "negative",
                  F.concat(F.lit("["), quoted('"'), F.lit("]")))
            .otherwise(F.concat(F.lit("("), quoted("u'"), F.lit(",)"))))
-    parsed = t.select("reviewId", parse_list(lit).alias("items"))
-    # The outer form avoids an inferred filter that would run the parser twice.
-    return (parsed.select("reviewId", F.posexplode_outer("items").alias("pos", "item"))
-            .filter(F.col("pos").isNotNull())
-            .select("reviewId", F.col("pos").cast("long").alias("pos"), "item"))
+    return t.select("reviewId", lit.alias("literal"))
 
 
 @register("write_table")
@@ -143,6 +165,42 @@ def q_live_run(spark, sf_dir):
                       "sentiment", "run_id")
 
 
+KEEP_DAYS = 3
+
+
+@register("live_bounded")
+def q_live_bounded(spark, sf_dir):
+    """Three deliveries of store reviews, each tagged by a run that goes on from the last, with
+    ids kept for three days (S12). A review arrives as many days after it was written as its
+    number leaves modulo 5; every seventh arrives once more a day later. Those older than
+    three days on arrival go apart."""
+    day = F.lit(86_400).cast("long")
+    feed = an.play_export(spark, sf_dir).select("reviewId", "content", F.col("at").cast("timestamp").alias("at"), "seq")
+
+    def after(days: F.Column) -> F.Column:
+        return F.timestamp_seconds(F.unix_micros("at").cast("decimal(20,0)") / 1_000_000 + days * day)
+
+    feed = feed.withColumn("arrived", after(F.col("seq") % 5))
+    feed = feed.union(feed.where("seq % 7 = 0").withColumn("arrived", after(F.col("seq") % 5 + 1)))
+    feed = feed.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    ends = feed.agg(F.min(F.unix_micros("arrived")).alias("lo"), F.max(F.unix_micros("arrived")).alias("hi")).first()
+    lo, third = ends["lo"] or 0, ((ends["hi"] or 0) - (ends["lo"] or 0)) // 3 + 1
+    part = F.floor((F.unix_micros("arrived") - F.lit(lo)) / third)
+    landing, out, ckpt = (scratch_path(spark, f"bounded-{k}") for k in ("in", "out", "ckpt"))
+    for k in range(3):
+        live.land_feed(feed.where(part == k), f"{landing}/delivery={k}", rows_per_file=25_000)
+        stream = live.feed_stream(spark, f"{landing}/*", keep_seconds=KEEP_DAYS * 86_400, arrived=True)
+        q = live.start_live_run(stream, TAGGER, out, ckpt, run_id="live")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+        if live.state_figures(q)["dropped"]:
+            raise RuntimeError("rows were dropped by the watermark")
+    tagged = live.read_live(spark, out).select(F.col("id").alias("reviewId"), F.lit(False).alias("late"), "primary_tag")
+    late = live.read_late(spark, out).select("reviewId", "late", F.lit(None).cast("string").alias("primary_tag"))
+    return tagged.unionByName(late)
+
+
 # --- SQL twins -------------------------------------------------------------------
 
 DOCS_TAGGED = f"""
@@ -208,6 +266,20 @@ ORACLE["parse_list"] = f"""
 WITH {TAGGED_ROWS}, {MENTIONS}
 SELECT reviewId, pos, category_raw AS item FROM mentions"""
 
+ORACLE["list_report"] = f"""
+WITH {TAGGED_ROWS}, {MENTIONS},
+cut AS (SELECT *, CAST(split_part(reviewId, '-', 1) AS BIGINT) % 50 = 0 AS bad FROM mentions)
+SELECT category_raw AS category, CAST(count(*) AS BIGINT) AS mentions FROM cut WHERE NOT bad GROUP BY category_raw
+UNION ALL SELECT '(lists)', CAST(count(*) AS BIGINT) FROM tagged
+UNION ALL SELECT '(bad_lists)', CAST(count(*) AS BIGINT) FROM tagged WHERE CAST(split_part(reviewId, '-', 1) AS BIGINT) % 50 = 0"""
+
+ORACLE["live_bounded"] = f"""
+SELECT reviewId, event_id % 5 > {KEEP_DAYS} AS late,
+       CASE WHEN event_id % 5 <= {KEEP_DAYS} THEN primary_tag END AS primary_tag FROM (
+  SELECT CAST(e.event_id AS VARCHAR) AS reviewId, e.event_id, {rule_tag_sql('d.text')}
+  FROM events e JOIN documents d ON e.user_id = d.doc_id
+  WHERE {subst('d.text')})"""
+
 ORACLE["write_table"] = f"""
 WITH {TAGGED_ROWS}
 SELECT reviewId, primary_tag, source, content, p_name || '|' || noun AS categories FROM tagged"""

@@ -16,6 +16,9 @@ REVIEWS = T.StructType([
     T.StructField("thread", T.StringType(), True),
 ])
 
+# R1 as landed: with its place in its source's input, where that is known.
+LANDED = T.StructType([*[T.StructField(f.name, f.dataType) for f in REVIEWS.fields], T.StructField("seq", T.LongType())])
+
 # R2: one element of the classifier's reply array. The short reply variant
 # has no secondary_tag / explored_new; from_json reads those as null.
 TAG = T.StructType([

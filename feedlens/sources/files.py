@@ -6,7 +6,9 @@ Parquet once (``import_reviews_csv``) and every later job reads Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +80,9 @@ def import_reviews_csv(spark: SparkSession, path: str, out: str,
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: str | list[str] | None = "source") -> None:
-    """Overwrite a table (S11). Parquet by default, partitioned by source so
-    source filters prune files; ``fmt='csv'`` writes a header and quotes."""
+    """Overwrite a whole table (S11), earlier sources included; ``land_table`` replaces only
+    those written. Parquet by default, partitioned by source so source filters prune
+    files; ``fmt='csv'`` writes a header and quotes."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
@@ -90,6 +93,44 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         w.format(fmt).save(path)
 
 
+def landed_rows(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of R1, typed alike for every source and null where it has none,
+    and ``seq``, its input order; other columns follow as they are."""
+    def typed(f: T.StructField) -> F.Column:
+        c = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+        return c.cast(f.dataType).alias(f.name)
+
+    known = {f.name for f in schemas.LANDED.fields}
+    return df.select(*[typed(f) for f in schemas.LANDED.fields],
+                     *[F.col(f"`{c}`") for c in df.columns if c not in known])
+
+
+def land_table(df: DataFrame, path: str, sources: Sequence[str] = ()) -> None:
+    """Land R1 rows in a table that several sources share.
+
+    The table is partitioned by ``source`` and only the sources in ``df`` are replaced, so
+    landing one source leaves the others as they are and landing it again replaces its
+    earlier rows. ``sources`` names those this landing owns: one without rows any more is
+    emptied. Files are staged and moved when the whole write has succeeded.
+    """
+    seen = Observation()
+    rows = landed_rows(df)
+    if sources:
+        rows = rows.observe(seen, *[F.count_if(F.col("source") == s).alias(f"n{k}") for k, s in enumerate(sources)])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    gone = [s for k, s in enumerate(sources) if not seen.get[f"n{k}"]]
+    jvm = df.sparkSession._jvm
+    for s in gone:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(s)
+        at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={name}")
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """All sources landed in ``path``: the columns of R1 and ``seq``."""
+    return spark.read.schema(schemas.LANDED).parquet(path).select(schemas.LANDED.fieldNames())
+
+
 def read_text_dumps(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per text file: (file, value).
 

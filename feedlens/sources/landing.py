@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
 from feedlens.functions.text import substantive, trim_u
-from feedlens.operators.ordering import row_index
+from feedlens.operators.ordering import POSITION, row_index, running_total
 
 R1_COLS = ["reviewId", "content", "score", "thumbsUpCount", "at", "source", "thread"]
 
@@ -116,15 +116,46 @@ def newest_reviews(df: DataFrame, n: int, at_col: str = "at",
 def union_sources(dfs: list[DataFrame]) -> DataFrame:
     """Stack sources in order (S10); columns missing from one source become null.
 
-    ``source_no`` and ``position`` carry the stack order: the source's place in the
-    list, and the row's ``seq`` there, or else its place in the scan. Neither is null
-    (a null ``seq`` stands before all others), so sources with and without a ``seq``
-    keep their order among each other.
+    ``source_no`` and ``position`` carry the stack order: the table's place in the list,
+    and within it the order of ``seq`` (by source, where one table holds several), or else
+    of ``position``, the place in its files (``file_position``), or else of the scan.
+    Neither is null: a null ``seq`` stands before all others.
     """
     def placed(k: int, df: DataFrame) -> DataFrame:
-        seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))) if "seq" in df.columns \
-            else F.monotonically_increasing_id()
-        return df.withColumn("source_no", F.lit(k)).withColumn("position", seq)
+        none = F.lit(None)
+        seq = F.col("seq").cast("long") if "seq" in df.columns else none.cast("long")
+        of = F.col("source").cast("string") if "source" in df.columns else none.cast("string")
+        scan = F.lit(0).cast("long") if "seq" in df.columns else F.monotonically_increasing_id()
+        place = F.col("position") if "position" in df.columns else F.struct(
+            F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), scan.alias("row")).cast(POSITION)
+        return df.withColumn("source_no", F.lit(k)).withColumn("position", F.struct(
+            F.coalesce(F.when(seq.isNotNull(), of), F.lit("")).alias("source"),
+            F.coalesce(seq, F.lit(-(1 << 63))).alias("seq"), place.alias("place")))
 
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                   [placed(k, df) for k, df in enumerate(dfs)])
+
+
+def pull_pages(feed: DataFrame, order_cols: tuple[str, ...] = ("seq",), page_rows: int = 200,
+               target: int = 3_000, page_col: str | None = None) -> DataFrame:
+    """The rows a paged pull keeps (X4): whole pages, up to and with the first page that
+    brings the rows pulled to ``target``, or up to an empty page.
+
+    Pages are ``page_rows`` rows in feed order, or the values of ``page_col`` (numbered from
+    0; a number without rows is an empty page). The page where the pull stops is where the
+    running total of page sizes first crosses the target. Each page before it has rows, so it
+    is among the ``target`` first: only their sizes are added up, and one number reaches the
+    driver.
+    """
+    if page_col is None:
+        pages = row_index(feed, order_cols, "_place").withColumn("_page", F.floor(F.col("_place") / page_rows)).drop("_place")
+    else:
+        pages = feed.withColumn("_page", F.col(page_col).cast("long"))
+    sizes = pages.where(F.col("_page").between(0, target - 1)).groupBy("_page").agg(F.count(F.lit(1)).alias("rows"))
+    at = running_total(row_index(sizes, "_page", "_nth"), "_page", "rows")
+    stop = at.where((F.col("total") >= target) | (F.col("_nth") < F.col("_page"))).agg(
+        F.min(F.when(F.col("_nth") < F.col("_page"), F.col("_nth")).otherwise(F.col("_page") + 1)).alias("at")).first()["at"]
+    kept = pages.where(F.col("_page") >= 0)
+    if stop is None:                                   # the feed ends first, if no page is missing
+        stop = target
+    return kept.where(F.col("_page") < stop).drop("_page")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from feedlens import codebook as cb
 from feedlens.functions.text import not_deleted, substantive, trim_u
-from feedlens.operators.ordering import dedup_keep_first
+from feedlens.operators.ordering import dedup_keep_first, running_total
 
 NODES = ("thread string, ok boolean, role string, kind string, path array<int>, depth long, "
          "id string, title string, body string, ups long, created double")
@@ -222,7 +222,8 @@ def land_threads(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> Data
 
 def thread_report(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> DataFrame:
     """Per thread: did it parse, posts kept, comments kept, rows kept (A12), in one
-    aggregate over the nodes.
+    aggregate over the nodes, and ``rows_total``, the rows kept so far in the order of the
+    threads' names.
 
     Counts are exact: a post that is too short adds nothing (the reference
     adds one regardless).
@@ -232,8 +233,9 @@ def thread_report(parsed: DataFrame, min_len: int = cb.MIN_CONTENT_CHARS) -> Dat
     long = F.coalesce(substantive("content", min_len), F.lit(False))
     post = (F.col("role") == "post") & long
     comment = (F.col("role") == "comment") & (F.col("kind") == "t1") & long & not_deleted("content")
-    return nodes.groupBy("thread").agg(
+    report = nodes.groupBy("thread").agg(
         F.bool_and("ok").alias("ok"),
         F.count_if(post).cast("long").alias("posts_kept"),
         F.count_if(comment).cast("long").alias("comments_kept"),
         F.count_if(post | comment).cast("long").alias("rows_kept"))
+    return running_total(report, "thread", "rows_kept", "rows_total")

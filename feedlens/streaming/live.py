@@ -15,6 +15,13 @@ is late. The state is then one id per review, held in the state store and its
 checkpoint; ``watermark`` bounds it for feeds that come in time order, where
 later rows are dropped.
 
+``keep_seconds`` bounds it for any feed, and stays exact. Ids are kept by the time
+they arrived, for so long at least, in a RocksDB state store. A review cannot arrive
+before it is written, so a review that is no older than that on arrival has every
+earlier landing still in the state: whether it is a repeat is certain. A review that
+is older (or has no time) could repeat one that is forgotten: it is late, and is
+written apart and counted instead of tagged. Nothing is dropped by a watermark.
+
 The stream carries its own text: no micro-batch joins back to a large static
 table.
 """
@@ -28,6 +35,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlens.functions.text import substantive
 from feedlens.operators import tagging as tg
+from feedlens.session import path_exists
 
 LANDED = T.StructType([
     T.StructField("reviewId", T.StringType()),
@@ -37,12 +45,19 @@ LANDED = T.StructType([
 ])
 
 
+# With the time of arrival, where the collector notes it.
+ARRIVED = T.StructType([*LANDED.fields, T.StructField("arrived", T.TimestampType())])
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def land_feed(feed: DataFrame, landing_dir: str, rows_per_file: int = 100_000,
               files: int | None = None) -> str:
-    """Write feed rows (reviewId, content, at, seq) as Parquet files of at most
-    ``rows_per_file`` rows, the way a collector drops new reviews into the landing folder;
-    ``files`` deals small feeds to so many writers first."""
-    feed = feed.select(*[f.name for f in LANDED.fields])
+    """Write feed rows (reviewId, content, at, seq, and arrived if it is there) as Parquet
+    files of at most ``rows_per_file`` rows, the way a collector drops new reviews into the
+    landing folder; ``files`` deals small feeds to so many writers first."""
+    feed = feed.select(*[f.name for f in ARRIVED.fields if f.name in feed.columns])
     if files is not None:
         feed = feed.repartition(files)
     feed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(landing_dir)
@@ -50,12 +65,24 @@ def land_feed(feed: DataFrame, landing_dir: str, rows_per_file: int = 100_000,
 
 
 def feed_stream(spark: SparkSession, landing_dir: str, watermark: str | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """Streaming reviews from landed files: one row per ``reviewId``, substantive text only."""
-    reader = spark.readStream.schema(LANDED)
+                max_files: int | None = None, keep_seconds: int | None = None,
+                arrived: bool = False) -> DataFrame:
+    """Streaming reviews from landed files: one row per ``reviewId``, substantive text only.
+
+    ``keep_seconds`` keeps ids for so long after they arrived and adds ``late``. The time of
+    arrival is the file's column ``arrived`` if ``arrived`` says so (files then have to land in
+    its order), else the time of the micro-batch.
+    """
+    reader = spark.readStream.schema(ARRIVED if arrived else LANDED)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     s = reader.parquet(landing_dir).filter(substantive("content"))
+    if keep_seconds is not None:
+        if not arrived:
+            s = s.withColumn("arrived", F.current_timestamp())
+        age = F.unix_micros("arrived") - F.unix_micros(F.col("at").cast("timestamp"))
+        s = s.withColumn("late", F.coalesce(age > keep_seconds * 1_000_000, F.lit(True)))
+        return s.withWatermark("arrived", f"{keep_seconds} seconds").dropDuplicatesWithinWatermark(["reviewId"])
     if watermark is None:
         return s.dropDuplicates(["reviewId"])
     return (s.withColumn("_event_time", F.col("at").cast("timestamp"))
@@ -71,8 +98,9 @@ def tag_view(tags: DataFrame) -> DataFrame:
 def start_live_run(stream: DataFrame, tagger, out_dir: str, checkpoint_dir: str,
                    run_id: str, available_now: bool = True) -> StreamingQuery:
     """Tag every micro-batch; tags under ``out_dir``, batch status and raw replies beside
-    it under ``<out_dir>_batches`` and ``<out_dir>_replies``."""
-    base = out_dir.rstrip("/")
+    it under ``<out_dir>_batches`` and ``<out_dir>_replies``. A stream with a column ``late``
+    is written under ``<out_dir>_landed`` first, by that column, and its late rows stay there."""
+    base, bounded = out_dir.rstrip("/"), "late" in stream.columns
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         spark, part = batch.sparkSession, f"run_id={run_id}/epoch={epoch}"
@@ -80,6 +108,12 @@ def start_live_run(stream: DataFrame, tagger, out_dir: str, checkpoint_dir: str,
         if _finished(spark, replies):
             # The stream's state has to move past the rows, though no call is repeated.
             batch.write.format("noop").mode("overwrite").save()
+        elif bounded:
+            # The batch is read once: its state must not be worked out twice.
+            landed = f"{base}_landed/{part}"
+            batch.write.mode("overwrite").partitionBy("late").parquet(landed)
+            on_time = spark.read.schema(batch.schema).parquet(landed).where(~F.col("late"))
+            tg.tag_in_place(on_time, tagger).write.mode("overwrite").parquet(replies)
         else:
             tg.tag_in_place(batch, tagger).write.mode("overwrite").parquet(replies)
         status, tags = tg.parse_replies(spark.read.schema(tg.schemas.BATCH_RESULT).parquet(replies))
@@ -88,13 +122,28 @@ def start_live_run(stream: DataFrame, tagger, out_dir: str, checkpoint_dir: str,
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    if bounded:
+        conf.set(_PROVIDER, ROCKSDB)
+    try:
+        return w.start()
+    finally:
+        conf.set(_PROVIDER, before)
+
+
+def state_figures(query: StreamingQuery) -> dict[str, int]:
+    """What a run's dedup state held last, and the rows a watermark has dropped (none, with
+    ``keep_seconds``): ids, bytes, dropped. Only the query's own progress reports are read."""
+    reports = [op for p in query.recentProgress for op in p["stateOperators"]]
+    last = reports[-1] if reports else {}
+    return {"ids": last.get("numRowsTotal", 0), "bytes": last.get("memoryUsedBytes", 0),
+            "dropped": sum(op.get("numRowsDroppedByWatermark", 0) for op in reports)}
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` was committed (its marker file is there)."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def read_live(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -105,3 +154,10 @@ def read_live(spark: SparkSession, out_dir: str) -> DataFrame:
 def read_live_batches(spark: SparkSession, out_dir: str) -> DataFrame:
     """Status of every batch of all runs, with ``run_id`` and ``epoch``."""
     return spark.read.parquet(f"{out_dir.rstrip('/')}_batches")
+
+
+def read_late(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Late reviews of all runs with ``keep_seconds``, with ``run_id`` and ``epoch``."""
+    schema = T.StructType([*ARRIVED.fields, T.StructField("late", T.BooleanType()),
+                           T.StructField("run_id", T.StringType()), T.StructField("epoch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{out_dir.rstrip('/')}_landed").where("late")
