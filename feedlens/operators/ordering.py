@@ -55,7 +55,7 @@ def input_seq(df: DataFrame, col: str = "seq") -> DataFrame:
     return row_index(file_position(df, "_position"), "_position", col).drop("_position")
 
 
-def _ranged(df: DataFrame, order_col: str | Sequence[str], buckets: int | None) -> tuple[DataFrame, int]:
+def ranges(df: DataFrame, order_col: str | Sequence[str], buckets: int | None = None) -> tuple[DataFrame, int]:
     """``df`` in sorted ranges, written with ``_m``, the place in its range below the range's
     number, and ``_b``, that number; and how many ranges there are at most."""
     spark = df.sparkSession
@@ -77,14 +77,17 @@ def row_index(df: DataFrame, order_col: str | Sequence[str], idx_col: str = "idx
     their place in their range; the ranges' sizes, one row per range, turn the places
     into positions. Texts move once, and no window or range holds more than its share.
     """
-    rows, n = _ranged(df, order_col, buckets)
+    return numbered(*ranges(df, order_col, buckets), idx_col).drop("_m", "_b")
+
+
+def numbered(rows: DataFrame, n: int, idx_col: str) -> DataFrame:
+    """``ranges`` with the position of each row over all ranges."""
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bounded_broadcast(sizes.select(
         "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), n)
     return (rows.join(offsets, "_b", "inner")
-            .withColumn(idx_col, F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1))
-            .drop("_m", "_b", "_off"))
+            .withColumn(idx_col, F.col("_off") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_off"))
 
 
 def running_total(df: DataFrame, order_col: str | Sequence[str], value_col: str, total_col: str = "total",
@@ -95,7 +98,7 @@ def running_total(df: DataFrame, order_col: str | Sequence[str], value_col: str,
     Sums run within sorted ranges, one window each; the ranges' own sums, one row per
     range, carry the total from one range to the next.
     """
-    rows, n = _ranged(df, order_col, buckets)
+    rows, n = ranges(df, order_col, buckets)
     value = F.coalesce(F.col(value_col), F.lit(0))
     sums = rows.groupBy("_b").agg(F.sum(value).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -179,10 +179,15 @@ def _thread_url(conv_id):
                     conv_id.cast("string"), F.lit("/"))
 
 
+def thread_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thread of every conversation."""
+    return table(spark, sf_dir, "conversations").select(_thread_url(F.col("conv_id")).alias("thread")).distinct()
+
+
 def thread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 analogue: one thread document (thread URL, JSON text) per conversation.
 
-    The nested reply chain of a conversation is folded into one JSON text; a
+    The nested reply chain of a conversation is one JSON text, as long as its turns; a
     thread document is one record of the source format, like a fetched page.
     """
     cv = table(spark, sf_dir, "conversations")
@@ -208,15 +213,15 @@ def thread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("post").alias("post"),
         F.array_sort(F.collect_list("node")).alias("nodes"))
 
-    def fold(acc, x):
-        replies = F.when(acc == F.lit(""), F.lit('""')).otherwise(
-            F.concat(F.lit('{"kind":"Listing","data":{"children":['), acc, F.lit("]}}")))
-        # The node's data object, reopened to append its replies.
-        data_open = F.substring(x["dj"], F.lit(1), F.length(x["dj"]) - 1)
-        return F.concat(F.lit('{"kind":"t1","data":'), data_open,
-                        F.lit(',"replies":'), replies, F.lit("}}"))
+    # Each node opens before and closes after all its replies, so a chain is the openings,
+    # one after the other, and as many closings: its text is put together once.
+    def opening(x):
+        return F.concat(F.lit('{"kind":"t1","data":'), F.substring(x["dj"], F.lit(1), F.length(x["dj"]) - 1),
+                        F.lit(',"replies":'))
 
-    chain = F.aggregate(F.reverse(F.col("nodes")), F.lit(""), fold)
+    chain = F.when(F.size("nodes") == 0, F.lit("")).otherwise(F.concat(
+        F.array_join(F.transform("nodes", opening), '{"kind":"Listing","data":{"children":['),
+        F.lit('""}}'), F.expr("repeat(']}}}}', size(nodes) - 1)")))
     post_children = F.coalesce(F.concat(F.lit('{"kind":"t3","data":'), F.col("post"), F.lit("}")),
                                F.lit(""))
     doc = F.concat(F.lit('[{"kind":"Listing","data":{"children":['), post_children,
@@ -245,3 +250,14 @@ def write_conversation_dumps(spark: SparkSession, sf_dir: str, path: str) -> str
      .select("thread", "value")
      .write.mode("overwrite").partitionBy("thread").text(path))
     return path
+
+
+def write_large_dumps(spark: SparkSession, sf_dir: str, path: str, files: int = 4) -> str:
+    """A few large page dumps: conversation after conversation in file number ``conv_id %
+    files``, each turn followed by a blank line."""
+    cv = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("dump"), (F.col("conv_id") % files).cast("string"), F.lit(".txt"))
+    lines = cv.select(name.alias("thread"), "conv_id", "turn", F.concat(F.col("text"), F.lit("\n")).alias("value"))
+    (lines.repartition(files, "thread").sortWithinPartitions("thread", "conv_id", "turn")
+     .select("thread", "value").write.mode("overwrite").partitionBy("thread").text(path))
+    return path

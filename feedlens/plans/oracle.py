@@ -365,6 +365,14 @@ ORACLE["chunk_text"] = f"""
 WITH {DUMPS}, {CHUNKS}
 SELECT file, idx, reviewId, content FROM chunks"""
 
+ORACLE["chunk_large"] = f"""
+WITH dumps AS (
+  SELECT 'dump' || CAST(conv_id % 4 AS VARCHAR) || '.txt' AS file,
+         string_agg(text || chr(10) || chr(10), '' ORDER BY conv_id, turn) AS value
+  FROM conversations GROUP BY conv_id % 4
+), {CHUNKS}
+SELECT file, idx, reviewId, content FROM chunks WHERE content <> ''"""
+
 ORACLE["chunk_clean"] = f"""
 WITH {DUMPS}, {CHUNKS}, {CLEAN}
 SELECT file, idx, reviewId, content FROM clean"""

@@ -293,6 +293,13 @@ def q_chunk_text(spark, sf_dir):
     return files.chunk_text(_dumps(spark, sf_dir)).select("file", "idx", "reviewId", "content")
 
 
+@register("chunk_large")
+def q_chunk_large(spark, sf_dir):
+    """Chunks of large dumps, each file read by as many tasks as it has splits."""
+    path = an.write_large_dumps(spark, sf_dir, scratch_path(spark, "large-dumps"))
+    return files.chunk_large_dumps(spark, path).select("file", "idx", "reviewId", "content")
+
+
 @register("chunk_clean")
 def q_chunk_clean(spark, sf_dir):
     """Chunks kept by the length floor and the UI-debris rule."""
@@ -334,7 +341,7 @@ def q_thread_report(spark, sf_dir):
 @register("thread_slug")
 def q_thread_slug(spark, sf_dir):
     """Short thread names from URLs."""
-    return an.thread_docs(spark, sf_dir).select("thread", thread_slug("thread").alias("slug"))
+    return an.thread_urls(spark, sf_dir).select("thread", thread_slug("thread").alias("slug"))
 
 
 @register("thread_reviews")

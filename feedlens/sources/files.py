@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens import schemas
 from feedlens.functions.lists import parse_list
 from feedlens.functions.text import trim_u
+from feedlens.operators.common import bounded_broadcast
 from feedlens.operators.filters import drop_ui_debris, min_chunk
-from feedlens.operators.ordering import dedup_keep_first
+from feedlens.operators.ordering import dedup_keep_first, file_position, numbered, ranges
 from feedlens.sources.threads import epoch_to_ts
 
 # Fixed value: the tokens pandas' CSV reader reads as missing.
@@ -160,6 +161,47 @@ def chunk_text(dumps: DataFrame, file_col: str = "file", text_col: str = "value"
     )
 
 
+def chunk_large_dumps(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """``chunk_text`` for dumps of any size: the files are read line by line, in as many
+    splits as Spark gives them, and no file is put together anywhere (S6, P1).
+
+    (file, idx, reviewId, content), with the numbers that a split of the whole text on
+    ``\n\n`` gives. Chunks without text are counted but not returned.
+
+    Two lines with text that stand k line ends apart are floor(k / 2) chunks apart, so a
+    chunk's number is a running sum over the lines with text. Lines are ranged and numbered
+    as in ``row_index``; a line's predecessor with text is in its range, or the last of the
+    ranges before, of which there is one row each.
+    """
+    raw = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    name = F.col("thread").cast("string") if "thread" in raw.columns else F.col("_metadata.file_name")
+    lines = file_position(raw.select(name.alias("file"), "value"), "at")
+    ranged, n = ranges(lines.withColumn("path", F.col("at.file")), "at")
+    ranged = numbered(ranged, n, "g")
+    full = F.when(F.col("value") != "", F.struct("g", "path"))
+    every, upto = Window.orderBy("_b"), Window.unboundedPreceding
+    lasts = ranged.groupBy("_b").agg(F.max(full).alias("last"))
+    carry = bounded_broadcast(lasts.select("_b", F.last("last", ignorenulls=True).over(
+        every.rowsBetween(upto, -1)).alias("carry")), n)
+    inside = Window.partitionBy("_b").orderBy("_m")
+    found = ranged.withColumn("prev", F.last(full, ignorenulls=True).over(inside.rowsBetween(upto, -1))) \
+        .join(carry, "_b").where(F.col("value") != "").withColumn("prev", F.coalesce("prev", "carry")).drop("carry")
+    step = F.when(F.col("prev.path") == F.col("path"), F.floor((F.col("g") - F.col("prev.g")) / 2)).otherwise(F.lit(0))
+    found = found.withColumn("step", step.cast("long")).withColumn("in", F.sum("step").over(inside.rowsBetween(upto, 0)))
+    sums = found.groupBy("_b").agg(F.sum("step").alias("n"))
+    before = bounded_broadcast(sums.select("_b", F.coalesce(F.sum("n").over(
+        every.rowsBetween(upto, -1)), F.lit(0)).alias("before")), n)
+    placed = found.join(before, "_b").select("file", "path", "g", "value", (F.col("in") + F.col("before")).alias("d"))
+    starts = ranged.groupBy("path").agg(F.min("g").alias("start"))
+    firsts = placed.groupBy("path").agg(F.min(F.struct("g", "d")).alias("first")).join(starts, "path") \
+        .select("path", (F.floor((F.col("first.g") - F.col("start")) / 2) - F.col("first.d")).cast("long").alias("shift"))
+    chunks = placed.join(firsts, "path").withColumn("idx", F.col("d") + F.col("shift")) \
+        .groupBy("file", "path", "idx").agg(F.array_sort(F.collect_list(F.struct("g", "value"))).alias("lines"))
+    content = trim_u(F.array_join(F.col("lines.value"), "\n"))
+    return chunks.select("file", "idx", F.concat(F.col("file"), F.lit("_"), F.col("idx").cast("string")).alias("reviewId"),
+                         content.alias("content")).where(F.col("content") != "")
+
+
 def clean_chunks(chunks: DataFrame) -> DataFrame:
     """Keep chunks of 25+ characters that are not short UI debris."""
     return drop_ui_debris(min_chunk(chunks))

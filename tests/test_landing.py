@@ -264,3 +264,27 @@ def test_live_state_is_bounded_and_exact(spark, tmp_dir):
     assert all(x in want_late or x.endswith("_1") for x in late)
     assert 20 <= largest <= 75 < len(seen_ids)          # two days, and the delivery at hand, of 228 ids
     assert spark.conf.get(live._PROVIDER) == provider
+
+
+# ---------------------------------------------------------------- large dumps
+
+@pytest.mark.parametrize("size", ["1g", "64"])
+def test_large_dumps_are_read_in_splits(spark, tmp_dir, size):
+    """The numbers and texts of chunk_text, whatever the runs of line ends and the splits."""
+    rnd = random.Random(8)
+    texts = ["", "\n", "\n\n\n", "one", "one\n", "one\n\n", "\n\none", "\none\n\n\ntwo\n\n\n\n\nthree \n  \n four\r\n\r\nfive"]
+    texts += ["".join(rnd.choice(["a b", "x", "\n", "\n\n", " ", "é\n"]) for _ in range(rnd.randrange(300))) for _ in range(6)]
+    os.makedirs(os.path.join(tmp_dir, "dumps"))
+    for k, t in enumerate(texts):
+        with open(os.path.join(tmp_dir, "dumps", f"page{k}.txt"), "w", newline="") as f:
+            f.write(t)
+    whole = files.chunk_text(files.read_text_dumps(spark, os.path.join(tmp_dir, "dumps"))).where("content <> ''")
+    want = sorted((r.file, r.idx, r.reviewId, r.content) for r in whole.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = files.chunk_large_dumps(spark, os.path.join(tmp_dir, "dumps"))
+        assert sorted((r.file, r.idx, r.reviewId, r.content) for r in got.collect()) == want and len(want) > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
