@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: the one with the smallest doc_id. Of
     rows that repeat a doc_id and its text one stays, rows that repeat a doc_id with
     another text are documents of their own; rows without a doc_id all stay."""
-    twice = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    twice = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
                         .select(F.col("doc_id").alias("_twice")), "ids-twice")
     if not twice.isEmpty():
         return _drop_by_row(docs, twice)
@@ -44,21 +44,32 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     if gone.count() <= jaccard.MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return _spread(_held(docs).join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti"), docs.columns)
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """All columns in one struct, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _spread(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
 def _drop_by_row(docs: DataFrame, twice: DataFrame) -> DataFrame:
     """``drop_near_copies`` where the ids in ``twice`` repeat: rows are numbered and compared."""
-    rows = materialise(docs.withColumn("_no", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
-    found = jaccard.similar_documents(rows.select(F.col("_no").alias("doc_id"), "text")).where("doc_id is not null") \
-        .select(F.col("doc_id").alias("_at"), "component_id")
-    stay = found.join(rows.select("_no", "doc_id"), F.col("_at") == F.col("_no")).groupBy("component_id") \
-        .agg(F.min(F.struct("doc_id", "_no")).alias("first")).select(F.col("first._no").alias("_stay"))
+    doc_id, text = F.col("_row.doc_id"), F.col("_row.text")
+    rows = materialise(_held(docs).withColumn("_no", F.when(doc_id.isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = jaccard.similar_documents(rows.select(F.col("_no").alias("doc_id"), text.alias("text"))) \
+        .where("doc_id is not null").select(F.col("doc_id").alias("_at"), "component_id")
+    stay = found.join(rows.select("_no", doc_id.alias("_id")), F.col("_at") == F.col("_no")).groupBy("component_id") \
+        .agg(F.min(F.struct("_id", "_no")).alias("first")).select(F.col("first._no").alias("_stay"))
     kept = rows.join(stay, F.col("_no") == F.col("_stay"), "left_semi")
     # Texts without shingles are near to nothing, their own copies included.
-    alike = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(alike) \
-        .unionByName(rows.where("doc_id is null")).drop("_no")
+    alike = kept.join(twice, doc_id == F.col("_twice"), "left_semi") \
+        .withColumn("_id", doc_id).withColumn("_text", text).dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+    return _spread(kept.join(twice, doc_id == F.col("_twice"), "left_anti").unionByName(alike)
+                   .unionByName(rows.where(doc_id.isNull())), docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
