@@ -14,8 +14,9 @@ copies the tag names or the attribute words are hidden, so that it also learns f
 is left: words, shape and neighbours.
 
 Defined cases: null or empty html has no text; a page without any block has no text;
-repeated rows are extracted each; an empty table gives an empty result; text that is not
-valid HTML is read as browsers' tokenizers do.
+repeated rows are extracted each; an empty table gives an empty result; malformed markup
+never ends the job: a marked section is a comment up to the next ``>``, unclosed elements
+end with the page; pages of any length are labelled whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ HIDDEN = 16
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol
 option p pre search section select summary table tbody td textarea tfoot th thead title tr ul""".split())
-SILENT = frozenset("script style template head title noscript iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style template head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html head title caption tbody td tfoot th thead tr li dd dt option".split())
 # Words of tag names and attributes that mark what is not the article (fixed for the rules).
@@ -115,6 +116,10 @@ class _Leaves(HTMLParser):
                 self._pop(k)
                 return
 
+    def parse_html_declaration(self, i: int) -> int:
+        # A marked section is no HTML; the library's own reading of it can fail.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
@@ -273,20 +278,25 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 12, bat
     return net
 
 
-def train(pages: DataFrame, sample: int = 600, longest: int = 400) -> Labeller:
+def train(pages: DataFrame, sample: int = 600, longest: int = 400, chars: int = 200_000) -> Labeller:
     """The labeller fitted on at most ``sample`` pages, those whose page_id and url hash
-    lowest among the pages of at most ``longest`` blocks."""
+    lowest, each by its first ``chars`` characters, in pieces of ``longest`` blocks. So the
+    driver reads at most ``sample * chars`` characters, and long pages are learnt from too."""
     place = F.xxhash64("page_id", "url")
     # The places alone are ordered and cut; the pages of the chosen ones are fetched after.
     last = pages.where("html <> ''").select(place.alias("at")).distinct().orderBy("at").limit(sample) \
         .agg(F.max("at").alias("at")).first()["at"]
     few = [] if last is None else pages.where("html <> ''").where(place <= last) \
-        .select(place.alias("at"), F.col("html").cast("string").alias("html")) \
+        .select(place.alias("at"), F.substring(F.col("html").cast("string"), 1, chars).alias("html")) \
         .groupBy("at").agg(F.min("html").alias("html")).orderBy("at").collect()
-    read = [b for b in (blocks_of(r["html"]) for r in few) if 0 < len(b) <= longest]
-    if not read:
-        return Labeller()
-    return fit([features(b) for b in read], [by_rule(b) for b in read])
+    x, y = [], []
+    for r in few:
+        blocks = blocks_of(r["html"])
+        label = by_rule(blocks)
+        for k in range(0, len(blocks), longest):
+            x.append(features(blocks[k:k + longest]))
+            y.append(label[k:k + longest])
+    return fit(x, y) if x else Labeller()
 
 
 def _texts(net: Labeller, pages: list[list[Block]], cells: int = 24_000) -> list[str]:

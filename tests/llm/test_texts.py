@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
@@ -47,7 +48,34 @@ def test_empty_pages(pages):
 def test_blocks():
     texts = [b.text for b in html.blocks_of("<head><title>a</title><body>x &amp; y<br>z<p>w<p><b>v</b>u<ul><li>1<li>2</ul>"
                                             "<noscript>n</noscript><!-- c --><table><tr><td>3<td>4</table>&#x41;&nbsp;b")]
-    assert texts == ["x & y z", "w", "vu", "1", "2", "3", "4", "A b"]
+    assert texts == ["x & y z", "w", "vu", "1", "2", "n", "3", "4", "A b"]
+
+
+def test_malformed_pages_do_not_end_the_job(pages):
+    def read(markup):
+        return [b.text for b in html.blocks_of(markup)]
+
+    assert read("<p>a<![foo]>b") == ["ab"] and read("a<![CDATA[q > r]]>b<!x>c<?php d?>e</ f>g") == ["a r]]>bceg"]
+    assert read("<p>see <math><mi>x</mi></math> and <noscript>no script</noscript> end") == ["see x and", "no script", "end"]
+    assert read("<p>x<iframe src=a>y<object>z<p>w") == ["xyz", "w"] and read("<![ x <p>y")[-1].endswith("y")
+    rnd = random.Random(1)
+    parts = ["<", "!", "[", "]", ">", "--", "<!", "<![", "CDATA", "a", "/", "<p>", "</p>", '"', "=", "&", "&#x", "&#99999999999;",
+             "<script>", "</script>", "<title>", "<svg>", "\0", "<a href=", "?", "<?", " "]
+    for _ in range(5_000):
+        read("".join(rnd.choice(parts) for _ in range(rnd.randrange(14))))
+
+
+def test_long_pages_are_learnt_and_kept(spark):
+    """All pages above the length of a piece; one of 10,000 blocks."""
+    def long(k, n):
+        return page(k, "".join(f"<p>Sentence {j} of page {k}, see <math><mi>x</mi></math> and more.</p>" for j in range(n)))
+
+    df = spark.createDataFrame([(k, f"u{k}", long(k, 60)) for k in range(40)] + [(99, "u", long(99, 10_000))],
+                               "page_id long, url string, html string").repartition(3)
+    net = html.train(df, longest=50, chars=20_000)
+    for r in html.main_text(df, net).collect():
+        n = 10_000 if r.page_id == 99 else 60
+        assert r.text.split("\n") == [f"Title {r.page_id}"] + [f"Sentence {j} of page {r.page_id}, see x and more." for j in range(n)]
 
 
 def test_gradients_are_those_of_the_loss(pages):
@@ -190,6 +218,19 @@ def test_a_repeated_id_loses_only_the_text_that_is_a_copy(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+def test_near_copies_with_clashing_names(spark):
+    """Columns with names that the stage uses inside, with and without repeated doc_ids."""
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words, 1, 2, 3, 4, 5), (2, words, 6, 7, 8, 9, 10), (3, "quite another text of its own here", 1, 1, 1, 1, 1)]
+    kind = "doc_id long, text string, _gone int, _no int, _twice int, count int, _row int"
+    for more, kept in (([], [1, 3]), ([(3, words + " more", 0, 0, 0, 0, 0), (3, rows[2][1], 2, 2, 2, 2, 2)], [1, 3])):
+        df = spark.createDataFrame(rows + more, kind)
+        out = stage("near_copies")(spark, df, SF)
+        assert out.columns == df.columns
+        got = sorted(out.collect())
+        assert [r.doc_id for r in got] == kept and tuple(got[0]) == rows[0]
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "personal_data", "packing"]
     out = corpus_pipeline.run(spark, SF)
