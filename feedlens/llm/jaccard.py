@@ -9,14 +9,20 @@ These extended prefixes are indexed:
 * tokens met by one set only end at once;
 * every set is compared with the leader of the token it shares most, and what links is
   one component from there on. Near copies thus cost one comparison each, not pairs;
-* only tokens of two or more components are left. Those of few components (the rare
-  class) are indexed alone; of the frequent class all combinations of two tokens of a
-  set are indexed. What shares entries across components, and by their number may share
-  l tokens, is compared.
-
-A pair that links either is in one component already or shares a rare token or two
-frequent ones, so no link between components is lost. Comparison is on the texts
-themselves. Sets are named by a 64-bit key, exact copies share one.
+* only tokens of two or more components are left, and only sets that hold enough of them
+  (l, or as many as a link asks for), which is repeated until little more goes;
+* of what is left, tokens that few sets hold (the rare class) are indexed alone. A token
+  that many sets hold is replaced by its combinations with each later token of the set,
+  and so is a combination that is still common, up to COMBINE tokens. Sets that share an
+  entry at places which still allow the overlap that their sizes ask for are compared.
+
+Two sets of n and m tokens that link share o = ceil(t (n + m) / (1 + t)) tokens or more.
+The k-th token they share, in the common order, has at least o - k shared ones after it, so
+its place in either set is at most n - o + k - 1 (from 0). Their first k shared tokens are an
+entry of both sets, whichever k its commonness asks for, so no link between components is
+lost; and tokens of a template below the threshold stand behind each set's own rare ones,
+at places too far for any entry. Comparison is on the texts themselves. Sets are named by a
+64-bit key, exact copies share one.
 
 Defined cases: a text that is null, empty or white space has an empty set and links with
 nothing; with fewer than five words the whole sequence is its one shingle; repeated rows
@@ -45,11 +51,13 @@ FLUSH = 2_000_000             # tokens a task gathers before it sends them on
 TEXT_BYTES = 2_000_000        # text hashed at once in a task (8-byte arrays of its length)
 MAX_COMMON = 1_000_000        # most frequent tokens whose counts every task gets (12 MB)
 COMMON_FROM = 4               # a token in fewer documents than this counts as rare
-RARE_COMPONENTS = 48          # tokens of more components are indexed in combinations
+RARE_SETS = 48                # tokens and combinations of more sets are extended by one more token
+COMBINE = 2                   # tokens of a combination at most: three make more entries than the pairs they save
+PART_TOKENS = 1_500_000       # tokens of the whole corpus that one task counts or matches
 MAX_BROADCAST_IDS = 500_000   # ids whose texts a join may fetch by broadcast (12 MB)
 MEMBERS_PER_TASK = 2_000
 _BLOBS = {names: pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in names]])
-          for names in (("tokens", "many", "count"), ("tokens", "owner", "keys", "n"))}
+          for names in (("tokens", "many", "count"), ("tokens", "owner", "place", "keys", "n"))}
 
 
 def _narrow(tokens: np.ndarray) -> np.ndarray:
@@ -186,7 +194,8 @@ def _prefixes(flat: np.ndarray, off: np.ndarray, common: tuple[np.ndarray, np.nd
 
 def _shared_postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int,
                      numerator: int, denominator: int) -> DataFrame:
-    """(token, key, n) of the prefix tokens that stand in two or more sets."""
+    """(token, key, n, place) of the prefix tokens that stand in two or more sets; ``place`` is
+    the token's place in the set's order (65535 for that and all later ones)."""
     held_common = docs.sparkSession.sparkContext.broadcast(common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +207,18 @@ def _shared_postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], par
             tokens = np.concatenate([h[0] for h in held])
             owner = np.searchsorted(keys, np.repeat(np.concatenate([h[1] for h in held]),
                                                     np.concatenate([h[3] for h in held])))
-            order = np.lexsort((owner, tokens))
-            tokens, owner = tokens[order], owner[order].astype(np.uint32)
+            sizes = np.concatenate([h[3] for h in held])
+            place = np.minimum(ragged(np.zeros(len(sizes), np.int64), sizes), 65535).astype(np.uint16)
+            order = np.lexsort((place, owner, tokens))
+            tokens, owner, place = tokens[order], owner[order].astype(np.uint32), place[order]
             once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
-            tokens, owner = tokens[once], owner[once]
+            tokens, owner, place = tokens[once], owner[once], place[once]
             rows = []
             for p, a, b in _by_part(tokens, parts):
                 used, local = np.unique(owner[a:b], return_inverse=True)
                 rows.append({"part": p, "tokens": _pack(tokens[a:b]), "owner": local.astype(np.uint32).tobytes(),
-                             "keys": keys[used].tobytes(), "n": n[used].astype(np.int64).tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, _BLOBS["tokens", "owner", "keys", "n"])
+                             "place": place[a:b].tobytes(), "keys": keys[used].tobytes(), "n": n[used].astype(np.int64).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, _BLOBS["tokens", "owner", "place", "keys", "n"])
             held.clear()
 
         for batch in slices(batches, limit=TEXT_BYTES):
@@ -228,17 +239,68 @@ def _shared_postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], par
             keys.append(np.frombuffer(k, np.uint64)[at])
             n.append(np.frombuffer(size, np.int64)[at].astype(np.int32))
         keys, n = np.concatenate(keys), np.concatenate(n)
+        place = np.concatenate([np.frombuffer(p, np.uint16) for p in f["place"]])
         order = np.argsort(tokens, kind="stable")
         tokens = tokens[order]
         edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         runs = np.flatnonzero(np.diff(edge) > 1)
         at = ragged(edge[runs], np.diff(edge)[runs])
         return pd.DataFrame({"token": tokens[at].astype(np.int64), "key": keys[order[at]].astype(np.int64),
-                             "n": n[order[at]]}).drop_duplicates(["token", "key"])
+                             "n": n[order[at]], "place": place[order[at]].astype(np.int32)}) \
+            .drop_duplicates(["token", "key"])
 
     sent = docs.select("text").mapInArrow(
-        send, "part int, tokens binary, owner binary, keys binary, n binary")
-    return sent.groupBy("part").applyInPandas(meet, "token long, key long, n int")
+        send, "part int, tokens binary, owner binary, place binary, keys binary, n binary")
+    return sent.groupBy("part").applyInPandas(meet, "token long, key long, n int, place int")
+
+
+def _able(posts: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
+    """Postings (with ``comp``) of the tokens of two or more components, in the sets that hold
+    as many of them as any link asks for. Each round is exact; the last one saves little."""
+    need = F.least(F.lit(LONGER), F.ceil(F.col("n") * numerator / denominator))
+    before = None
+    while True:
+        crossing = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        posts = posts.join(crossing.select("token"), "token")
+        able = posts.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= need)
+        posts = materialise(posts.join(able.select("key"), "key", "left_semi"), "crossing", held)
+        now = posts.count()
+        if not now or before is not None and now > 0.9 * before:
+            return posts
+        before = now
+
+
+def _candidates(posts: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
+    """Distinct (lead, key) that share an entry of the index, across components."""
+    posts = _able(posts, numerator, denominator, held)
+    least = F.ceil(F.col("n") * numerator / denominator).cast("int")     # overlap of any link
+    # A set's later tokens, in the common order: what an entry may be extended by.
+    own = posts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
+    entries = posts.where(F.col("place") <= F.col("n") - least).select(
+        F.col("token").alias("entry"), "key", "n", "comp", F.col("place").alias("first"), F.col("place").alias("last"))
+    index: list[DataFrame] = []
+    for k in range(1, COMBINE + 1):
+        entries = materialise(entries, "entries", held)
+        buckets = entries.groupBy("entry").agg(F.count("*").alias("sets"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                                               F.min(least).alias("least")).where("c0 <> c1")
+        buckets = materialise(buckets.select("entry", ((F.col("sets") > RARE_SETS) & (F.col("least") > k)
+                                                       & F.lit(k < COMBINE)).alias("more")), "buckets", held)
+        index.append(entries.join(buckets.where("not more"), "entry").select(
+            "entry", F.lit(k).alias("k"), "key", "n", "comp", "first", "last"))
+        if k == COMBINE or buckets.where("more").isEmpty():
+            break
+        longer = entries.join(buckets.where("more"), "entry").join(own, "key")
+        later = F.filter("own", lambda x: (x["place"] > F.col("last")) & (x["place"] <= F.col("n") - least + k))
+        entries = longer.select("entry", "key", "n", "comp", "first", F.explode(later).alias("x")).select(
+            F.xxhash64("entry", "x.token").alias("entry"), "key", "n", "comp", "first", F.col("x.place").alias("last"))
+    index = reduce(DataFrame.union, index)
+    other = index.select(F.col("entry").alias("e"), F.col("k").alias("j"), F.col("key").alias("lead"), F.col("n").alias("m"),
+                         F.col("comp").alias("lead_comp"), F.col("first").alias("f"), F.col("last").alias("l"))
+    overlap = F.ceil((F.col("n") + F.col("m")) * numerator / (numerator + denominator))
+    near = (F.col("first") <= F.col("n") - overlap) & (F.col("last") < F.col("n") - overlap + F.col("k")) \
+        & (F.col("f") <= F.col("m") - overlap) & (F.col("l") < F.col("m") - overlap + F.col("k"))
+    return index.join(other, (F.col("entry") == F.col("e")) & (F.col("k") == F.col("j")) & (F.col("lead") < F.col("key"))
+                      & (F.col("comp") != F.col("lead_comp")) & near).select("lead", "key").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
@@ -288,7 +350,7 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
     held: list[str] = []
     nodes = materialise(_nodes(docs), "nodes", held)
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    parts = max(8, total // 5_000_000)
+    parts = max(8, total // PART_TOKENS)
     reps = materialise(nodes.where("key is not null and doc_id is not null").groupBy("key")
                        .agg(F.min("doc_id").alias("rep")), "reps", held)
     common = _common_tokens(docs, parts, held)
@@ -300,10 +362,12 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
         if edges:
             posts = shared.join(components(reduce(DataFrame.union, edges), held=held).withColumnRenamed("node", "key"), "key", "left") \
                 .withColumn("comp", F.coalesce("component", "key")).drop("component")
-        met = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                         F.min(F.struct("comp", "key", "n")).alias("first")) \
-            .where("c0 <> c1")
         if turn < star_rounds:
+            # Another leader in each round: copies that miss one are near to the next.
+            met = posts.groupBy("token").agg(
+                F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("at"), "comp", "key", "n")).alias("first")) \
+                .where("c0 <> c1")
             star = posts.join(met.select("token", F.col("first.key").alias("lead"), F.col("first.n").alias("m"),
                                          F.col("first.comp").alias("lead_comp")), "token") \
                 .where((F.col("comp") != F.col("lead_comp")) & similar) \
@@ -312,28 +376,7 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
                 .groupBy("key").agg(F.max(F.struct("c", "lead")).alias("best"))
             pairs = star.select(F.col("best.lead").alias("lead"), "key")
         else:
-            left = materialise(posts.join(met.select("token"), "token"), "crossing", held)
-            sizes = left.groupBy("token", "comp").agg(F.lit(1).alias("one")).groupBy("token") \
-                .agg(F.count("*").alias("comps"))
-            left = left.join(sizes, "token")
-            often = left.where(F.col("comps") > RARE_COMPONENTS).groupBy("key", "n", "comp") \
-                .agg(F.sort_array(F.collect_list("token")).alias("ts")) \
-                .select("key", "n", "comp", F.posexplode("ts").alias("i", "t1"), "ts") \
-                .select("key", "n", "comp", "t1", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("t2")) \
-                .select(F.xxhash64("t1", "t2").alias("entry"), F.lit(1).alias("pair"), "key", "n", "comp")
-            rare = left.where(F.col("comps") <= RARE_COMPONENTS) \
-                .select(F.col("token").alias("entry"), F.lit(0).alias("pair"), "key", "n", "comp")
-            index = rare.union(often)
-            other = index.select(F.col("entry").alias("e"), F.col("pair").alias("p"), F.col("key").alias("lead"),
-                                 F.col("n").alias("m"), F.col("comp").alias("lead_comp"))
-            # c combinations of two are those of (1 + sqrt(1 + 8 c)) / 2 frequent tokens; none, of one at most.
-            most = F.col("rare") + F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2)
-            overlap = F.ceil(F.greatest("n", "m") * numerator / denominator)
-            pairs = index.join(other, (F.col("entry") == F.col("e")) & (F.col("pair") == F.col("p"))
-                               & (F.col("lead") < F.col("key")) & (F.col("comp") != F.col("lead_comp")) & similar) \
-                .groupBy("lead", "key").agg(F.sum(1 - F.col("pair")).alias("rare"), F.sum("pair").alias("pairs"),
-                                            F.first("n").alias("n"), F.first("m").alias("m")) \
-                .where(most >= F.least(F.lit(LONGER), overlap)).select("lead", "key")
+            pairs = _candidates(posts, numerator, denominator, held)
         edges.append(_linked(pairs, docs, reps, numerator, denominator, held))
     groups = components(reduce(DataFrame.union, edges), held=held)
     least = reps.join(groups.withColumnRenamed("node", "key"), "key", "left") \

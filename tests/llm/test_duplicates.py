@@ -22,7 +22,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("settings", [{}, {"RARE_COMPONENTS": 1, "MAX_BROADCAST_IDS": 0, "MEMBERS_PER_TASK": 3},
+@pytest.mark.parametrize("settings", [{}, {"RARE_SETS": 1, "MAX_BROADCAST_IDS": 0, "MEMBERS_PER_TASK": 3},
                                       {"MAX_COMMON": 20, "FLUSH": 500, "LONGER": 2}])
 def test_similar_documents(docs, texts, monkeypatch, settings):
     for name, value in settings.items():
@@ -31,12 +31,35 @@ def test_similar_documents(docs, texts, monkeypatch, settings):
     assert got == brute.similar(list(enumerate(texts)))
 
 
-def test_links_are_found_without_leaders(docs, texts):
-    """All links by the index alone: no comparisons with leaders before it."""
-    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, star_rounds=1).collect()}
+@pytest.mark.parametrize("settings", [{}, {"RARE_SETS": 1}, {"RARE_SETS": 2, "COMBINE": 2}, {"RARE_SETS": 3, "LONGER": 4, "PART_TOKENS": 300}])
+def test_links_are_found_without_leaders(docs, texts, monkeypatch, settings):
+    """All links by the index alone, whichever entries are extended: no leader is ever compared."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, star_rounds=0).collect()}
     assert got == {k: v[1] for k, v in brute.similar(list(enumerate(texts))).items()}
 
 
+def test_a_shared_template_gives_few_pairs(spark, monkeypatch):
+    """A third of all rows share 70 % of their words, which links none of them: candidates grow
+    with the rows, not with their square, and the links between others are found."""
+    rnd = random.Random(6)
+    template = [f"t{k}" for k in range(140)]
+    rows = [template + [f"own{k}_{j}" for j in range(60)] for k in range(150)]
+    rows += [[f"w{rnd.randrange(5_000)}" for _ in range(120)] for _ in range(200)]
+    rows += [r[:110] + [f"end{k}"] * 2 for k, r in enumerate(rows[150:250])]       # most of them link
+    texts = [" ".join(r) for r in rows]
+    pairs = []
+    found = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: pairs.append(found(*a)) or pairs[0])
+    monkeypatch.setattr(jaccard, "release", lambda *a: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df, star_rounds=0).collect()}
+    want = brute.similar(list(enumerate(texts)))
+    assert got == {k: v[1] for k, v in want.items()} and len(set(got.values())) < len(texts) - 50
+    assert pairs[0].count() < 3 * len(texts)
+
+
 def test_similar_documents_defined_cases(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (5, "A b c d\te f"), (None, "a b c d e f"), (9, "q"), (8, "q"), (7, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(
