@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import materialise, release
 
 MAX_ROUNDS = 60
+ROWS_PER_TASK = 200_000       # links a task writes, so that few links are few files
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", held: list[str] | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", held: list[str] | N
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .union(low.select("k", "m"))
         earlier, own = own, []
-        links = materialise(small.distinct(), "links", own)
+        links = materialise(small.distinct().coalesce(max(1, stats["n"] // ROWS_PER_TASK)), "links", own)
         release(links.sparkSession, earlier)
     else:
         raise RuntimeError("components did not settle")
