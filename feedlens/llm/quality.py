@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import slices, utf8
 from feedlens.llm.shingles import word_hashes
 
+TEXT_BYTES = 2_000_000        # text whose lines a task works on at once (8-byte arrays of its length)
 # Classes of bytes whose shares describe a line.
 _CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b".",
             b",", b"!?", b"|", b"*%$#&", b"@/\\_=<>{}[]~^+", b"'\"-:;()`", bytes(range(128, 256)))
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3_000) -> Field:
         .join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             x, _, off = lines_of(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_y"),
@@ -209,7 +210,7 @@ def classify(docs: DataFrame, field: Field, threshold: float = 0.7) -> DataFrame
     kind = rows.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             s = scores(field, *utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
