@@ -63,9 +63,11 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the 400-byte strings that occur again anywhere."""
+    """All documents without the 400-byte strings that occur again anywhere, and what is left
+    of their texts."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return repeats.remove_repeats(docs).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeats.remove_repeats(docs).select(
+        "_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,7 @@ OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
 u AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') AS units,
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
          ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
          ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
   FROM d),

@@ -194,3 +194,19 @@ def test_fill_in_middle_parameters(spark):
     assert len({r.prefix_chars for r in got}) > 3
     odd = fim.fill_in_middle(df, unit="[0-9]").first()
     assert odd.n == 1
+
+
+# ---------------------------------------------------------------- SQL twins
+
+@pytest.mark.parametrize("name", ["op11_negatives", "op13_middle"])
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+    from feedlens.llm import ORACLE, QUERIES
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet')")
+    got = QUERIES[name](spark, path)
+    want = con.execute(ORACLE[name])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
