@@ -53,7 +53,7 @@ def vectors(rows, threshold=0.98):
         for j in range(i):
             (a, v, s), (b, w, t) = rows[i], rows[j]
             if fit[i] and fit[j] and s == t and len(v) == len(w):
-                v, w = np.array(v, float), np.array(w, float)
+                v, w = (np.array(x, float) / max(map(abs, x)) for x in (v, w))
                 if v @ w / (np.linalg.norm(v) * np.linalg.norm(w)) >= threshold:
                     links[i] += 1
                     links[j] += 1

@@ -179,3 +179,10 @@ def test_fingerprint_order_over_many_ranges(spark, monkeypatch):
     made = fingerprints.with_next(df, per_range=4)
     assert made.where("_extra = 1").count() == made.select("_range").distinct().count() > 5
     assert fingerprints.fingerprint(df).count() == len(rows)
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1e-170, 2e-170], 0), (3, [1e200, 2e200], 0), (4, [5e-324, 0.0], 0), (5, [1.0, 0.0], 0), (6, [2.0, -1.0], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute.vectors(rows) == [
+        (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
