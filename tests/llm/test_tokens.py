@@ -35,6 +35,47 @@ def test_runs_give_the_librarys_ids(texts, path, special):
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [w.ids for w in want]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_plain_letters_may_skip_to_the_model(path):
+    from tokenizers import Tokenizer
+    tok, rnd = Tokenizer.from_file(path), random.Random(5)
+    word = chunks.model_word(tok)
+    for _ in range(3000):
+        run = rnd.choice(["", " "]) + "".join(rnd.choices(chunks._LETTERS, k=rnd.randint(1, 300 if rnd.random() < .05 else 12)))
+        assert [t.id for t in tok.model.tokenize(word(run))] == tok.encode(run, add_special_tokens=False).ids
+
+
+def test_a_full_run_memory_keeps_what_was_met_again():
+    asked = []
+    runs = chunks.RunEncoder(lambda x: asked.extend(x) or (np.array([len(r) for r in x], np.uint32), np.ones(len(x), int)), 12)
+    for k in range(8):
+        ids, off = runs.texts(*buffer([f"of the {k}1 {k}2 {k}3", "the"]))
+        assert ids.tolist() == [2, 4, 3, 3, 3, 3] and off.tolist() == [0, 5, 6]
+    assert sorted(asked).count(b" the") == 1 and len(runs.known) <= 12
+
+
+def test_pairs_of_tokens_are_judged_as_merging_does():
+    rnd = random.Random(9)
+    ranks = {bytes([c]): c for c in b"abc"}
+    for k in range(60):                              # some words are made by no merge, as real lists have
+        ranks.setdefault(bytes(rnd.choices(b"abc", k=rnd.randint(2, 6))), 200 + k)
+    machine = bpe.MergeTransducer(ranks)
+
+    def merged(piece):
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        while True:
+            rank, at = min(((ranks.get(a + b, 999), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(999, 0))
+            if rank == 999:
+                return [ranks[p] for p in parts]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+    for a in machine.words:
+        assert machine.follows(-1, a) == (merged(machine.words[a]) == [a])
+        for b in machine.words:
+            if machine.follows(-1, a):
+                assert machine.follows(a, b) == (merged(machine.words[a] + machine.words[b]) == [a, b])
+
+
 def test_the_run_memory_may_start_anew(texts):
     machine = bpe.MergeTransducer(bpe.read_ranks(MULTI), max_states=20)
     runs = chunks.RunEncoder(lambda x: (np.concatenate([np.array(machine.encode(r), np.uint32) for r in x]),
