@@ -27,6 +27,9 @@ from feedlens.llm.chunks import RunEncoder
 from feedlens.llm.common import ragged, slices, utf8
 
 
+NONE = 1 << 60                 # above every rank: no such merge
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines) if word}
@@ -50,6 +53,7 @@ class MergeTransducer:
                 node = self.child[node][b]
             self.token[node] = rank
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.made: dict[int, tuple[list, list] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -59,15 +63,42 @@ class MergeTransducer:
         self.final: list[tuple[int, ...]] = [()]
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """BPE by its definition, for the short strings that decide about a pair."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
+    def steps(self, token: int) -> tuple[list, list] | None:
+        """How BPE by its definition makes a token's word: its (rank, first part) and its
+        (rank, last part) after each merge in turn; None if it makes something else."""
+        if token not in self.made:
+            word = self.words[token]
+            parts = [word[i:i + 1] for i in range(len(word))]
+            first, last = [(-1, parts[0])], [(-1, parts[-1])]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == NONE:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+                first.append((rank, parts[0]))
+                last.append((rank, parts[-1]))
+            self.made[token] = (first, last) if len(parts) == 1 else None
+        return self.made[token]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge joins the words of tokens a and b, which BPE makes.
+
+        Until one does, either word merges as it does alone, the lower rank of both first
+        and the left one on a tie."""
+        left, right = self.steps(a)[1], self.steps(b)[0]
+        i = j = 0
         while True:
-            rank, at = min(((self.ranks.get(a + b, 1 << 60), i)
-                            for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
-            if rank == 1 << 60:
-                return [self.ranks[p] for p in parts]
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            across = self.ranks.get(left[i][1] + right[j][1], NONE)
+            in_left = left[i + 1][0] if i + 1 < len(left) else NONE
+            in_right = right[j + 1][0] if j + 1 < len(right) else NONE
+            if across < in_left and across <= in_right and across < NONE:
+                return False
+            if in_left == in_right == NONE:
+                return True
+            if in_left <= in_right:
+                i += 1
+            else:
+                j += 1
 
     def follows(self, a: int, b: int) -> bool:
         """Whether BPE keeps tokens a, b as they are (a = -1: whether it makes b at all)."""
@@ -76,9 +107,7 @@ class MergeTransducer:
         if known is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            left = self.words[a] if a >= 0 else b""
-            want = [a, b] if a >= 0 else [b]
-            known = self.pairs[key] = self.merge(left + self.words[b]) == want
+            known = self.pairs[key] = self.steps(b) is not None and (a < 0 or self._apart(a, b))
         return known
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
