@@ -15,6 +15,8 @@ gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ WORDS = 5
 # The order of bins for an empty bin: by a quadratic hash of (empty bin, full bin).
 _P, _A, _B = (1 << 31) - 1, 1_103_515_245, 12_345_679
 DIRECT = 8                    # so many bins of that order are tried before all are ranked
-MAX_RANGES = 20_000
+MAX_RANGES = 100_000
 
 
 def _let(value: Column, body) -> Column:
@@ -107,24 +109,35 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         .withColumn(name, packed(densified(F.col(f"{name}_m")))).drop(f"{name}_m")
 
 
-def with_next(docs: DataFrame, per_range: int = 5_000) -> DataFrame:
-    """Rows in ranges of doc_id, each with the row that follows in its range added as a
-    marked row (``_extra``), so that a window over a range sees every row's next row.
+def _place(heads: list[tuple], row: Column) -> Column:
+    """The range of ``row``: the last one whose first row (``heads``, descending) is not
+    below it, found by halving steps."""
+    kind = "array<struct<known:int,doc_id:bigint,hash:bigint>>"
+    firsts = F.from_json(F.lit(json.dumps([dict(zip(("known", "doc_id", "hash"), h)) for h in heads])), kind)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(heads).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(firsts, at + step) >= row, at + step).otherwise(at))
 
-    At most MAX_RANGES rows, one per range, pass the driver: the first row's id and the
-    hash of its text.
+
+def with_next(docs: DataFrame, per_range: int = 5_000) -> DataFrame:
+    """Rows in ranges of (doc_id, hash of the text), of about equal numbers of rows, each
+    with the row that follows in its range added as a marked row (``_extra``), so that a
+    window over a range sees every row's next row.
+
+    Spark's own range partitioning of the keys alone finds the ranges, so neither far
+    outlying ids nor many null or equal ids crowd one; only rows equal in both id and text
+    stay together. At most MAX_RANGES rows, one per range, pass the driver: the first row's
+    id and the hash of its text.
     """
     spark = docs.sparkSession
-    ids = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = ids["lo"] or 0, ids["hi"] or 0
-    ranges = max(1, min(MAX_RANGES, ids["n"] // per_range))
-    width = (hi - lo) // ranges + 1
-    rows = docs.withColumn("_hash", F.xxhash64("text")).withColumn(
-        "_range", F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(width)).cast("int"), F.lit(-1)))
-    first = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("order"), F.col("_hash").alias("h"),
-                     F.col("doc_id").alias("d"))
-    heads = rows.groupBy("_range").agg(F.max(first).alias("f")).orderBy(F.desc("_range")).collect()
-    into = [(h["f"]["d"], h["f"]["h"], heads[k - 1]["_range"]) for k, h in enumerate(heads)]
+    ranges = max(1, min(MAX_RANGES, docs.count() // per_range))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"),
+                   F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("doc_id"), F.col("_hash").alias("hash"))
+    found = rows.select(key.alias("key")).repartitionByRange(ranges, "key") \
+        .groupBy(F.spark_partition_id()).agg(F.max("key").alias("key")).orderBy(F.desc("key")).collect()
+    heads = [tuple(r["key"]) for r in found]
+    rows = rows.withColumn("_range", _place(heads, key))
+    into = [(d if known else None, h, (k - 1) % len(heads)) for k, (known, d, h) in enumerate(heads)]
     follow = F.broadcast(spark.createDataFrame(into, "h_id long, h_hash long, to_range int"))
     extra = rows.join(follow, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("_hash") == F.col("h_hash"))) \
         .dropDuplicates(["to_range"]) \

@@ -7,6 +7,9 @@ import numpy as np
 import pytest
 
 import brute
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from feedlens.llm import fingerprints, jaccard, repeats, vectors
 from feedlens.llm.components import components
 
@@ -181,6 +184,21 @@ def test_fingerprint_order_over_many_ranges(spark, monkeypatch):
     assert fingerprints.fingerprint(df).count() == len(rows)
 
 
+@pytest.mark.parametrize("far", [[], [(1 << 62, "far"), (-(1 << 62), "low"), (-(1 << 63), "least")]])
+def test_fingerprint_ranges_go_by_depth(spark, far):
+    """Outlying ids and many null ids crowd no range, and every row meets its next row."""
+    rows = [(k, f"t{k}") for k in range(300)] + [(None, f"n{k}") for k in range(300)] + far
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = fingerprints.with_next(df, per_range=20)
+    sizes = [r["count"] for r in made.where("_extra = 0").groupBy("_range").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 20 and max(sizes) < 80
+    after = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), F.desc("_hash"))
+    pairs = {r.text: r.nxt for r in made.withColumn("nxt", F.lead("text").over(after)).where("_extra = 0").collect()}
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r[1]]))]
+    assert pairs == dict(zip(order, order[1:] + order[:1]))
+
+
 def test_tiny_and_huge_vectors_link(spark):
     rows = [(1, [1.0, 2.0], 0), (2, [1e-170, 2e-170], 0), (3, [1e200, 2e200], 0), (4, [5e-324, 0.0], 0), (5, [1.0, 0.0], 0), (6, [2.0, -1.0], 0)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
