@@ -152,14 +152,17 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
     lines = texts.where(F.col("_t").contains("@") | F.col("_t").rlike(r"[0-9][\x20.()-]?[0-9]")) \
         .select(F.explode(F.split("_t", "\n")).alias("_line")) \
         .where(F.col("_line").contains("@") | F.col("_line").rlike(r"[0-9][\x20.()-]?[0-9]"))
-    lines = base_spans(lines, "_line", "_spans").where(F.size("_spans") > 0) \
+    found = base_spans(lines, "_line", "_spans").where(F.size("_spans") > 0) \
         .select(F.xxhash64("_line").alias("line"), F.array_distinct(F.transform("_spans", entity_of)).alias("entities"),
                 "_line")
-    # One row per (entity, distinct line). Entities in a single line end here.
-    pairs = materialise(lines.select("line", F.explode("entities").alias("entity"), "_line")
-                        .groupBy("line", "entity").agg(F.first("_line").alias("_line")), "pii-lines")
+    # One row per distinct line; entities and terms meet by its id, so its text stays single.
+    lines = materialise(found.groupBy("line").agg(F.first("entities").alias("entities"), F.first("_line").alias("_line")),
+                        "pii-lines")
+    pairs = lines.select("line", F.explode("entities").alias("entity"))
+    # Entities in a single line end here.
     often = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least)
-    both = materialise(pairs.join(often, "entity").select("entity", "n_e", F.explode(_terms(F.col("_line"))).alias("term"))
+    words = lines.select("line", F.explode(_terms(F.col("_line"))).alias("term"))
+    both = materialise(pairs.join(often, "entity").join(words, "line")
                        .groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.count("*").alias("n_both"))
                        .where(F.col("n_both") >= least), "pii-both")
     if both.isEmpty():
@@ -169,7 +172,7 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
     # The threshold bounds the lines a term may stand in. Lines with personal data are part
     # of them, so a term over the bound there needs no count over the corpus.
     bound = F.col("n_both") * F.pow(n / F.col("n_e"), 1 - alpha)
-    tried = pairs.agg(F.sum(F.size(_terms(F.col("_line")))).alias("n")).first()["n"]
+    tried = lines.agg(F.sum(F.size("entities") * F.size(_terms(F.col("_line"))).cast("long")).alias("n")).first()["n"]
     k, apart = F.col("n_both"), F.col("n_e") - F.col("n_both")
     # log2 C(n_e, k) by its entropy bound
     ways = k * F.log2(F.col("n_e") / k) + F.when(apart > 0, apart * F.log2(F.col("n_e") / apart)).otherwise(0.0)
@@ -178,8 +181,7 @@ def disclosing_terms(docs: DataFrame, min_lines: int = 5, alpha: float = 0.9,
         unlikely = k * F.log2(n / F.col(n_t)) - ways >= F.log2(F.lit(tried / CHANCE))
         return (F.col(n_t) <= bound) & ((k >= min_lines) | unlikely)
 
-    here = pairs.dropDuplicates(["line"]).select(F.explode(_terms(F.col("_line"))).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("n_here"))
+    here = words.groupBy("term").agg(F.count("*").alias("n_here"))
     both = materialise(both.join(here, "term").where(holds("n_here")).drop("n_here"), "pii-both")
     wanted = both.select(F.xxhash64("term").alias("_term")).distinct()
     if wanted.count() <= MAX_BROADCAST_TERMS:
@@ -200,19 +202,20 @@ def all_spans(docs: DataFrame, terms: DataFrame | None, text: str = "text") -> D
     key = F.md5(F.coalesce(F.col(text), F.lit("")))
     found = found.withColumn("_key", key)
     per_entity = terms.groupBy("entity").agg(F.collect_set("term").alias("_terms"))
+    # Which terms a text may lose, by its key alone: the text is not sent once per entity.
     held = found.where(F.size("base") > 0) \
-        .select("_key", F.col(text).alias("_t"), F.explode(F.array_distinct(F.transform("base", entity_of))).alias("entity")) \
+        .select("_key", F.explode(F.array_distinct(F.transform("base", entity_of))).alias("entity")).distinct() \
         .join(per_entity, "entity").groupBy("_key") \
-        .agg(F.first("_t").alias("_t"), F.array_distinct(F.flatten(F.collect_set("_terms"))).alias("_terms"))
-    words = _matches(held, "_t", TERM, "_words", F.lit(True))
-    extra = words.select("_key", F.transform(
+        .agg(F.array_distinct(F.flatten(F.collect_set("_terms"))).alias("_terms"))
+    found = _matches(found.join(held, "_key", "left"), text, TERM, "_words", F.col("_terms").isNotNull())
+    found = found.withColumn("_extra", F.transform(
         F.filter("_words", lambda w: F.array_contains(F.col("_terms"), term_of(w["match"]))),
-        _span(len(KINDS), "term")).alias("_extra"))
+        _span(len(KINDS), "term")))
     # A word that a base span covers, or touches, needs no span of its own.
-    return found.join(extra, "_key", "left").withColumn("spans", F.sort_array(F.concat(
+    return found.withColumn("spans", F.sort_array(F.concat(
         F.col("base"), F.coalesce(F.filter("_extra", lambda w: ~F.exists(
             F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))),
-            F.array().cast(found.schema["base"].dataType))))).drop("_key", "_extra")
+            F.array().cast(found.schema["base"].dataType))))).drop("_key", "_terms", "_words", "_extra")
 
 
 def _listed(spans: str) -> Column:

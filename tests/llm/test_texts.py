@@ -1,9 +1,12 @@
 """Extraction, quality, personal data and the pipeline."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -178,6 +181,37 @@ def test_terms_that_disclose(spark):
     assert texts[501] == "Zorblatt alone" and texts[502] is None
 
 
+def test_terms_by_mutual_information(spark):
+    """Against counts over all distinct lines, entities and terms taken one by one."""
+    rnd = random.Random(4)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    rows = []
+    for k in range(700):
+        lines = []
+        for _ in range(rnd.randint(1, 3)):
+            line = rnd.choices(words, k=rnd.randint(3, 6))
+            for who in rnd.sample(range(12), rnd.choice([0, 0, 0, 1, 2])):
+                line += [f"u{who}@x.org"] + ([f"alias{chr(97 + who)}"] if rnd.random() < 0.9 else [])
+            lines.append(" ".join(line))
+        rows.append((k, "\n".join(lines)))
+    rows += rows[:200] + [(900, f"many {' '.join(f'v{k}@y.org' for k in range(3000))} addresses"), (901, None), (902, "")]
+    lines = {line for _, t in rows if t is not None for line in t.split("\n")}
+    held = {line: ({w for w in line.split() if "@" in w}, {w for w in line.split() if "@" not in w}) for line in lines}
+    tried = sum(len(e) * len(t) for e, t in held.values() if e)
+    n, n_e, n_t, n_both = len(lines), Counter(), Counter(), Counter()
+    for e, t in held.values():
+        n_e.update(e), n_t.update(t), n_both.update(itertools.product(e, t))
+    want = set()
+    for (e, t), k in n_both.items():
+        apart = n_e[e] - k
+        ways = k * math.log2(n_e[e] / k) + (apart * math.log2(n_e[e] / apart) if apart else 0)
+        unlikely = k * math.log2(n / n_t[t]) - ways >= math.log2(tried / pii.CHANCE)
+        if math.log2(k * n / (n_e[e] * n_t[t])) >= 0.9 * math.log2(n / n_e[e]) and (k >= 5 or k >= 2 and unlikely):
+            want.add(("email:" + e, t))
+    got = pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) >= 8 and sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [2, 6])
 def test_a_name_in_its_own_address_discloses(spark, n):
     rows = [(k, f"Jane Doe wrote note {'abcdef'[k]} jane.doe@x.org") for k in range(n)]
