@@ -8,6 +8,7 @@ order through when the input has one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -136,21 +137,40 @@ def union_sources(dfs: list[DataFrame]) -> DataFrame:
                   [placed(k, df) for k, df in enumerate(dfs)])
 
 
+# Rows of an ordered limit that one task may hold and sort.
+FEW_ROWS = 100_000
+
+
+def _first_rows(feed: DataFrame, order_cols: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the order of ``order_cols`` (nulls first, equal keys in any order).
+
+    The key of the last one is found over the keys alone, so only rows up to it bring their
+    other columns.
+    """
+    key = F.struct(*order_cols)
+    keys = feed.select(key.alias("_key"))
+    if n <= FEW_ROWS:
+        last = keys.orderBy("_key").limit(n).agg(F.max("_key").alias("_last"))
+        return feed.where(key <= last.scalar()).orderBy(*order_cols).limit(n)
+    last = row_index(keys, "_key", "_place").where(F.col("_place") < n).agg(F.max("_key").alias("_last"))
+    return row_index(feed.where(key <= last.scalar()), order_cols, "_place").where(F.col("_place") < n).drop("_place")
+
+
 def pull_pages(feed: DataFrame, order_cols: tuple[str, ...] = ("seq",), page_rows: int = 200,
                target: int = 3_000, page_col: str | None = None) -> DataFrame:
     """The rows a paged pull keeps (X4): whole pages, up to and with the first page that
     brings the rows pulled to ``target``, or up to an empty page.
 
     Pages are ``page_rows`` rows in feed order, or the values of ``page_col`` (numbered from
-    0; a number without rows is an empty page). The page where the pull stops is where the
-    running total of page sizes first crosses the target. Each page before it has rows, so it
-    is among the ``target`` first: only their sizes are added up, and one number reaches the
-    driver.
+    0; a number without rows is an empty page). Pages of ``page_rows`` rows need no count: what
+    stays is the target, rounded up to whole pages, in first rows. With ``page_col`` the page
+    where the pull stops is where the running total of page sizes first crosses the target.
+    Each page before it has rows, so it is among the ``target`` first: only their sizes are
+    added up, and one number reaches the driver.
     """
-    if page_col is None:
-        pages = row_index(feed, order_cols, "_place").withColumn("_page", F.floor(F.col("_place") / page_rows)).drop("_place")
-    else:
-        pages = feed.withColumn("_page", F.col(page_col).cast("long"))
+    if page_col is None:                    # pages of one size: the target is reached by the same row in any feed
+        return _first_rows(feed, order_cols, max(0, -(-target // page_rows)) * page_rows)
+    pages = feed.withColumn("_page", F.col(page_col).cast("long"))
     sizes = pages.where(F.col("_page").between(0, target - 1)).groupBy("_page").agg(F.count(F.lit(1)).alias("rows"))
     at = running_total(row_index(sizes, "_page", "_nth"), "_page", "rows")
     stop = at.where((F.col("total") >= target) | (F.col("_nth") < F.col("_page"))).agg(

@@ -288,3 +288,21 @@ def test_large_dumps_are_read_in_splits(spark, tmp_dir, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+# ---------------------------------------------------------------- pulls of whole rows
+
+def test_pull_does_not_range_the_rows(spark, monkeypatch):
+    """Pages of one size: the last key is found over keys, ties and nulls counted as rows."""
+    feed = spark.createDataFrame([(None if k < 3 else k // 10, f"t{k}") for k in range(200)], "seq long, text string")
+    def none(*a, **k):
+        raise AssertionError("the rows are ranged")
+
+    with monkeypatch.context() as m:
+        m.setattr(landing, "row_index", none)
+        got = landing.pull_pages(feed.repartition(5), ("seq",), 4, 42).collect()
+        assert len(got) == 44 and max(r.seq for r in got if r.seq is not None) == 4 and sum(r.seq is None for r in got) == 3
+    monkeypatch.setattr(landing, "FEW_ROWS", 10)
+    again = landing.pull_pages(feed.repartition(5), ("seq", "text"), 4, 42).collect()
+    by = sorted(feed.collect(), key=lambda r: (-1 if r.seq is None else r.seq, r.text))[:44]
+    assert sorted(r.text for r in again) == sorted(r.text for r in by)
