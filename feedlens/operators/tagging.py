@@ -6,7 +6,7 @@ Plan of ``tag_reviews``:
    (distributed, see ``row_index``).
 2. ``batches``: one row per batch, its (at most 15) rows gathered in order;
    a group never exceeds the batch size, whatever the data looks like.
-3. ``call_tagger``: ``mapInPandas`` over batches; the tagger (a pickled
+3. ``call_tagger``: ``mapInArrow`` over the batches' reviews; the tagger (a pickled
    callable, rows -> reply text) runs once per batch inside a ``try``, so a
    failing batch becomes a status row instead of failing the job (T4).
    ``parallelism`` bounds how many calls run at once.
@@ -23,11 +23,13 @@ Plan of ``tag_reviews``:
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from feedlens import codebook as cb
 from feedlens import schemas
@@ -38,6 +40,8 @@ from feedlens.session import checkpoint_root, path_exists, scratch_path
 
 # Batches asked about between two looks at the failures.
 WAVE = 1_000
+# Reviews that a task makes Python objects of at once.
+READ_ROWS = 500
 
 Tagger = Callable[[list[dict]], str]
 
@@ -80,23 +84,52 @@ def batch_hash(tagger: Tagger) -> F.Column:
                                      rows.alias("rows"))), 256)
 
 
-def _call_tagger(tagger: Tagger, kept: tuple[str, ...] = ()):
-    """``kept`` names columns that go from a batch to its result."""
-    def run(it):
-        for pdf in it:
-            out = []
-            for batch_id, n_rows, rows in zip(pdf["batch_id"], pdf["n_rows"], pdf["rows"]):
-                payload = [{"id": r["id"], "text": r["text"]} for r in rows]
-                try:
-                    reply, error = tagger(payload), None
-                    if reply is not None and not isinstance(reply, str):
-                        reply = json.dumps(reply)  # a tagger may return parsed tags
-                except Exception as e:  # noqa: BLE001 - a failed call is data (T4)
-                    reply, error = None, f"{type(e).__name__}: {e}"
-                out.append((int(batch_id), int(n_rows), reply, error))
-            done = pd.DataFrame(out, columns=["batch_id", "n_rows", "reply", "error"])
-            yield done.assign(**{c: pdf[c].to_numpy() for c in kept})
-    return run
+def _ask_tagger(tagger: Tagger, rows: list[dict]) -> tuple[str | None, str | None]:
+    """(reply, error) of one call."""
+    try:
+        reply = tagger(rows)
+        if reply is not None and not isinstance(reply, str):
+            reply = json.dumps(reply)  # a tagger may return parsed tags
+        return reply, None
+    except Exception as e:  # noqa: BLE001 - a failed call is data (T4)
+        return None, f"{type(e).__name__}: {e}"
+
+
+def _call_batches(batch_df: DataFrame, tagger: Tagger, schema, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The tagger's result for every row of ``batch_df`` (batch_id, n_rows, rows), one call each;
+    ``kept`` names columns that go from a batch to its result.
+
+    A batch crosses to Python one review a row, in order, so a task's Python holds some
+    reviews and one batch, not thousands of batches.
+    """
+    names = [f.name for f in schema.fields]
+    kinds = to_arrow_schema(schema)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_batch, payload = None, []
+
+        def answer() -> dict:
+            reply, error = _ask_tagger(tagger, payload)
+            return {**{c: open_batch[c] for c in ("batch_id", "n_rows", *kept)}, "reply": reply, "error": error}
+
+        for frame in frames:
+            done = []
+            for at in range(0, frame.num_rows, READ_ROWS):
+                for row in frame.slice(at, READ_ROWS).to_pylist():
+                    if not row["nth"]:                       # the first review of the next batch
+                        if open_batch is not None:
+                            done.append(answer())
+                        open_batch, payload = row, []
+                    if row["nth"] is not None:
+                        payload.append({"id": row["id"], "text": row["text"]})
+            if done:
+                yield pa.RecordBatch.from_pylist(done, kinds)
+        if open_batch is not None:
+            yield pa.RecordBatch.from_pylist([answer()], kinds)
+
+    flat = batch_df.select("batch_id", "n_rows", *kept, F.posexplode_outer("rows").alias("nth", "r")) \
+        .select("batch_id", "n_rows", *kept, "nth", F.col("r.id").alias("id"), F.col("r.text").alias("text"))
+    return flat.mapInArrow(run, schema).select(*names)
 
 
 def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = None,
@@ -116,7 +149,7 @@ def call_tagger(batch_df: DataFrame, tagger: Tagger, parallelism: int | None = N
         return df if parallelism is None else df.repartition(parallelism, "batch_id")
 
     if replies_dir is None:
-        out = in_flight(src).mapInPandas(_call_tagger(tagger), schemas.BATCH_RESULT)
+        out = _call_batches(in_flight(src), tagger, schemas.BATCH_RESULT)
         if materialize:
             out = parse_reply_column(out)
             checkpoint_root(out.sparkSession)
@@ -141,7 +174,7 @@ def _ask(src: DataFrame, tagger: Tagger, path: str, parallelism: int | None) ->
         src = src.join(stored.select("batch_id", "batch_hash"), ["batch_id", "batch_hash"], "left_anti")
     if parallelism is not None:
         src = src.repartition(parallelism, "batch_id")
-    src.mapInPandas(_call_tagger(tagger, ("batch_hash",)), schemas.STORED_REPLY).write.mode("append").parquet(path)
+    _call_batches(src, tagger, schemas.STORED_REPLY, ("batch_hash",)).write.mode("append").parquet(path)
 
 
 def _answers(src: DataFrame, path: str) -> DataFrame:
@@ -347,18 +380,16 @@ def tag_in_place(reviews: DataFrame, tagger: Tagger, size: int = cb.BATCH_SIZE,
                  id_col: str = "reviewId", text_col: str = "content") -> DataFrame:
     """Replies for batches cut within each partition, with no shuffle: (batch_id, n_rows,
     reply, error). For live rows, whose positions over the whole run don't matter."""
-    call = _call_tagger(tagger)
-
     def run(frames):
         from pyspark import TaskContext
         batch_id = TaskContext.get().partitionId() << 33
         for f in frames:
-            cuts = range(0, len(f), size)
-            yield from call([pd.DataFrame({
-                "batch_id": [batch_id + k for k in range(len(cuts))],
-                "n_rows": [len(f[at:at + size]) for at in cuts],
-                "rows": [f[at:at + size].to_dict("records") for at in cuts]})])
-            batch_id += len(cuts)
+            done = []
+            for at in range(0, len(f), size):
+                rows = f[at:at + size].to_dict("records")
+                done.append((batch_id, len(rows), *_ask_tagger(tagger, rows)))
+                batch_id += 1
+            yield pd.DataFrame(done, columns=schemas.BATCH_RESULT.names)
 
     return reviews.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .mapInPandas(run, schemas.BATCH_RESULT)

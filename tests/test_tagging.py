@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlens.operators import rules
 from feedlens.operators import tagging as tg
@@ -129,3 +130,28 @@ def test_run_report(spark):
            tg.run_report(df, job["status"], job["tags"], job["tagged"]).collect()}
     assert rep == {"rows_loaded": 30, "batches": 2, "failed_batches": 1, "tags_kept": 15,
                    "rows_tagged": 15}
+
+
+def test_a_batch_crosses_to_python_review_by_review(spark):
+    """No row that Python reads holds a whole batch; nulls, failures and batches that span two
+    Arrow frames come back as before, an empty batch as well."""
+    seen = T.StructType([T.StructField("idx", T.LongType()), T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
+    rows = [(b, n, [(k, f"{b}_{k}", None if k == 3 else f"great app {k}") for k in range(n)]) for b, n in ((0, 15), (1, 15), (2, 4), (3, 0))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("n_rows", T.LongType()),
+                                                   T.StructField("rows", T.ArrayType(seen))])).coalesce(1)
+    def answers(batch):
+        if any(r["id"] == "1_0" for r in batch):
+            raise ValueError("no")
+        return [r["id"] + ("-" if r["text"] is None else "") for r in batch]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = tg.call_tagger(df, answers, materialize=False)
+        got = {r.batch_id: (r.n_rows, r.error, r.reply and json.loads(r.reply)) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {b: (n, None, [f"{b}_{k}" + ("-" if k == 3 else "") for k in range(n)]) for b, n, _ in rows}
+    assert got == {**want, 1: (15, "ValueError: no", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "MapInArrow" in plan
