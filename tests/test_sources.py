@@ -175,3 +175,25 @@ def test_dumps_chunk_clean_dedup(spark, tmp_dir):
     # the shared chunk is kept once, from the first file in name order (thread1 < thread10 < thread2)
     assert "thread10.txt_0" in land and "thread2.txt_0" not in land
     assert land["thread1.txt_5"].content == chunk60 and land["thread1.txt_5"].source == "reddit_manual"
+
+
+def test_dumps_are_listed_by_few_tasks(spark, tmp_dir):
+    """A folder per dump is no listing task of its own, and the setting is put back."""
+    folder, key = os.path.join(tmp_dir, "d"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for k in range(60):
+        os.makedirs(f"{folder}/thread=t{k}.txt")
+        with open(f"{folder}/thread=t{k}.txt/part-0.txt", "w") as f:
+            f.write(f"text {k}")
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        dumps = files.read_text_dumps(spark, folder)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(None) + tracker.getJobIdsForGroup("listing")
+                  for s in tracker.getJobInfo(j).stageIds]
+        info = [i for i in map(tracker.getStageInfo, stages) if i is not None and "text" in i.name]
+        assert info and info[-1].numTasks <= 4 * spark.sparkContext.defaultParallelism < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(key) == before
+    assert sorted(r.value for r in dumps.collect()) == sorted(f"text {k}" for k in range(60))
