@@ -177,7 +177,7 @@ def model_word(tok) -> Callable[[str], str] | None:
                  if shown == [[word(run)] for run in probes]), None)
 
 
-def library_encoder(path: str, keep_apart: tuple[str, ...]) -> Callable:
+def library_encoder(path: str, keep_apart: tuple[str, ...], limit: int = 1_000_000) -> Callable:
     """Texts' ids by the tokenizers library: ``f(buf, docs) -> (ids, offsets)``.
 
     Runs of plain letters go straight to its model. Texts that spell one of the vocabulary's special tokens (``keep_apart``) are encoded
@@ -219,7 +219,7 @@ def library_encoder(path: str, keep_apart: tuple[str, ...]) -> Callable:
         ids[~is_plain], ids[is_plain] = other, flat
         return ids, size
 
-    runs = RunEncoder(distinct)
+    runs = RunEncoder(distinct, limit)
 
     def texts(buf: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = buf.tobytes()
@@ -243,9 +243,10 @@ def library_encoder(path: str, keep_apart: tuple[str, ...]) -> Callable:
 _MADE: dict[tuple, Callable] = {}
 
 
-def worker_encoder(path: str, keep_apart: tuple[str, ...]) -> Callable:
-    """One encoder per Python worker, kept between the tasks it runs."""
-    key = (path, keep_apart)
+def worker_encoder(path: str, keep_apart: tuple[str, ...], limit: int = 1_000_000) -> Callable:
+    """One encoder per Python worker, kept between the tasks it runs; it remembers about
+    ``limit`` runs."""
+    key = (path, keep_apart, limit)
     if key not in _MADE:
-        _MADE[key] = library_encoder(path, keep_apart)
+        _MADE[key] = library_encoder(path, keep_apart, limit)
     return _MADE[key]

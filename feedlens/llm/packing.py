@@ -28,6 +28,9 @@ from feedlens.llm.common import materialise, slices, utf8
 PLAN_SCHEMA = "p_length int, first long, n long, p_sequence long, per_bin long, p_offset long"
 # A row takes about 48 bytes; larger plans are joined by a shuffle.
 MAX_BROADCAST_PLAN = 200_000
+# Text encoded at once: a worker holds several arrays of its length, beside the runs it remembers.
+TEXT_BYTES = 2_000_000
+RUNS = 400_000                # runs it remembers, about 150 bytes each
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -82,8 +85,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         schema += ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = worker_encoder(vocabulary, SPECIAL)
-        for batch in slices(batches):
+        pa.default_memory_pool().release_unused()    # of what the stages before left in this worker
+        texts = worker_encoder(vocabulary, SPECIAL, RUNS)
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, off = texts(*utf8(batch.column("text")))
             doc, piece, start, size, crc, full = [], [], [], [], [], []
             for d, doc_id in enumerate(batch.column("doc_id").to_pylist()):

@@ -54,6 +54,23 @@ def test_a_full_run_memory_keeps_what_was_met_again():
     assert sorted(asked).count(b" the") == 1 and len(runs.known) <= 12
 
 
+def test_packing_encodes_few_bytes_at_once(spark, monkeypatch):
+    """Memory of a worker: a batch of many texts reaches the encoder in slices, all of it."""
+    seen = spark.sparkContext.accumulator(0)
+    most = 2_500_000
+
+    def counting(*_):
+        def texts(buf, docs):
+            assert len(buf) <= most
+            seen.add(len(buf))
+            return np.zeros(len(docs) - 1, np.uint32), np.arange(len(docs))
+        return texts
+
+    monkeypatch.setattr(packing, "worker_encoder", counting)
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 400) AS text").coalesce(1)
+    assert packing.token_pieces(df, "none").count() == 3000 and seen.value == 3000 * 2000
+
+
 def test_pairs_of_tokens_are_judged_as_merging_does():
     rnd = random.Random(9)
     ranks = {bytes([c]): c for c in b"abc"}
