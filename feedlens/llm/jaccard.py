@@ -14,7 +14,9 @@ These extended prefixes are indexed:
 * of what is left, tokens that few sets hold (the rare class) are indexed alone. A token
   that many sets hold is replaced by its combinations with each later token of the set,
   and so is a combination that is still common, up to COMBINE tokens. Sets that share an
-  entry at places which still allow the overlap that their sizes ask for are compared.
+  entry at places which still allow the overlap that their sizes ask for may link: while there
+  are more such pairs than rows, sets are compared with leaders of their entries and what links
+  is one component, then all pairs left across components are compared.
 
 Two sets of n and m tokens that link share o = ceil(t (n + m) / (1 + t)) tokens or more.
 The k-th token they share, in the common order, has at least o - k shared ones after it, so
@@ -38,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import materialise, ragged, release, slices, utf8
@@ -47,13 +49,15 @@ from feedlens.llm.shingles import set_keys, shingle_sets
 
 LONGER = 16                   # l: so many tokens prefixes are longer by, and share if sets link
 STAR_SHARES = 4               # tokens with its leader that make a comparison worth its while
-FLUSH = 2_000_000             # tokens a task gathers before it sends them on
-TEXT_BYTES = 2_000_000        # text hashed at once in a task (8-byte arrays of its length)
+FLUSH = 1_000_000             # tokens a task gathers before it sends them on
+TEXT_BYTES = 1_000_000        # text hashed at once in a task (8-byte arrays of its length)
 MAX_COMMON = 1_000_000        # most frequent tokens whose counts every task gets (12 MB)
 COMMON_FROM = 4               # a token in fewer documents than this counts as rare
 RARE_SETS = 48                # tokens and combinations of more sets are extended by one more token
 COMBINE = 2                   # tokens of a combination at most: three make more entries than the pairs they save
 PART_TOKENS = 1_500_000       # tokens of the whole corpus that one task counts or matches
+LEADERS = 16                  # sets of a large entry that its others are compared with in a round
+CLOSEST = 32                  # of those, over all its entries, that a set is compared with
 MAX_BROADCAST_IDS = 500_000   # ids whose texts a join may fetch by broadcast (12 MB)
 MEMBERS_PER_TASK = 2_000
 _BLOBS = {names: pa.schema([("part", pa.int32()), *[(x, pa.binary()) for x in names]])
@@ -270,8 +274,8 @@ def _able(posts: DataFrame, numerator: int, denominator: int, held: list[str]) -
         before = now
 
 
-def _candidates(posts: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
-    """Distinct (lead, key) that share an entry of the index, across components."""
+def _index(posts: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
+    """(entry, k, key, n, first, last): the entries of two or more components, k tokens each."""
     posts = _able(posts, numerator, denominator, held)
     least = F.ceil(F.col("n") * numerator / denominator).cast("int")     # overlap of any link
     # A set's later tokens, in the common order: what an entry may be extended by.
@@ -286,21 +290,73 @@ def _candidates(posts: DataFrame, numerator: int, denominator: int, held: list[s
         buckets = materialise(buckets.select("entry", ((F.col("sets") > RARE_SETS) & (F.col("least") > k)
                                                        & F.lit(k < COMBINE)).alias("more")), "buckets", held)
         index.append(entries.join(buckets.where("not more"), "entry").select(
-            "entry", F.lit(k).alias("k"), "key", "n", "comp", "first", "last"))
+            "entry", F.lit(k).alias("k"), "key", "n", "first", "last"))
         if k == COMBINE or buckets.where("more").isEmpty():
             break
         longer = entries.join(buckets.where("more"), "entry").join(own, "key")
         later = F.filter("own", lambda x: (x["place"] > F.col("last")) & (x["place"] <= F.col("n") - least + k))
         entries = longer.select("entry", "key", "n", "comp", "first", F.explode(later).alias("x")).select(
             F.xxhash64("entry", "x.token").alias("entry"), "key", "n", "comp", "first", F.col("x.place").alias("last"))
-    index = reduce(DataFrame.union, index)
-    other = index.select(F.col("entry").alias("e"), F.col("k").alias("j"), F.col("key").alias("lead"), F.col("n").alias("m"),
+    return materialise(reduce(DataFrame.union, index), "index", held)
+
+
+def _meeting(index: DataFrame, other: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Rows of ``index`` with those of ``other`` (the same columns) of their entry: of another
+    component, at places that allow the overlap which the sizes ask for."""
+    other = other.select(F.col("entry").alias("e"), F.col("k").alias("j"), F.col("key").alias("lead"), F.col("n").alias("m"),
                          F.col("comp").alias("lead_comp"), F.col("first").alias("f"), F.col("last").alias("l"))
     overlap = F.ceil((F.col("n") + F.col("m")) * numerator / (numerator + denominator))
     near = (F.col("first") <= F.col("n") - overlap) & (F.col("last") < F.col("n") - overlap + F.col("k")) \
         & (F.col("f") <= F.col("m") - overlap) & (F.col("l") < F.col("m") - overlap + F.col("k"))
-    return index.join(other, (F.col("entry") == F.col("e")) & (F.col("k") == F.col("j")) & (F.col("lead") < F.col("key"))
-                      & (F.col("comp") != F.col("lead_comp")) & near).select("lead", "key").distinct()
+    return index.join(other, (F.col("entry") == F.col("e")) & (F.col("k") == F.col("j"))
+                      & (F.col("comp") != F.col("lead_comp")) & near)
+
+
+def _candidates(index: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Distinct (lead, key) that share an entry of ``index``, across components."""
+    return _meeting(index, index, numerator, denominator).where("lead < key").select("lead", "key").distinct()
+
+
+def _with_components(rows: DataFrame, edges: list[DataFrame], held: list[str]) -> DataFrame:
+    """``rows`` with ``comp``, the component of their key by the ``edges`` found so far."""
+    if not edges:
+        return rows.withColumn("comp", F.col("key"))
+    known = components(reduce(DataFrame.union, edges), held=held).withColumnRenamed("node", "key")
+    return rows.join(known, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+
+
+def _last_links(posts: DataFrame, edges: list[DataFrame], docs: DataFrame, reps: DataFrame, numerator: int,
+                denominator: int, held: list[str]) -> list[DataFrame]:
+    """``edges`` with links enough that no two components are left between which a set links.
+
+    While an entry holds more than LEADERS pairs across components for each of its sets, it has
+    LEADERS leaders, others in each round, and every set is compared with the CLOSEST of them,
+    by the entries it shares with each; what links is one component from there on. The pairs
+    left are then all compared, however many: rounds only take pairs away that are joined already.
+    """
+    index = _index(posts, numerator, denominator, held)
+    crowd, edges, before, turn = index, list(edges), None, 0
+    while True:
+        crowd = _with_components(crowd.drop("comp"), edges, held)
+        by_comp = crowd.groupBy("entry", "k", "comp").agg(F.count("*").cast("double").alias("c"))
+        large = materialise(by_comp.groupBy("entry", "k").agg(
+            F.sum("c").alias("sets"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+            .where(F.col("pairs") > LEADERS * F.col("sets")), "large", held)
+        pairs = large.agg(F.sum("pairs").alias("pairs")).first()["pairs"]
+        if pairs is None or before is not None and pairs > 0.9 * before:
+            break
+        before, turn = pairs, turn + 1
+        crowd = materialise(crowd.join(large.select("entry", "k"), ["entry", "k"], "left_semi"), "crowd", held)
+        at = F.xxhash64("entry", "key", F.lit(turn))
+        leaders = crowd.groupBy("entry", "k", F.pmod(at, F.lit(LEADERS)).alias("slot")).agg(
+            F.min(F.struct(at.alias("at"), "key", "n", "comp", "first", "last")).alias("x")) \
+            .select("entry", "k", "x.key", "x.n", "x.comp", "x.first", "x.last")
+        shared = _meeting(crowd, leaders, numerator, denominator).groupBy("key", "lead").agg(F.count("*").alias("c"))
+        closest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), "lead"))
+        near = shared.withColumn("rank", closest).where(F.col("rank") <= CLOSEST).select("lead", "key")
+        edges.append(_linked(near, docs, reps, numerator, denominator, held))
+    index = _with_components(index, edges, held)
+    return [*edges, _linked(_candidates(index, numerator, denominator), docs, reps, numerator, denominator, held)]
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, numerator: int, denominator: int, held: list[str]) -> DataFrame:
@@ -357,27 +413,22 @@ def similar_documents(docs: DataFrame, numerator: int = 4, denominator: int = 5,
     shared = materialise(_shared_postings(docs, common, parts, numerator, denominator), "postings", held)
     similar = (F.col("n") * denominator >= F.col("m") * numerator) & (F.col("m") * denominator >= F.col("n") * numerator)
     edges: list[DataFrame] = []
-    for turn in range(star_rounds + 1):
-        posts = shared.withColumn("comp", F.col("key"))
-        if edges:
-            posts = shared.join(components(reduce(DataFrame.union, edges), held=held).withColumnRenamed("node", "key"), "key", "left") \
-                .withColumn("comp", F.coalesce("component", "key")).drop("component")
-        if turn < star_rounds:
-            # Another leader in each round: copies that miss one are near to the next.
-            met = posts.groupBy("token").agg(
-                F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("at"), "comp", "key", "n")).alias("first")) \
-                .where("c0 <> c1")
-            star = posts.join(met.select("token", F.col("first.key").alias("lead"), F.col("first.n").alias("m"),
-                                         F.col("first.comp").alias("lead_comp")), "token") \
-                .where((F.col("comp") != F.col("lead_comp")) & similar) \
-                .groupBy("key", "lead").agg(F.count("*").alias("c"), F.min("n").alias("n")) \
-                .where((F.col("c") >= STAR_SHARES) | (F.col("n") < 2 * LONGER)) \
-                .groupBy("key").agg(F.max(F.struct("c", "lead")).alias("best"))
-            pairs = star.select(F.col("best.lead").alias("lead"), "key")
-        else:
-            pairs = _candidates(posts, numerator, denominator, held)
+    for turn in range(star_rounds):
+        posts = _with_components(shared, edges, held)
+        # Another leader in each round: copies that miss one are near to the next.
+        met = posts.groupBy("token").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+            F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("at"), "comp", "key", "n")).alias("first")) \
+            .where("c0 <> c1")
+        star = posts.join(met.select("token", F.col("first.key").alias("lead"), F.col("first.n").alias("m"),
+                                     F.col("first.comp").alias("lead_comp")), "token") \
+            .where((F.col("comp") != F.col("lead_comp")) & similar) \
+            .groupBy("key", "lead").agg(F.count("*").alias("c"), F.min("n").alias("n")) \
+            .where((F.col("c") >= STAR_SHARES) | (F.col("n") < 2 * LONGER)) \
+            .groupBy("key").agg(F.max(F.struct("c", "lead")).alias("best"))
+        pairs = star.select(F.col("best.lead").alias("lead"), "key")
         edges.append(_linked(pairs, docs, reps, numerator, denominator, held))
+    edges = _last_links(_with_components(shared, edges, held), edges, docs, reps, numerator, denominator, held)
     groups = components(reduce(DataFrame.union, edges), held=held)
     least = reps.join(groups.withColumnRenamed("node", "key"), "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))

@@ -63,6 +63,25 @@ def test_a_shared_template_gives_few_pairs(spark, monkeypatch):
     assert pairs[0].count() < 3 * len(texts)
 
 
+def test_copies_about_the_threshold_are_compared_with_leaders(spark, monkeypatch):
+    """Of 250 copies of a text, changed so that about a fifth of the pairs link, few pairs are compared."""
+    rnd = random.Random(8)
+    base = [f"t{k}" for k in range(182)]
+    texts = []
+    for k in range(250):
+        own = list(base)
+        for at in rnd.sample(range(182), 2):
+            own[at] = f"own{k}_{at}"
+        texts.append(" ".join(own))
+    want = brute.similar(list(enumerate(texts)))
+    compared = []
+    linked = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(df, star_rounds=0).collect()}
+    assert got == want and sum(compared) < 250 * 40, compared
+
+
 def test_similar_documents_defined_cases(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (5, "A b c d\te f"), (None, "a b c d e f"), (9, "q"), (8, "q"), (7, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(
